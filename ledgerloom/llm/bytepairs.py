@@ -41,7 +41,8 @@ class BytePairs:
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids must fit into 16 bits")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        base = {c: b for b, c in byte_characters().items()}
+        self.shown = byte_characters()
+        base = {c: b for b, c in self.shown.items()}
         vocabulary = {token: i for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items() if token not in self.special}
         ranks = {bytes(base[c] for c in token): i for token, i in vocabulary.items()}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -96,18 +97,22 @@ class BytePairs:
     def ids(self, text: str) -> bytes:
         return self.encode_batch([text])[0]
 
-    def pieces(self, text: str) -> tuple[list[str], list[int]]:
-        """The pieces that the pattern cuts a plain text into, and the number of ids of each."""
+    def counted_pieces(self, text: str) -> tuple[list[str], list[int]]:
+        """The pre-tokens of a text and the number of ids of each; special tokens' strings are ordinary text."""
         if len(self.counts) > CACHE_CHUNKS:
             self.counts.clear()
-        found, counts = PIECES.findall(text), self.counts
+        if text.isascii() or not UNPLAIN.search(text):
+            found = PIECES.findall(text)
+        else:
+            found = [text[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+        counts = self.counts
         sizes = list(map(counts.get, found))
         if None in sizes:
             for k, n in enumerate(sizes):
                 if n is None:
                     piece = found[k]
                     if piece not in counts:
-                        counts[piece] = len(self.merge(piece))
+                        counts[piece] = len(self.tokenizer.model.tokenize("".join([self.shown[b] for b in piece.encode()])))
                     sizes[k] = counts[piece]
         return found, sizes
 
