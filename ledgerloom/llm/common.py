@@ -7,18 +7,15 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast only after its rows were counted and are at most this many (id columns only).
-BROADCAST_ROWS = 1_000_000
+#: A side of a join is broadcast only after its bytes were added up and are at most this many.
+BROADCAST_BYTES = 24_000_000
 
 #: Rows that go to a Python worker at once; bounds a worker's memory when documents are long.
 ARROW_ROWS = 1000
 
-#: White space between words, as a Java and Python regular expression class body.
-BLANK = r"\x20\x09-\x0D"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,11 +57,17 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small_side(df: DataFrame) -> DataFrame:
-    """``df``, marked for broadcast if its counted rows are few; otherwise as it is, for a shuffled join."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def row_bytes(df: DataFrame) -> Column:
+    """About what a row of ``df`` takes in memory."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        kind = f.dataType.typeName()
+        one = F.octet_length(f.name) if kind in ("string", "binary") else 32 * F.size(f.name) if kind == "array" else F.lit(8)
+        total = total + F.coalesce(one, F.lit(0))
+    return total
 
 
-def words(text):
-    """Array of the maximal runs of non-blank characters of a string column; empty for null."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), f"[{BLANK}]+"), lambda w: w != "")
+def small_side(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if its rows are few, as added up; otherwise as it is, for a shuffled join."""
+    total = df.agg(F.sum(row_bytes(df)).alias("bytes")).first()["bytes"] or 0
+    return F.broadcast(df) if total <= BROADCAST_BYTES else df

@@ -212,3 +212,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIMILARI
     out = signed.select("doc_id", "n_shingles", "print").join(top, "print", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+
+
+def first_of_each(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` without the documents that a document with a smaller id stands for, and without repeated rows of an id.
+
+    Rows without an id can't be addressed and stay.
+    """
+    judged = materialise(near_duplicates(docs, size, similarity).filter("doc_id is not null"), "judged")
+    gone = judged.filter("not kept").select("doc_id").distinct()
+    left = docs.join(small_side(gone), "doc_id", "left_anti").select(docs.columns)
+    twice = materialise(judged.filter("kept").groupBy("doc_id").count().filter("count > 1").select("doc_id"), "repeated")
+    if twice.isEmpty():
+        return left
+    once = left.join(small_side(twice), "doc_id", "left_semi").select(docs.columns).dropDuplicates(["doc_id"])
+    return left.join(small_side(twice), "doc_id", "left_anti").select(docs.columns).unionByName(once)

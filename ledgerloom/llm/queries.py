@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, sentencepieces
+from . import chat, neardup, packing, personal, quality, sentencepieces, tiff, tokencounts, urls, webtext
 from .common import table
 
 
@@ -16,6 +16,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every text before and after three edits, of which only the edited regions are encoded anew."""
+    path = tokenizer_path("byte_bpe_50k.json")
+    trees = tokencounts.counted(table(spark, sf_dir, "documents"), path)
+    return tokencounts.recounted(tokencounts.sample_edits(trees), path).select("doc_id", "n_tokens", "edited_tokens", "n_encoded")
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepieces.encode(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
@@ -24,8 +31,38 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, sf_dir, "documents"), size=2)
+
+
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"))
+
+
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal.digests(table(spark, sf_dir, "documents"))
+
+
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(rows.unionByName(chat.conflicting(spark)))
+
+
+def op8_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webtext.extract(table(spark, sf_dir, "pages"))
+
+
+def op9_tiff_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiff.digests(table(spark, sf_dir, "documents"))
+
+
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_packing)}
+    every = (op1_token_counts, op2_sentencepiece, op3_packing, op4_near_duplicates, op5_url_filter, op6_personal_data, op7_chat_format, op8_main_text, op9_tiff_media, op10_quality_rules)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
