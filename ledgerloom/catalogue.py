@@ -6,8 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from .queries import QUERIES, SQL, domain, reads, reports, streams, values  # noqa: F401  importing registers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
