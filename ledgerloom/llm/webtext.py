@@ -45,7 +45,7 @@ INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "dat
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 #: Where the search for such an element ends.
 SCOPES = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
-#: Block elements that may stand inside a paragraph's end: all others close it.
+#: Bounds of the steps in which a node's own text and its share of links are seen.
 LENGTHS = (1, 20, 60, 160)
 DENSITIES = (0.01, 0.25, 0.6)
 
@@ -189,7 +189,9 @@ def features(tree: Tree) -> list[list[tuple]]:
     for k, tag in enumerate(tree.tags):
         length = sum(tree.own[k] >= x for x in LENGTHS)
         density = sum(linked[k] / below[k] >= x for x in DENSITIES) if below[k] else -1
-        out.append([("tag", tag), ("own", length), ("links", density), *{("word", w) for w in tree.tokens[k]}])
+        bare = "" if tree.tokens[k] else "."
+        above = tree.tags[tree.parents[k]] if k else ""
+        out.append([("tag", tag + bare, density), ("own", length, density), ("under", above, tag + bare), *{("word", w) for w in tree.tokens[k]}])
     return out
 
 
@@ -233,6 +235,7 @@ def fit(pages: list[str]) -> Model:
                     kinds[f[0]] += 1
                 seen[f][labels[k]] += 1
                 totals.setdefault(f[0], [0.0] * 3)[labels[k]] += 1
+
     def log(counts: list[float], kind: str) -> tuple[float, float, float]:
         return tuple(float(np.log((n + 0.5) / (t + 0.5 * (kinds[kind] + 1)))) for n, t in zip(counts, totals[kind], strict=True))
 
@@ -284,7 +287,7 @@ def main_texts(model: Model, pages: list[str | None]) -> list[str]:
 # Labelled pages
 
 
-def labelled_pages(count: int = 400, seed: int = 11) -> list[str]:
+def labelled_pages(count: int = 1000, seed: int = 11) -> list[str]:
     """Pages in many layouts whose regions are labelled by ``x-label``: 0 boilerplate, 1 content, 2 both."""
     rng = random.Random(seed)
     pick = rng.choice
@@ -321,7 +324,8 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[str]:
         return zero(pick(("div", "div", "aside", "section")), pick((words(3, 25), f"<p>{words(4, 30)}</p>")), name("ad", "ads", "advert", "advertisement", "ad-banner", "promo", "sponsored", "banner-ad"))
 
     def notice() -> str:
-        return zero(pick(("div", "section", "p")), pick((words(8, 40), words(8, 40), f"<p>{words(8, 40)}</p><a href='/'>{words(1, 2)}</a>")) if rng.random() < 0.7 else words(5, 30), name("cookie", "cookie-notice", "notice", "consent", "gdpr", "alert", "cookie-banner", "privacy-notice", "popup", "modal", "overlay"))
+        inside = pick((words(8, 40), words(5, 30), f"<p>{words(8, 40)}</p><a href='/'>{words(1, 2)}</a>"))
+        return zero("p" if rng.random() < 0.3 and "<p>" not in inside else pick(("div", "section")), inside, name("cookie", "cookie-notice", "notice", "consent", "gdpr", "alert", "cookie-banner", "privacy-notice", "popup", "modal", "overlay"))
 
     def form() -> str:
         inside = f"<label>{words(1, 3)}</label><input name=q>{pick(('', f'<p>{words(4, 20)}</p>'))}<button>{words(1, 2)}</button>"
