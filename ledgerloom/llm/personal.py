@@ -205,18 +205,19 @@ def digests(docs: DataFrame) -> DataFrame:
 
 def redacted(docs: DataFrame) -> DataFrame:
     """``docs`` with each span of personal data replaced by its kind in angle brackets.  Null texts stay null."""
-    spans = personal_spans(docs).filter(F.size("spans") > 0)
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("copy").alias("_copy"), F.col("spans").alias("_spans")).dropDuplicates(["_id", "_copy"])
-    spans = materialise(spans, "spans")
-    keyed = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
-    both = keyed.join(spans, keyed["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_copy")), "left")
+    spans = personal_spans(docs).filter(F.size("spans") > 0).dropDuplicates(["doc_id", "copy"])
+    spans = materialise(spans.select(F.struct(F.col("doc_id").alias("id"), "copy").alias("of"), F.col("spans").alias("found")), "spans")
+    # All columns of the documents in one, so that none of them can clash with what is joined.
+    whole = docs.select(F.struct(*docs.columns).alias("doc"))
+    id_, text = F.col("doc.doc_id").cast("long"), F.col("doc.text")
+    both = whole.join(small_side(spans), id_.eqNullSafe(F.col("of.id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("of.copy")), "left")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def put(acc: Column, s: Column) -> Column:  # where spans overlap, the one that begins first names the place
-        before = F.substring(F.col("text"), acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
+        before = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
         mark = F.when(s["start"] >= acc["at"], F.concat(F.lit("<"), F.upper(s["kind"]), F.lit(">"))).otherwise("")
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.concat(acc["out"], before, mark).alias("out"))
 
-    clean = F.aggregate(F.array_sort("_spans"), begin, put, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))))
-    text = F.when(F.col("_spans").isNotNull() & F.col("text").isNotNull(), clean).otherwise(F.col("text"))
-    return both.withColumn("text", text).select(docs.columns)
+    clean = F.aggregate(F.array_sort("found"), begin, put, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.char_length(text))))
+    new = F.when(F.col("found").isNotNull() & text.isNotNull(), clean).otherwise(text)
+    return both.select(*[new.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns])
