@@ -138,7 +138,7 @@ def unprotected(records: DataFrame, locks: DataFrame) -> DataFrame:
 
 def valid(value: Column, low: Column, high: Column, pattern: Column, nullable: Column) -> Column:
     number = value.try_cast("double")
-    return F.when(value.isNull(), F.coalesce(nullable, F.lit(False))).otherwise(F.coalesce(number >= low, F.lit(True)) & F.coalesce(number <= high, F.lit(True)) & F.coalesce(value.rlike(pattern), F.lit(True)))
+    return F.when(value.isNull(), F.coalesce(nullable, F.lit(False))).otherwise(F.coalesce(number >= low, F.lit(True)) & F.coalesce(number <= high, F.lit(True)) & F.coalesce(F.regexp_like(value, pattern), F.lit(True)))
 
 
 def keeps_range(old_low: Column, old_high: Column, new_low: Column, new_high: Column) -> Column:
