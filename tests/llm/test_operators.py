@@ -335,6 +335,16 @@ def test_chat_round_trip(spark, small):
     assert all(r[5] for r in out)
 
 
+def test_chat_sql(spark, small):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{small}/conversations.parquet'")
+    found = con.execute(queries.oracle_sql()["op7_chat_format"])
+    names = [c[0] for c in found.description]
+    assert ordered([tuple(r) for r in found.fetchall()]) == ordered(rows_of(queries.op7_chat_format(spark, small), *names))
+
+
 def test_chat_of_conflicting_texts(spark):
     rng = random.Random(8)
     parts = ["</turn>", "<\\/turn>", "### User: ", "#\\## Assistant: ", "\\", "<", "#", "\n", "### ", " ", "x", "/turn>", ": ", "####", "é", "$1", "x-41", "### x-41: "]
