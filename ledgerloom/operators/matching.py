@@ -156,3 +156,17 @@ def peers(df: DataFrame, key: str, group: str, order: list[Column], n: int = 8)
     both = df.select(key, group).join(heads, (F.col(group) == F.col("_group")) & (F.col(key) != F.col("peer")))
     own = F.row_number().over(Window.partitionBy(key).orderBy("place"))
     return both.withColumn("rank", own).filter(F.col("rank") <= n).select(key, "peer", "rank")
+
+
+def symbol_then_name(records: DataFrame, master: DataFrame, record_id: str, master_id: str, symbol: str, name: str, high: float = 0.9, medium: float = 0.7) -> DataFrame:
+    """record, match, confidence and method: 100 by symbol, else 90 or 70 by the best trigram similarity of the names."""
+    first = master.filter(F.col(symbol) != "").groupBy(F.col(symbol).alias("_symbol")).agg(F.min(master_id).alias("match"))
+    exact = records.join(first, records[symbol] == F.col("_symbol")).select(F.col(record_id).alias("record"), "match", F.lit(100).alias("confidence"), F.lit("SYMBOL").alias("method"))
+    rest = records.join(exact.select(F.col("record").alias(record_id)).distinct(), record_id, "left_anti").select(F.col(record_id).alias("_r"), F.col(name).alias("_n"))
+    # One master row stands for each name, so that frequent names don't multiply.
+    names = master.groupBy(F.col(name).alias("_n")).agg(F.min(master_id).alias("_m"))
+    pairs = similar_pairs(rest, names, "_r", "_n", medium, "_m", "_n")
+    best = pairs.groupBy("a").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "b")).alias("m"))
+    strong = -F.col("m.s") >= high
+    close = best.select(F.col("a").alias("record"), F.col("m.b").alias("match"), F.when(strong, 90).otherwise(70).alias("confidence"), F.when(strong, "NAME_HIGH").otherwise("NAME_MEDIUM").alias("method"))
+    return exact.unionByName(close)

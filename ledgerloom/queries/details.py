@@ -235,3 +235,16 @@ def retention(spark, sf_dir):
 @query(f"SELECT c_custkey, {points('n', scoring.DEMAND)}::DOUBLE AS points FROM {STAR}")
 def stepped_points(spark, sf_dir):
     return star(spark, sf_dir).select("c_custkey", scoring.steps(F.col("n"), *scoring.DEMAND).alias("points"))
+
+
+@query(f"""WITH r AS (SELECT p_partkey AS record, CASE WHEN p_partkey % 2 = 0 THEN 'S' || p_size ELSE '' END AS s, p_name AS n FROM part WHERE p_partkey % 3 = 0), m AS (SELECT p_partkey AS match, CASE WHEN p_partkey % 5 = 0 THEN 'S' || p_size ELSE '' END AS s, p_name || CASE WHEN p_partkey % 2 = 0 THEN ' x' ELSE '' END AS n FROM part WHERE p_partkey % 3 = 1),
+a AS (SELECT record, min(match) AS match FROM r JOIN m USING (s) WHERE s != '' GROUP BY 1), d AS (SELECT n, min(match) AS match FROM m GROUP BY 1), g AS (SELECT n, {GRAMS.format('n')} AS q FROM (SELECT n FROM r UNION SELECT n FROM d)),
+p AS (SELECT x.n AS n, y.n AS k, len(list_intersect(x.q, y.q))::DOUBLE / (len(x.q) + len(y.q) - len(list_intersect(x.q, y.q))) AS t FROM g x, g y),
+c AS (SELECT record, d.match, t, row_number() OVER (PARTITION BY record ORDER BY t DESC, d.match) AS place FROM r JOIN p ON p.n = r.n JOIN d ON d.n = p.k WHERE t >= 0.7 AND record NOT IN (SELECT record FROM a))
+SELECT record, match, 100 AS confidence, 'SYMBOL' AS method FROM a UNION ALL SELECT record, match, CASE WHEN t >= 0.9 THEN 90 ELSE 70 END, CASE WHEN t >= 0.9 THEN 'NAME_HIGH' ELSE 'NAME_MEDIUM' END FROM c WHERE place = 1""")
+def symbol_or_trigram_match(spark, sf_dir):
+    k, t = F.col("p_partkey"), Tables(spark, sf_dir).part
+    symbol = lambda n: F.when(k % n == 0, F.concat(F.lit("S"), F.col("p_size").cast("string"))).otherwise("")
+    left = t.filter(k % 3 == 0).select("p_partkey", symbol(2).alias("s"), F.col("p_name").alias("n"))
+    right = t.filter(k % 3 == 1).select("p_partkey", symbol(5).alias("s"), F.concat("p_name", F.when(k % 2 == 0, " x").otherwise("")).alias("n"))
+    return matching.symbol_then_name(left, right, "p_partkey", "p_partkey", "s", "n")
