@@ -8,13 +8,15 @@ least ``SIMILARITY``; components of links are classes.
     population count of the XOR of two bitmaps counts the functions on which two sets differ, less what collides, and
     so estimates high similarities closely (Mitzenmacher, Pagh and Pham, 2014).
 2.  Documents with equal sets are one class; only one of each goes on.
-3.  Members of a bucket are compared with a pivot of the bucket, another one in each band.  Pairs whose sketches are
-    too far apart go; the full sets decide on the others; components of the links are contracted.
-4.  Buckets that still hold several components: all pairs of members of different components, by sketch and then by
-    full sets.  A group of copies is one component by then, so that its pairs are never listed.  No bucket is capped.
+3.  Members of a bucket are compared with a pivot of the bucket.  Pairs whose set sizes differ too much or whose
+    sketches are too far apart go; the full sets decide on the others; components of the links are contracted.  A few
+    such rounds, each with other pivots, join most of each group.
+4.  Buckets that still hold several components: pairs of members of different components, by sizes, by sketch and then
+    by full sets, each pair in one bucket only.  A group of copies is one component by then, so that its pairs are never
+    listed.  No bucket is capped.
 
 A pair at the threshold shares no bucket with probability (1 - s^ROWS)^BANDS = 3e-6, and its sketches are beyond the
-bound with less than 1e-6; such a link only matters if no other path joins the two.
+bound with about as much; such a link only matters if no other path joins the two.
 
 Null texts and texts without words have an empty set, are linked with nothing and are their own class.  With fewer
 words than a shingle has, the words are one shingle.  Repeated rows of a document each get a row with equal values.
@@ -23,6 +25,7 @@ words than a shingle has, the words are one shingle.  Repeated rows of a documen
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,11 +38,14 @@ SIMILARITY = 0.8
 ROWS, BANDS = 5, 32
 SKETCH_BITS = 512
 SKETCH_WORDS = SKETCH_BITS // 64
-#: Pivots that a member is checked against at most in the first round, the closest by sketch; the second takes all.
-FIRST_PIVOTS = 2
+#: Rounds that check members against a pivot of their bucket, and how many pivots of those at most, the closest by
+#: sketch.  The last round takes all that is left.
+LINEAR_ROUNDS, FIRST_PIVOTS = 2, 2
+#: Sets of up to so many shingles are compared inside the last round's join.
+INLINE = 2048
 
 
-def sketch_limit(similarity: float, samples: int = ROWS * BANDS, bits: int = SKETCH_BITS, sigmas: float = 5.5) -> int:
+def sketch_limit(similarity: float, samples: int = ROWS * BANDS, bits: int = SKETCH_BITS, sigmas: float = 4.5) -> int:
     """Bits in which the sketches of sets of this similarity differ at most, but for less than one pair in a million."""
     differing = samples * (1 - similarity) + sigmas * np.sqrt(samples * similarity * (1 - similarity))
     mean = bits / 2 * (1 - np.exp(-4 * differing / bits))
@@ -139,16 +145,24 @@ def differing(a: Column, b: Column) -> Column:
     return total
 
 
+def sets_of(ids: DataFrame, docs: DataFrame, size: int) -> DataFrame:
+    """doc_id and the full shingle set of the documents with these ids, one row of each, as a table."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(ids), "doc_id", "left_semi")
+    return materialise(full_sets(texts, size).dropDuplicates(["doc_id"]), "sets")
+
+
+def enough(x: Column, y: Column, similarity: float) -> Column:
+    """Whether two full sets are similar enough."""
+    shared = F.size(F.array_intersect(x, y))
+    return 100 * shared >= round(100 * similarity) * (F.size(x) + F.size(y) - shared)
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """Those of the pairs (a, b) whose full shingle sets are similar enough."""
     pairs = materialise(pairs, "pairs")
-    ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(small_side(ids), "doc_id", "left_semi")
-    sets = materialise(full_sets(texts, size).dropDuplicates(["doc_id"]), "sets")
+    sets = sets_of(materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids"), docs, size)
     both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("found").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("found").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    hundredths = round(100 * similarity)
-    return both.filter(100 * shared >= hundredths * (F.size("x") + F.size("y") - shared)).select("a", "b")
+    return both.filter(enough(F.col("x"), F.col("y"), similarity)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -175,43 +189,78 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).union(edges.select(F.col("b"), F.col("b")).distinct())
 
 
+def fits(a: str, b: str, limit: int) -> Column:
+    """Whether two classes can be similar: their set sizes allow it and their sketches are close enough."""
+    small, large = F.least(f"{a}.n", f"{b}.n"), F.greatest(f"{a}.n", f"{b}.n")
+    return (5 * small >= 4 * large) & (differing(F.col(f"{a}.sketch"), F.col(f"{b}.sketch")) <= limit)
+
+
+def first_meeting(a: str, b: str) -> Column:
+    """Whether ``band`` is the first band in which two classes share a bucket: each pair counts in one bucket."""
+    earlier = [(F.col(f"{a}.bands")[k] == F.col(f"{b}.bands")[k]) & (F.col(f"{a}.band") > k) for k in range(BANDS)]
+    return ~reduce(lambda x, y: x | y, earlier)
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id that links reach) and kept (doc_id is that) of each document."""
     signed = materialise(signatures(docs, size), "signatures")
     # One of each class of equal sets stands for it: the smallest id.
-    classes = signed.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    classes = materialise(classes.filter("rep is not null"), "classes")
-    buckets = classes.select(F.col("rep"), F.explode("bands").alias("key"))
-    shared = buckets.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("rep", "key").alias("h"), F.col("rep").alias("rep"))).alias("p")).filter("n > 1").select("key", F.col("p.rep").alias("pivot"))
-    members = materialise(buckets.join(shared, "key"), "members")
-    sketches = classes.select("rep", "sketch")
+    found = signed.filter("print is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n"))
+    classes = materialise(found.filter("rep is not null"), "classes")
+    buckets = classes.select("rep", F.posexplode("bands").alias("band", "key"))
+    shared = buckets.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1").select("key")
+    members = materialise(buckets.join(shared, "key").select("key", "band", "rep"), "members")
+    sketches = classes.select("rep", "n", "sketch")
     limit = sketch_limit(similarity)
-
-    # First round: members against pivots, the closest few of each member.
-    pairs = members.filter("rep != pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
-    pairs = pairs.join(sketches.select(F.col("rep").alias("a"), F.col("sketch").alias("s")), "a").join(sketches.select(F.col("rep").alias("b"), F.col("sketch").alias("t")), "b")
-    pairs = pairs.withColumn("far", differing(F.col("s"), F.col("t"))).filter(F.col("far") <= limit).select("a", "b", "far")
-    closest = Window.partitionBy("a").orderBy("far", "b")
-    first = pairs.withColumn("k", F.row_number().over(closest)).filter(F.col("k") <= FIRST_PIVOTS).select("a", "b")
-    links = materialise(confirmed(first, docs, size, similarity), "links")
-    found = materialise(components(links), "components")
-
-    # Second round: whatever shares a bucket and isn't joined yet.
-    named = members.select("key", "rep").join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    named = materialise(named, "named")
-    mixed = named.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
-    left = named.join(mixed, "key").join(sketches, "rep")
+    components_of = None
+
+    def named(rows: DataFrame) -> DataFrame:
+        if components_of is None:
+            return rows.withColumn("component", F.col("rep"))
+        return rows.join(components_of.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+
+    def mixed(rows: DataFrame) -> DataFrame:
+        keys = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low != high").select("key")
+        return materialise(rows.join(keys, "key"), "mixed")
+
+    def contracted(links: DataFrame) -> DataFrame:
+        edges = links if components_of is None else components_of.select(F.col("node").alias("a"), F.col("component").alias("b")).union(links)
+        return materialise(components(edges), "components")
+
+    # Linear rounds: members against one pivot of their bucket.  The pivot goes by a hash of the id, so that buckets of
+    # the same group have few pivots among them; each round has another hash.
+    rows = members.withColumn("component", F.col("rep"))
+    for turn in range(LINEAR_ROUNDS):
+        head = F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "component"))
+        pivots = rows.groupBy("key").agg(head.alias("p")).select("key", F.col("p.rep").alias("pivot"), F.col("p.component").alias("own"))
+        pairs = rows.join(pivots, "key").filter("component != own").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
+        a = sketches.select(F.col("rep").alias("a"), F.struct("n", "sketch").alias("x"))
+        b = sketches.select(F.col("rep").alias("b"), F.struct("n", "sketch").alias("y"))
+        near = pairs.join(a, "a").join(b, "b").filter(fits("x", "y", limit)).withColumn("far", differing(F.col("x.sketch"), F.col("y.sketch")))
+        closest = Window.partitionBy("a").orderBy("far", "b")
+        chosen = near.select("a", "b", "far").withColumn("k", F.row_number().over(closest)).filter(F.col("k") <= FIRST_PIVOTS).select("a", "b")
+        links = materialise(confirmed(chosen, docs, size, similarity), "links")
+        components_of = contracted(links)
+        rows = mixed(named(members))
+
+    # Whatever shares a bucket and isn't joined yet, each pair in the first bucket where it meets.  The join itself
+    # compares full sets of up to INLINE shingles, so that it makes links, not candidates; pairs with larger sets follow.
+    ids = materialise(rows.select(F.col("rep").alias("doc_id")).distinct(), "ids")
+    inline = ids.join(classes.select(F.col("rep").alias("doc_id"), "n"), "doc_id").filter(F.col("n") <= INLINE).select("doc_id")
+    sets = sets_of(materialise(inline, "ids"), docs, size).withColumnRenamed("doc_id", "rep")
+    left = rows.join(classes.select("rep", "n", "sketch", "bands"), "rep").join(sets, "rep", "left")
     left = materialise(left, "left")
     a, b = left.alias("a"), left.alias("b")
-    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & (differing(F.col("a.sketch"), F.col("b.sketch")) <= limit)
-    second = a.join(b, apart).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b")).distinct()
-    more = materialise(confirmed(second, docs, size, similarity), "links")
-    merged = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    exact = enough(F.col("a.found"), F.col("b.found"), similarity)
+    apart = (F.col("a.key") == F.col("b.key")) & (F.col("a.component") < F.col("b.component")) & fits("a", "b", limit) & first_meeting("a", "b") & F.coalesce(exact, F.lit(True))
+    second = materialise(a.join(b, apart).select(F.col("a.rep").alias("a"), F.col("b.rep").alias("b"), exact.isNotNull().alias("sure")), "links")
+    more = second.filter("sure").select("a", "b").union(confirmed(second.filter("not sure").select("a", "b"), docs, size, similarity))
+    merged = contracted(more)
 
     top = classes.select("print", "rep").join(merged.withColumnRenamed("node", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component_id"))
     out = signed.select("doc_id", "n_shingles", "print").join(top, "print", "left")
     out = out.withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def first_of_each(docs: DataFrame, size: int = 5, similarity: float = SIMILARITY) -> DataFrame:
