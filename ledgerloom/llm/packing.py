@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytepairs import byte_pairs
-from .common import materialise, for_workers
+from .common import for_workers, materialise, small_side
 
 WIDTH = 1024
 SCALE = 1 << 30
@@ -155,7 +155,8 @@ def pack(docs: DataFrame, tokenizer_file: str, targets: dict[str, float] | None
     # Start of each task's share of a queue: a running sum over the sums, first within a source, then over small sources.
     sums = sums.join(F.broadcast(numbered), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(names))))
     ordered = sums.withColumn("begin", F.sum("n").over(Window.partitionBy("queue").orderBy("source", "task")) - F.col("n")).select("source", "task", "queue", "begin")
-    rows = tokens.join(ordered, ["source", "task"]).select("doc_id", "ids", "n", "queue", (F.col("begin") + F.col("before")).alias("start"))
+    ordered = materialise(ordered, "starts")
+    rows = tokens.join(small_side(ordered), ["source", "task"]).select("doc_id", "ids", "n", "queue", (F.col("begin") + F.col("before")).alias("start"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
