@@ -3,12 +3,14 @@
 Fixed forms (``FORMS``) give the seed entities.  Their places are counted in code points: a regular expression cuts a
 text into gaps and hits, and a fold over both adds up the lengths.
 
-Bootstrapping: looser forms (``LOOSE``: phones without a plus, spelt-out addresses, cards in other groups, IPv6) give
-candidates.  Seeds and candidates have the words around them; a lexical pattern is the kind with the two words before,
-or with the word on either side.  Patterns and distinct values are the two sides of a graph.  In each round
-
-* a pattern's score is the mean score of its values, and it is trusted with at least ``SUPPORT`` known values and a
-  score of ``TRUST``;
+Bootstrapping: the token runs that a slot of a kind can hold (``LOOSE``: digits in any groups, spelt-out addresses, hex
+groups) give candidates, cut whole.  One that is a valid fixed form of another kind or fails the checks of its own
+(checksum, number of digits or groups, a date) is contradicted.  Seeds and candidates have the words around them; a
+lexical pattern is the kind with the two words before, or with the word on either side.  Patterns and distinct values
+are the two sides of a graph.  In each round
+
+* a pattern's score is the summed score of its values over that sum and its contradicted values; what is unknown yet
+  counts neither way.  It is trusted with at least ``SUPPORT`` values that have a score, and a score of ``TRUST``;
 * a candidate's score is the best of its trusted patterns, at most the pattern's own score; known values have 1.
 
 Candidates that trusted patterns reach are new identifiers and support further patterns in the next round.  All tables
@@ -41,13 +43,17 @@ FORMS = {
 #: A text without this has no hit of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
-#: Forms that count only in a trusted context.
+_NAME = r"[A-Za-z0-9._%+-]{1,64}+"
+_DOT = r"[\[({<]\x20?(?:dot|DOT)\x20?[\])}>]"
+#: Token runs that count only in a trusted context.  Digits are taken in any groups; ``plausible`` says what can't be.
 LOOSE = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?[\[(](?:at|AT)[\])] ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|[\[(](?:dot|DOT)[\])]) ?[A-Za-z0-9-]{2,63}+)++",
-    "ip": r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}+:){5,7}[0-9A-Fa-f]{1,4}+(?![0-9A-Fa-f:])",
-    "card": r"(?<![0-9])[0-9]{4}(?:[._/][0-9]{4}){3}(?![0-9])",
-    "phone": r"(?<![0-9+.(-])\(?[0-9]{2,4}\)?[\x20./-][0-9]{3,4}[\x20./-][0-9]{3,4}(?![0-9])",
+    "email": rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:\x20(?:dot|DOT)\x20{_NAME})*+(?:\x20?[\[({{<]\x20?(?:at|AT)\x20?[\])}}>]\x20?[A-Za-z0-9-]{{1,63}}+(?:\x20?(?:\.|{_DOT})\x20?[A-Za-z0-9-]{{2,63}}+|\x20(?:dot|DOT)\x20[A-Za-z0-9-]{{2,63}}+)++|(?:\x20(?:at|AT)\x20|\x20@\x20)[A-Za-z0-9-]{{1,63}}+(?:(?:\.|\x20(?:dot|DOT)\x20|\x20?{_DOT}\x20?)[A-Za-z0-9-]{{2,63}}+)++)",
+    "ip": r"(?<![0-9A-Za-z:.])(?:(?=[:]*[0-9A-Fa-f])(?:[0-9A-Fa-f]{0,4}:){2,8}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])|[0-9]{1,3}(?:\x20?(?:\.|[\[(](?:\.|dot|DOT)[\])])\x20?[0-9]{1,3}|\x20(?:dot|DOT)\x20[0-9]{1,3}){3}(?![0-9A-Za-z]))",
+    "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20._/-]?[0-9]){12,}+(?![A-Za-z])",
+    "phone": r"(?<![0-9A-Za-z+])\(?[0-9](?:\)?[\x20./-]?\(?[0-9]){5,}+(?![A-Za-z])",
 }
+#: A text without this has no candidate of the kind.
+LOOSE_NEEDS = {"email": r"(?:at|AT)[\x20\])}>]|\x20@\x20", "ip": "[0-9:]", "card": "[0-9]", "phone": "[0-9]"}
 
 ROUNDS = 3
 SUPPORT = 5
@@ -77,6 +83,23 @@ def valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def plausible(kind: str, value: Column) -> Column:
+    """Whether a candidate can be of the kind at all."""
+    digits = F.regexp_replace(value, "[^0-9]", "")
+    if kind == "ip":
+        groups = F.size(F.filter(F.split(value, ":"), lambda g: g != ""))
+        six = F.when(value.contains("::"), (groups <= 7) & ~value.rlike("::.*::|:::|^:[^:]|[^:]:$")).otherwise((groups == 8) & ~value.rlike("^:|:$"))
+        four = F.forall(F.regexp_extract_all(value, F.lit("[0-9]+"), F.lit(0)), lambda p: p.cast("int") <= 255)
+        return F.when(value.contains(":"), six).otherwise(four)
+    if kind == "card":
+        return valid("card", value)
+    if kind == "phone":
+        year, month, day = "(?:19|20)[0-9]{2}", "(?:0?[1-9]|1[0-2])", "(?:0?[1-9]|[12][0-9]|3[01])"
+        dates = "|".join(rf"{a}([./-]){b}{r}{c}" for a, b, c, r in ((year, month, day, r"\1"), (day, month, year, r"\2"), (month, day, year, r"\3")))
+        return F.length(digits).between(6, 15) & ~value.rlike(rf"^(?:{dates})(?:\x20[0-9]{{1,2}})?$")
+    return F.lit(True)
+
+
 def placed(gaps: Column, found: Column, accept) -> Column:
     """Start, end and value of the matches that ``accept`` takes."""
     none = F.array().cast(SPAN)
@@ -100,7 +123,7 @@ def spans_of(docs: DataFrame) -> DataFrame:
     for prefix, forms in (("", FORMS), ("loose_", LOOSE)):
         for kind, form in forms.items():
             gaps, found = hits(F.col("whole"), form)
-            needs = F.contains("whole", F.lit(NEEDS[kind])) if not prefix else F.col("whole").rlike("[0-9@(\\[]")
+            needs = F.contains("whole", F.lit(NEEDS[kind])) if not prefix else F.col("whole").rlike(LOOSE_NEEDS[kind])
             empty = F.array().cast("array<string>")
             cut[f"gaps_{prefix}{kind}"] = F.when(needs, gaps).otherwise(empty)
             cut[f"hits_{prefix}{kind}"] = F.when(needs, found).otherwise(empty)
@@ -114,8 +137,11 @@ def overlaps(span: Column, others: list[Column]) -> Column:
     return reduce(lambda a, b: a | b, [F.exists(o, lambda x: (x["start"] < span["end"]) & (span["start"] < x["end"])) for o in others])
 
 
-def with_context(kind: str, spans: Column, known: bool) -> Column:
-    """The spans with their patterns: two words before, and the words on either side."""
+def with_context(kind: str, spans: Column, others: list[Column] | None = None) -> Column:
+    """The spans with their patterns: two words before, and the words on either side.
+
+    With ``others``, the spans of fixed forms of other kinds, these are candidates; otherwise they are known.
+    """
     word = r"[^\x20\x09-\x0D]+"
 
     def one(s: Column) -> Column:
@@ -127,7 +153,8 @@ def with_context(kind: str, spans: Column, known: bool) -> Column:
         last = F.regexp_extract(left, rf"({word})$", 1)
         right = F.regexp_extract(after, rf"^[\x20\x09-\x0D]*({word})", 1)
         patterns = F.filter(F.array(F.when(left.contains(" "), F.concat(left, F.lit(" _"))), F.when((last != "") & (right != ""), F.concat(last, F.lit(" _ "), right))), lambda p: p.isNotNull())
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(known).alias("known"), patterns.alias("patterns"))
+        against = F.lit(False) if others is None else overlaps(s, others) | ~plausible(kind, s["value"])
+        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), F.lit(others is None).alias("known"), against.alias("against"), patterns.alias("patterns"))
 
     return F.transform(spans, one)
 
@@ -135,10 +162,11 @@ def with_context(kind: str, spans: Column, known: bool) -> Column:
 def entities(docs: DataFrame) -> DataFrame:
     """doc_id, copy (a hash of the text) and all: every seed and candidate with its patterns.  One pass over the texts."""
     df = spans_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
-    base = [F.col(k) for k in KINDS]
-    clear = {f"loose_{k}": F.filter(f"loose_{k}", lambda s: ~overlaps(s, base)) for k in KINDS}
+    apart = lambda k: lambda s: ~overlaps(s, [F.col(k)])
+    clear = {f"loose_{k}": F.filter(f"loose_{k}", apart(k)) for k in KINDS}
     df = df.withColumns(clear)
-    every = F.concat(*[with_context(k, F.col(k), True) for k in KINDS], *[with_context(k, F.col(f"loose_{k}"), False) for k in KINDS])
+    rest = {k: [F.col(o) for o in KINDS if o != k] for k in KINDS}
+    every = F.concat(*[with_context(k, F.col(k)) for k in KINDS], *[with_context(k, F.col(f"loose_{k}"), rest[k]) for k in KINDS])
     return df.select("doc_id", F.xxhash64("whole").alias("copy"), every.alias("all"))
 
 
@@ -148,16 +176,18 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, tr
     ``found``: what ``entities`` gives.  Rounds end early once no candidate is added.
     """
     mentions = found.select(F.explode("all").alias("m")).select("m.*")
-    edges = mentions.select("kind", "value", "known", F.explode("patterns").alias("pattern"))
-    edges = edges.groupBy("kind", "pattern", "value").agg(F.max("known").alias("known"))
+    edges = mentions.select("kind", "value", "known", "against", F.explode("patterns").alias("pattern"))
+    edges = edges.groupBy("kind", "pattern", "value").agg(F.max("known").alias("known"), F.min("against").alias("against"))
+    edges = edges.withColumn("against", F.col("against") & ~F.col("known"))
     # Only patterns with a candidate can add one, and only those with enough known values can be trusted.
     edges = materialise(edges.withColumn("score", F.col("known").cast("double")), "edges")
     before = -1
     for _ in range(rounds):
-        patterns = edges.groupBy("kind", "pattern").agg(F.avg("score").alias("trust"), F.count_if(F.col("score") > 0).alias("n"), F.count_if(~F.col("known")).alias("open"))
+        patterns = edges.groupBy("kind", "pattern").agg(F.sum("score").alias("for"), F.count_if("against").alias("not"), F.count_if(F.col("score") > 0).alias("n"), F.count_if(~F.col("known") & ~F.col("against")).alias("open"))
+        patterns = patterns.withColumn("trust", F.try_divide("for", F.col("for") + F.col("not")))
         trusted = patterns.filter((F.col("n") >= support) & (F.col("trust") >= trust) & (F.col("open") > 0)).select("kind", "pattern", "trust")
         trusted = materialise(trusted, "trusted")
-        reached = edges.filter(~F.col("known")).join(small_side(trusted), ["kind", "pattern"]).groupBy("kind", "value").agg(F.max("trust").alias("now"))
+        reached = edges.filter(~F.col("known") & ~F.col("against")).join(small_side(trusted), ["kind", "pattern"]).groupBy("kind", "value").agg(F.max("trust").alias("now"))
         reached = materialise(reached, "reached")
         count = reached.count()
         if count == before or not count:
@@ -186,7 +216,7 @@ def personal_spans(docs: DataFrame) -> DataFrame:
     """doc_id, copy, base (spans of the fixed forms) and spans (those and the discovered ones) of each document."""
     found = materialise(entities(docs), "entities")
     new = bootstrap(found)
-    mentions = found.select("doc_id", "copy", F.explode(F.filter("all", lambda m: ~m["known"])).alias("m"))
+    mentions = found.select("doc_id", "copy", F.explode(F.filter("all", lambda m: ~m["known"] & ~m["against"])).alias("m"))
     mine = mentions.select("doc_id", "copy", "m.kind", "m.start", "m.end", "m.value").join(small_side(new), ["kind", "value"])
     mine = mine.dropDuplicates(["doc_id", "copy", "kind", "start", "end"]).groupBy("doc_id", "copy").agg(F.collect_list(F.struct("kind", "start", "end")).alias("more"))
     mine = materialise(mine, "discovered").withColumnsRenamed({"doc_id": "id", "copy": "same"})

@@ -316,6 +316,35 @@ def test_contexts_find_unseen_identifiers(spark):
     assert spans[200] == "" and spans[201] == ""
 
 
+def test_contexts_hold_more_unseen_than_known_identifiers(spark):
+    """Many unseen values of any grouping behind 8 known ones; contradicted contexts stay untrusted."""
+    luhn = lambda d: d + str(-sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(d))) % 10)
+    card = [luhn(f"37828224631{k:03}") for k in range(40)]
+    before = {"phone": "please call me at", "email": "please write mail to", "ip": "the host answers from", "card": "paid by credit card"}
+    known = {"phone": lambda k: f"+1 (20{k}) 555-1000", "email": lambda k: f"u{k}@host.com", "ip": lambda k: f"10.0.0.{k}", "card": lambda k: luhn(f"41111111111111{k}")}
+    unseen = {
+        "phone": [f"555-01{k:02}" for k in range(20)] + [f"20794609{k:02}" for k in range(20)] + ["(020) 7946 0958"],
+        "email": [f"ann{k} at host dot com" for k in range(20)] + ["ann.lee (at) host [dot] com"],
+        "ip": [f"2001:db8::{k:x}" for k in range(1, 20)] + ["::1", "fe80:0:0:0:0:0:0:1", "10[.]0[.]0[.]77"],
+        "card": [f"{c[:4]}.{c[4:10]}.{c[10:]}" for c in card],
+    }
+    data, expected = [], {}
+    for kind, words in before.items():
+        data += [f"{words} {known[kind](k)} today" for k in range(8)]
+        for value in unseen[kind]:
+            expected[len(data)] = f"{kind}:{len(words) + 1}:{len(words) + 1 + len(value)}"
+            data.append(f"{words} {value} today")
+    clean = len(data)
+    data += ["please call me at 2024-01-15 today", "the lot was 1234567 sold", "paid by credit card 3782.822463.10006 today", "the host answers from 10:30:00 today"]
+    # As many numbers that fail the checksum as cards: the context says nothing about the others.
+    mixed = len(data)
+    data += [f"see the entry {luhn(f'41111111111112{k}')} here" for k in range(8)] + [f"see the entry {c[:4]}.{c[4:10]}.{c[10:14]}{(int(c[14]) + 1) % 10} here" for c in card[:8]] + [f"see the entry {c[:4]}.{c[4:10]}.{c[10:]} here" for c in (luhn("55550000111122"),)]
+    docs = spark.createDataFrame(list(enumerate(data)), "doc_id bigint, text string")
+    spans = {r[0]: r[1] for r in rows_of(personal.digests(docs), "doc_id", "spans")}
+    assert {i: spans[i] for i in expected} == expected
+    assert all(spans[i] == "" for i in range(clean, mixed)) and all(spans[i] == "" for i in range(mixed + 8, len(data)))
+
+
 def test_redacted(spark, hard):
     out = {r["doc_id"]: r["text"] for r in personal.redacted(hard).collect()}
     assert out[6] == "same text in two rows, <EMAIL> and <IP>" and out[1] is None and out[2] == ""
