@@ -38,20 +38,37 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, key: str, text: str,
 
 
 def edit_pairs(left: DataFrame, right: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """(a, b, similarity) of pairs with so much edit similarity.
+    """(a, b, similarity) of all pairs with so much edit similarity, above zero; for texts of any length and script.
 
-    An edit changes at most three trigrams, so texts over a threshold of 0.7 share one unless their trigrams repeat
-    much; they meet in the blocks of their trigrams.  Texts of up to three characters are blocked by their length.
+    The longer text of a pair allows d edits and is cut into d + 1 segments, of which one stays whole (pigeonhole).  The
+    shorter one holds it, moved by no more than the edits before it and the rest of the edits after it allow.  Pairs meet
+    on the longer length, the place of the segment and the segment.
     """
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        short = F.length("t") <= 3
-        found = F.when(short, F.array(F.concat(F.lit("#"), F.length("t").cast("string")))).otherwise(trigrams(F.col("t")))
-        return df.select(F.col(text).alias("t")).filter("t is not null").distinct().select(F.col("t").alias(name), F.explode(found).alias("block"))
+    def edits(size: Column) -> Column:
+        return F.floor(size * (1 - threshold) + 1e-9).cast("int")
 
-    pairs = blocks(left, "x").join(blocks(right, "y"), "block")
-    bound = F.least(F.length("x"), F.length("y")) >= F.greatest(F.length("x"), F.length("y")) * threshold
-    pairs = pairs.filter(bound).select("x", "y").distinct()
+    def segment(df: DataFrame) -> DataFrame:
+        df = df.withColumn("place", F.explode(F.sequence(F.lit(0), edits(F.col("size")))))
+        cut = lambda i: F.floor(i * F.col("size") / (edits(F.col("size")) + 1)).cast("int")
+        return df.withColumn("start", cut(F.col("place"))).withColumn("width", cut(F.col("place") + 1) - F.col("start"))
+
+    def texts(df: DataFrame) -> DataFrame:
+        return df.select(F.col(text).alias("t")).filter("t is not null").distinct()
+
+    def longer(df: DataFrame, name: str) -> DataFrame:
+        return segment(texts(df).withColumn("size", F.length("t"))).select(F.col("t").alias(name), "size", "place", F.substring("t", F.col("start") + 1, F.col("width")).alias("part"))
+
+    def shorter(df: DataFrame, name: str) -> DataFrame:
+        own = F.length("t")
+        df = texts(df).withColumn("size", F.explode(F.sequence(own, F.floor(own / threshold + 1e-9).cast("int"))))
+        gap, most = F.col("size") - own, edits(F.col("size"))
+        moved = F.sequence(-F.floor((most + gap) / 2).cast("int"), F.floor((most - gap) / 2).cast("int"))
+        df = segment(df.filter(gap <= most)).withColumn("by", F.explode(moved)).withColumn("at", F.col("start") + F.col("by")).filter((F.col("at") >= 0) & (F.col("at") + F.col("width") <= own))
+        return df.select(F.col("t").alias(name), "size", "place", F.substring("t", F.col("at") + 1, F.col("width")).alias("part")).distinct()
+
+    on = ["size", "place", "part"]
+    pairs = longer(left, "x").join(shorter(right, "y"), on).select("x", "y").union(shorter(left, "x").join(longer(right, "y"), on).select("x", "y")).distinct()
     pairs = pairs.withColumn("similarity", edit_similarity(F.col("x"), F.col("y"))).filter(F.col("similarity") >= threshold)
     return left.select(F.col(key).alias("a"), F.col(text).alias("x")).join(pairs, "x").join(right.select(F.col(key).alias("b"), F.col(text).alias("y")), "y").select("a", "b", "similarity")
 

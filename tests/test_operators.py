@@ -37,6 +37,25 @@ def test_tiered_prefers_keys(spark):
     assert sets(out.select("record", "match", "confidence")) == [(1, 10, 90), (2, 20, 85), (3, 30, 75)]
 
 
+def test_edit_pairs_are_all_pairs(spark):
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, e in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (c != e))
+        return row[-1]
+
+    rng = random.Random(3)
+    names = ["tcs", "tcsl", "ab", "a", "", "रिलायंस", "रिलायन्स", "reliance", "relxanxe", "sunshine", "sumshime", "aaaaaaaa", "aaaaaaaaaa", "腾讯控股", "腾讯控"]
+    names += ["".join(rng.choice("abक") for _ in range(rng.randint(0, 14))) for _ in range(150)]
+    left, right = sorted(set(names)), sorted(set(names[::2]))
+    for threshold in (0.75, 0.5, 0.9):
+        out = matching.edit_pairs(spark.createDataFrame([(n,) for n in left], "n string"), spark.createDataFrame([(n,) for n in right], "n string"), "n", "n", threshold)
+        brute = [(a, b) for a in left for b in right if a == b or (max(len(a), len(b)) - distance(a, b)) / max(len(a), len(b)) >= threshold]
+        assert sets(out.select("a", "b")) == sorted(brute, key=repr)
+
+
 def test_overlapping_crosses_buckets(spark):
     d = datetime.date
     df = spark.createDataFrame([(1, d(2024, 1, 1), d(2024, 6, 1), "x"), (2, d(2024, 5, 1), d(2024, 9, 1), "x"), (3, d(2024, 6, 2), d(2024, 6, 2), "x"), (4, d(2024, 5, 5), d(2024, 5, 6), "y")], "id int, s date, e date, g string")
