@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compact_key, edit_similarity, match_key, trigrams
+from ..functions.text import compact_key, edit_similarity, match_key, slug, token_overlap, trigrams
 
 
 def similar_pairs(left: DataFrame, right: DataFrame | None, key: str, text: str, threshold: float, right_key: str | None = None, right_text: str | None = None) -> DataFrame:
@@ -107,24 +107,61 @@ def unique_only(records: DataFrame, master: DataFrame, record_id: str, master_id
     return best.select("record", F.col("m.match").alias("match"), F.col("m.priority").alias("priority"))
 
 
-def tiered(records: DataFrame, master: DataFrame, record_id: str, record_name: str, master_id: str, master_name: str, edit: float = 0.75, trigram: float = 0.3) -> DataFrame:
-    """record, match, confidence: 90 by normalised name, 85 by compact name, else 75 by edit similarity.
+def overlap_pairs(left: DataFrame, right: DataFrame, threshold: float, shortest: int = 4) -> DataFrame:
+    """(x, y, similarity) of distinct names ``n`` of both sides with so much ``token_overlap``, above zero.
 
-    The similarity tier looks only at records that no key matched, within trigram blocks.
+    A word of ``x`` lies in a word of ``y``, so it meets the parts of the distinct words of ``right``.  Enough words of
+    ``x`` can only occur in ``y`` if one of its rarest does (prefix filter).
     """
-    a = records.select(F.col(record_id).alias("record"), match_key(F.col(record_name)).alias("k1"), compact_key(F.col(record_name)).alias("k2"))
-    b = master.select(F.col(master_id).alias("match"), match_key(F.col(master_name)).alias("k1"), compact_key(F.col(master_name)).alias("k2"))
+    a, b = left.select(F.col("n").alias("x")).distinct(), right.select(F.col("n").alias("y")).distinct()
+    words = b.select("y", F.explode(F.array_distinct(F.split("y", r"\s+"))).alias("word")).filter(F.length("word") >= shortest)
+    terms = a.select("x", F.filter(F.split("x", r"\s+"), lambda t: F.length(t) >= shortest).alias("terms")).filter(F.size("terms") > 0)
+    each = terms.select("x", F.explode("terms").alias("term"))
+    size = F.length("word")
+    parts = words.select("word").distinct().withColumn("at", F.explode(F.sequence(F.lit(1), size - shortest + 1)))
+    parts = parts.withColumn("width", F.explode(F.sequence(F.lit(shortest), size - F.col("at") + 1)))
+    parts = parts.select("word", F.substring("word", F.col("at"), F.col("width")).alias("term")).distinct()
+    within = parts.join(each.select("term").distinct(), "term").join(words, "word").select("term", "y").distinct()
+    frequency = within.groupBy("term").agg(F.count("*").alias("often"))
+    counted = each.join(frequency, "term", "left").select("x", F.struct(F.coalesce("often", F.lit(0)).alias("often"), "term").alias("t"))
+    ordered = counted.groupBy("x").agg(F.array_sort(F.collect_list("t")).alias("ts"))
+    rare = F.slice("ts", F.lit(1), (F.size("ts") - F.ceil(F.size("ts") * threshold - 1e-9) + 1).cast("int"))
+    pairs = ordered.select("x", F.explode(rare).alias("t")).select("x", F.col("t.term").alias("term")).distinct().join(within, "term").select("x", "y").distinct()
+    return pairs.withColumn("similarity", token_overlap(F.col("x"), F.col("y"), shortest)).filter(F.col("similarity") >= threshold)
+
+
+#: Keys of ``tiered`` and their confidence.
+TIERS = ((slug, 90), (match_key, 85), (compact_key, 85))
+
+
+def tiered(records: DataFrame, master: DataFrame, record_id: str, record_name: str, master_id: str, master_name: str, edit: float = 0.75, overlap: float | None = 0.6, tiers: tuple = TIERS) -> DataFrame:
+    """record, match, confidence: by the first key of ``tiers`` that fits, 90 by slug and 85 by normalised or compact
+    name; else 80 by the share of the record's longer words in the master's name; else 75 by edit similarity.
+
+    The similarity tiers compare distinct names, also those that a key matches: leaving these out would put the plan of
+    each tier into the next several times over.  Without ``overlap``, its tier is left out.
+    """
+
+    def keyed(df: DataFrame, key: str, name: str, alias: str) -> DataFrame:
+        return df.select(F.col(key).alias(alias), match_key(F.col(name)).alias("n"), *[f(F.col(name)).alias(f"k{i}") for i, (f, _) in enumerate(tiers)])
+
+    a, b = keyed(records, record_id, record_name, "record"), keyed(master, master_id, master_name, "match")
     out = None
-    for column, confidence in (("k1", 90), ("k2", 85)):
-        first = b.filter(F.col(column) != "").groupBy(column).agg(F.min("match").alias("match"))
-        part = a.join(first, column).select("record", "match", F.lit(confidence).alias("confidence"), F.lit(1.0).alias("similarity"))
+    for i, (_, confidence) in enumerate(tiers):
+        first = b.filter(F.col(f"k{i}") != "").groupBy(f"k{i}").agg(F.min("match").alias("match"))
+        part = a.join(first, f"k{i}").select("record", "match", F.lit(confidence).alias("confidence"), F.lit(1.0).alias("similarity"))
         out = part if out is None else out.unionByName(part)
-    rest = a.join(out.select("record").distinct(), "record", "left_anti")
-    close = similar_pairs(rest, b, "record", "k1", trigram, "match", "k1").withColumnsRenamed({"a": "record", "b": "match"})
-    names = close.join(a.select("record", F.col("k1").alias("x")), "record").join(b.select("match", F.col("k1").alias("y")), "match")
-    scored = names.select("record", "match", F.lit(75).alias("confidence"), edit_similarity(F.col("x"), F.col("y")).alias("similarity")).filter(F.col("similarity") >= edit)
-    every = out.unionByName(scored)
-    best = every.groupBy("record").agg(F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("similarity")).alias("s"), "match")).alias("m"))
+    # One master row stands for each name.
+    names = b.filter("n != ''").groupBy("n").agg(F.min("match").alias("match"))
+    rest = a.filter("n != ''").select("record", "n")
+    mine = rest.select("n").distinct()
+    for confidence, threshold in ((80, overlap), (75, edit)):
+        if threshold is None:
+            continue
+        close = overlap_pairs(mine, names, threshold) if confidence == 80 else edit_pairs(mine, names.select("n"), "n", "n", threshold).withColumnsRenamed({"a": "x", "b": "y"})
+        part = rest.join(close, rest["n"] == close["x"]).select("record", "y", "similarity").join(names, F.col("y") == names["n"])
+        out = out.unionByName(part.select("record", "match", F.lit(confidence).alias("confidence"), "similarity"))
+    best = out.groupBy("record").agg(F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("similarity")).alias("s"), "match")).alias("m"))
     return best.select("record", F.col("m.match").alias("match"), (-F.col("m.c")).alias("confidence"))
 
 

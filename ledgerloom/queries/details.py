@@ -11,7 +11,7 @@ from ..plans import calendar, consolidate, health, quality, scoring
 from ..streaming import streams
 from . import Tables, query
 from .domain import BEST, RECORDS, STAR, points, records, star
-from .values import GRAMS, LIFE, MATCH, NAMED, life, suffixed
+from .values import GRAMS, LIFE, MATCH, NAMED, SLUG, life, suffixed
 
 
 @query(f"""WITH r AS (SELECT p_partkey AS record, {MATCH} AS k FROM {NAMED} WHERE p_partkey % 2 = 0), m AS (SELECT p_partkey AS match, {MATCH} AS k FROM {NAMED} WHERE p_partkey % 2 = 1),
@@ -22,6 +22,22 @@ c AS (SELECT record, match, 75 AS confidence FROM (SELECT r.record, m.match, row
 SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c""")
 def tiered_match(spark, sf_dir):
     t = Tables(spark, sf_dir).part.select("p_partkey", suffixed("p_partkey", "p_name").alias("name"))
+    tiers = ((text.match_key, 90), (text.compact_key, 85))
+    return matching.tiered(t.filter("p_partkey % 2 = 0"), t.filter("p_partkey % 2 = 1"), "p_partkey", "name", "p_partkey", "name", overlap=None, tiers=tiers)
+
+
+@query(f"""WITH s AS (SELECT p_partkey, p_partkey % 2 = 0 AS mine, CASE WHEN p_partkey % 4 = 0 THEN left(name, greatest(length(name) - 8, 0)) WHEN p_partkey % 4 = 2 THEN 'New ' || name ELSE name END AS name FROM {NAMED}),
+k AS (SELECT *, {SLUG} AS g, {MATCH} AS n FROM s), r AS (SELECT p_partkey AS record, g, n FROM k WHERE mine), m AS (SELECT p_partkey AS match, g, n FROM k WHERE NOT mine),
+p AS (SELECT x.n AS x, y.n AS y, len(list_filter(string_split(x.n, ' '), lambda t: length(t) > 3 AND contains(y.n, t)))::DOUBLE / nullif(len(list_filter(string_split(x.n, ' '), lambda t: length(t) > 3)), 0) AS o,
+(greatest(length(x.n), length(y.n)) - levenshtein(x.n, y.n))::DOUBLE / greatest(length(x.n), length(y.n)) AS e FROM (SELECT DISTINCT n FROM r WHERE n != '') x, (SELECT DISTINCT n FROM m WHERE n != '') y),
+c AS (SELECT record, match, 90 AS confidence, 1.0::DOUBLE AS score FROM r JOIN m USING (g) WHERE g != '' UNION ALL SELECT record, match, 85, 1.0 FROM r JOIN m ON replace(r.n, ' ', '') = replace(m.n, ' ', '') WHERE r.n != ''
+UNION ALL SELECT record, match, 80, o FROM r JOIN p ON r.n = x JOIN m ON m.n = y WHERE o >= 0.6 UNION ALL SELECT record, match, 75, e FROM r JOIN p ON r.n = x JOIN m ON m.n = y WHERE e >= 0.75)
+SELECT record, match, confidence FROM (SELECT *, row_number() OVER (PARTITION BY record ORDER BY confidence DESC, score DESC, match) AS place FROM c) WHERE place = 1""")
+def tiered_match_all(spark, sf_dir):
+    """All four tiers, on names of which some are cut short or have a word more."""
+    k, name = F.col("p_partkey") % 4, F.col("name")
+    t = Tables(spark, sf_dir).part.select("p_partkey", suffixed("p_partkey", "p_name").alias("name"))
+    t = t.withColumn("name", F.when(k == 0, F.left(name, F.greatest(F.length(name) - 8, F.lit(0)))).when(k == 2, F.concat(F.lit("New "), name)).otherwise(name))
     return matching.tiered(t.filter("p_partkey % 2 = 0"), t.filter("p_partkey % 2 = 1"), "p_partkey", "name", "p_partkey", "name")
 
 

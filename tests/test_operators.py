@@ -37,6 +37,15 @@ def test_tiered_prefers_keys(spark):
     assert sets(out.select("record", "match", "confidence")) == [(1, 10, 90), (2, 20, 85), (3, 30, 75)]
 
 
+def test_tiered_has_every_tier(spark):
+    names = ["Acme & Co Ltd", "Poly-Plast Ltd", "Sterling Solar Power India", "Reliance", "Hexaware", "Sunshine", "Tata Sons", "रिलायंस", "Sol"]
+    theirs = ["Acme and Co Limited", "Polyplast Limited", "Mega Sterlings Solarpower", "Relxanxe", "Hezawate", "Sumshime", "Tata Steel", "रिलायन्स", "Solx"]
+    records = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    master = spark.createDataFrame([(10 + k, n) for k, n in enumerate(theirs)], "mid int, name string")
+    out = matching.tiered(records, master, "id", "name", "mid", "name")
+    assert sets(out.select("record", "match", "confidence")) == [(0, 10, 90), (1, 11, 85), (2, 12, 80), (3, 13, 75), (4, 14, 75), (5, 15, 75), (7, 17, 75), (8, 18, 75)]
+
+
 def test_edit_pairs_are_all_pairs(spark):
     def distance(a, b):
         row = list(range(len(b) + 1))
