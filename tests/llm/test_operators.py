@@ -192,6 +192,27 @@ def test_near_duplicates_of_edited_copies(spark):
     assert out == brute.near_duplicates(data)
 
 
+def test_near_duplicates_in_tiles_rounds_and_exactly(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"w{k}" for k in range(90)]
+    data = []
+    for _ in range(240):  # from near copies to documents that are just not similar enough
+        copy = list(base)
+        for _ in range(rng.choice([0, 1, 2, 3, 4, 5, 6, 7, 8, 12])):
+            copy[rng.randrange(90)] = f"x{rng.randrange(400)}"
+        data.append((len(data), " ".join(copy)))
+    docs = spark.createDataFrame(data, "doc_id bigint, text string")
+    expected = brute.near_duplicates(data)
+    assert len({c for _, c, _ in expected.values()}) > 5
+    for tile, rounds, exact in ((8, 3, False), (8, 1, True), (256, 0, False)):
+        monkeypatch.setattr(neardup, "TILE", tile)
+        monkeypatch.setattr(neardup, "LINEAR_ROUNDS", rounds)
+        out = {r[0]: r[1:] for r in rows_of(neardup.near_duplicates(docs, 2, exact=exact), "doc_id", "n_shingles", "component_id", "kept")}
+        assert out == expected
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(docs, similarity=0.7)
+
+
 def test_near_duplicates_of_hard_rows(hard):
     out = {r[0]: r[1:] for r in rows_of(neardup.near_duplicates(hard, 2), "doc_id", "n_shingles", "component_id", "kept")}
     assert out[1] == (0, 1, True) and out[3] == (0, 3, True) and out[6] == (7, 6, True)
