@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import html
+import math
 import re
 import zlib
 
@@ -102,6 +103,46 @@ def quality_row(text: str | None) -> tuple:
     return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), n < 10 or 100 * len(covered) > 20 * n
 
 
+def quality_kept(rows: list[dict], rules: dict[str, list[float]], risk: float, confidence: float, gain: float) -> dict[int, bool]:
+    """doc_id -> kept, of rows with doc_id, stratum, base_failed, ratios (by rule), good (None without a label) and holdout."""
+    labelled = [r for r in rows if r["good"] is not None and not r["base_failed"]]
+    sizes: dict[str, int] = {}
+    for r in labelled:
+        if r["good"] and r["holdout"]:
+            sizes[r["stratum"]] = sizes.get(r["stratum"], 0) + 1
+    needed = lambda m: math.log(confidence / m) / math.log(1 - risk)
+    order = sorted((s for s in sizes if sizes[s] >= needed(1)), key=lambda s: (-sizes[s], s))
+    alone: list[str] = []
+    for n in range(1, len(order) + 1):
+        rest = sum(sizes.values()) - sum(sizes[s] for s in order[:n])
+        if sizes[order[n - 1]] >= needed(n + (rest > 0)) and (not rest or rest >= needed(n + 1)):
+            alone = order[:n]
+    pooled = sum(sizes.values()) > sum(sizes[s] for s in alone)
+    tests = len(alone) + (pooled or not alone)
+    cuts: dict[str | None, dict[str, float]] = {}
+    for group in [*alone, None]:
+        mine = [r for r in labelled if (r["stratum"] if r["stratum"] in alone else None) == group]
+        fit, held = [r for r in mine if not r["holdout"]], [r for r in mine if r["holdout"] and r["good"]]
+        good, bad = [r for r in fit if r["good"]], [r for r in fit if not r["good"]]
+        candidates = []
+        for which, (name, steps) in enumerate(rules.items()):
+            for step, c in enumerate(steps):
+                lost, caught = sum(r["ratios"][name] > c for r in good), sum(r["ratios"][name] > c for r in bad)
+                if caught > gain * (lost + 1) / (len(good) + 1) * len(bad):
+                    candidates.append((lost / max(len(good), 1), step, which, name, c))
+        chosen: dict[str, float] = {}
+        for _, _, _, name, c in sorted(candidates):
+            trial = chosen | {name: min(c, chosen.get(name, c))}
+            k, n = sum(any(r["ratios"][x] > y for x, y in trial.items()) for r in held), len(held)
+            tail = sum(math.comb(n, i) * risk**i * (1 - risk) ** (n - i) for i in range(k + 1)) if k <= n * risk else 1.0
+            if not n or tail > confidence / tests:
+                break
+            chosen = trial
+        cuts[group] = chosen
+    of = lambda r: cuts[r["stratum"] if r["stratum"] in alone else None]
+    return {r["doc_id"]: not r["base_failed"] and not any(r["ratios"][x] > y for x, y in of(r).items()) for r in rows}
+
+
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 

@@ -554,17 +554,27 @@ def test_binomial_tails(spark):
         assert r["p"] == pytest.approx(exact, rel=1e-9)
 
 
-def test_cutoffs_reject_bad_and_keep_good(spark):
+@pytest.mark.parametrize("sizes", [{"en": 2400, "de": 900, "fr": 330, "es": 180, "it": 20, None: 5}, {"en": 700, "de": 90}, {"en": 100}, {"en": 900, "de": 900}])
+def test_cutoffs_are_those_of_the_method(spark, sizes):
+    """kept of every document against plain Python: strata of all sizes, ties at a cutoff, toxic and repeated labels."""
     rng = random.Random(12)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8)))
     data, labels = [], []
-    for k in range(8000):
-        bad = k % 5 == 0
-        words = [word() + ("###" if bad else "") for _ in range(30)]
-        data.append((k, " ".join(words), "en"))
-        labels.append((k, 0 if bad else 1, 0))
+    for lang, n in sizes.items():
+        for k in range(n):
+            bad, i = k % 5 == 0, len(data)
+            marks = 30 if bad and k % 10 else rng.choice([0, 0, 0, 0, 0, 0, 0, 0, 6, 9])  # 6 of 30: equal to a cutoff
+            lines = "\n".join([" ".join(word() for _ in range(10))] * (3 if bad and k % 3 == 0 else 1) + [" ".join(word() for _ in range(30))])
+            data.append((i, lines + " " + "#" * marks, lang))
+            if k % 7:
+                labels += [(i, 0 if bad else 1, int(k % 11 == 0))] * (1 + (k % 13 == 0))
     docs, marks = spark.createDataFrame(data, "doc_id bigint, text string, lang string"), spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int")
-    out = {r["doc_id"]: r["kept"] for r in quality.judged(docs, marks).collect()}
-    good = [k for k, q, _ in labels if q]
-    assert sum(not out[k] for k in good) <= 2 * quality.RISK * len(good)
-    assert sum(not out[k] for k, q, _ in labels if not q) >= 0.9 * (len(data) - len(good))
+    out = quality.judged(docs, marks)
+    ratios = F.struct(*[ratio.cast("double").alias(name) for name, (ratio, _) in quality.rules().items()])
+    good = {i: q == 1 and not t for i, q, t in labels}
+    rows = [r.asDict(True) for r in out.select("doc_id", "stratum", "base_failed", "kept", ratios.alias("ratios"), (F.pmod(F.xxhash64("doc_id", F.lit("half")), F.lit(2)) == 1).alias("holdout")).collect()]
+    want = brute.quality_kept([r | {"good": good.get(r["doc_id"])} for r in rows], {n: c for n, (_, c) in quality.rules().items()}, quality.RISK, quality.CONFIDENCE, quality.GAIN)
+    assert {r["doc_id"]: r["kept"] for r in rows} == want
+    rejected = {r["doc_id"] for r in rows if not r["kept"] and not r["base_failed"]}
+    assert bool(rejected) == (sum(sizes.values()) > 300)
+    assert sum(good.get(i) is True for i in rejected) <= 2 * quality.RISK * sum(good.values())
