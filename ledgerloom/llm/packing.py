@@ -8,7 +8,7 @@ a queue runs dry, its share goes to the others in proportion; the schedule is th
 shares and a window of its own where queues end.
 
 Steps: tokenise once into a table (ids in 16 bits, with a running count per source within the task's rows); add up the
-counts per task and source with a window over those few sums; plan the segments from the totals per queue; cut each
+counts per task and source with windows over those few sums, per source and per part of the small sources; plan the segments from the totals per queue; cut each
 document at its windows.  Sources with less than one token a window share one queue, so there are never more than
 ``width`` queues whatever the number of sources, and what the driver sees is bounded by that.
 
@@ -51,7 +51,8 @@ class Segment:
             return np.zeros_like(t)
         if self.exact is not None:
             return t * sum(self.exact[: queue + 1])
-        return (t * self.shares[queue] >> 30) * width + ((t * self.shares[queue] & (SCALE - 1)) * width >> 30)
+        high, low = t >> 30, (t & (SCALE - 1)) * self.shares[queue]  # so that products fit for any number of windows
+        return (high * self.shares[queue] + (low >> 30)) * width + ((low & (SCALE - 1)) * width >> 30)
 
 
 def plan(totals: list[int], targets: list[float], width: int = WIDTH) -> list[Segment]:
@@ -94,17 +95,24 @@ def place(segments: list[Segment], queue: int, start: int, length: int, width: i
         low, high = max(start - s.given[queue], 0), min(start + length - s.given[queue], whole)
         if low >= high:
             continue
-        # The windows around both ends, one more on either side for rounding, and then all between.
         per = whole / s.count
-        t0, t1 = max(int((low - 2) / per) - 1, 0), min(int((high + 2) / per) + 2, s.count)
-        t = np.arange(t0, t1 + 1)
-        before = s.upto(t, queue - 1, width)
-        own = s.upto(t, queue, width) - before
-        a, b = np.maximum(own[:-1], low), np.minimum(own[1:], high)
+        if per >= 1:  # the windows around both ends, one more on either side for rounding, and all between
+            t = np.arange(max(int((low - 2) / per) - 1, 0), min(int((high + 2) / per) + 2, s.count))
+        else:  # many windows have no token of the queue: those of each token, by halving
+            token = np.arange(low, high)
+            t, end = np.zeros_like(token), np.full_like(token, s.count)
+            while (t + 1 < end).any():
+                middle = (t + end) >> 1
+                later = s.upto(middle, queue, width) - s.upto(middle, queue - 1, width) <= token
+                t, end = np.where(later, middle, t), np.where(later, end, middle)
+            t = np.unique(t)
+        before, after = s.upto(t, queue - 1, width), s.upto(t + 1, queue - 1, width)
+        own, until = s.upto(t, queue, width) - before, s.upto(t + 1, queue, width) - after
+        a, b = np.maximum(own, low), np.minimum(until, high)
         use = np.flatnonzero(a < b)
         begins.append(a[use] + s.given[queue] - start)
         windows.append(s.first + t[use])
-        offsets.append((before[1:] - before[:-1])[use] + a[use] - own[:-1][use])
+        offsets.append((after - before)[use] + a[use] - own[use])
     if len(begins) == 1:
         return begins[0], windows[0], offsets[0]
     return np.concatenate(begins), np.concatenate(windows), np.concatenate(offsets)
@@ -152,9 +160,16 @@ def pack(docs: DataFrame, tokenizer_file: str, targets: dict[str, float] | None
     segments = plan(queue_totals, queue_targets, width)
     spark = docs.sparkSession
     numbered = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)) or [("", 0)], "source string, queue int")
-    # Start of each task's share of a queue: a running sum over the sums, first within a source, then over small sources.
-    sums = sums.join(F.broadcast(numbered), "source", "left").withColumn("queue", F.coalesce("queue", F.lit(len(names))))
-    ordered = sums.withColumn("begin", F.sum("n").over(Window.partitionBy("queue").orderBy("source", "task")) - F.col("n")).select("source", "task", "queue", "begin")
+    # Start of each task's share of a queue: what the task's source has in tasks before it, and for small sources what
+    # lies before the source: in its part of the sources, and in the parts before that.
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    small = totals.join(F.broadcast(numbered), "source", "left_anti").withColumn("part", F.pmod(F.xxhash64("source"), F.lit(parts)))
+    ahead = small.groupBy("part").agg(F.sum("total").alias("n")).withColumn("ahead", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
+    within = F.sum("total").over(Window.partitionBy("part").orderBy("source")) - F.col("total")
+    small = materialise(small.withColumn("within", within).join(F.broadcast(ahead.drop("n")), "part").select("source", (F.col("ahead") + F.col("within")).alias("ahead")), "sources")
+    sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("task")) - F.col("n"))
+    sums = sums.join(F.broadcast(numbered), "source", "left").join(small_side(small), "source", "left")
+    ordered = sums.select("source", "task", F.coalesce("queue", F.lit(len(names))).alias("queue"), (F.col("before") + F.coalesce("ahead", F.lit(0))).alias("begin"))
     ordered = materialise(ordered, "starts")
     rows = tokens.join(small_side(ordered), ["source", "task"]).select("doc_id", "ids", "n", "queue", (F.col("begin") + F.col("before")).alias("start"))
 

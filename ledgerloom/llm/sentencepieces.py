@@ -1,10 +1,15 @@
 """SentencePiece BPE encoding by vectorised merge rounds, and decoding.
 
 Words are runs of spaces with the text that follows; no piece of such a model crosses a word's start, so words are
-encoded by themselves.  All new words of a batch are laid out in one flat array of symbols.  A round finds the best
-pair of each word with a segmented minimum over pair ranks, merges it at all places where that gives what merging
-leftmost first gives, and compacts the arrays; words without a pair left the arrays.  A word's ids go to a bounded
-cache, so that a round only sees words that the worker has not met.
+encoded by themselves.  All new words of a batch are laid out in one flat array of symbols, and cut between characters
+that are neighbours in no piece, as no merge can cross such a place: long words without spaces fall into many segments.
+A round finds the best pair of each segment with a segmented minimum over pair ranks, merges it at all places where that
+gives what merging leftmost first gives, and compacts the arrays; segments without a pair have left the arrays.  A word's
+ids go to a bounded cache, so that a round only sees words that the worker has not met.
+
+Decoding reads ids alone.  A word's first id is a piece that begins with a space mark, so that no run of byte ids goes on
+from one word to the next: what a text's ids decode to is what its words' ids decode to, one after the other, and those go
+to the same cache.
 
 Null or empty texts have no ids.  Repeated rows and ties give equal values; other columns are left alone.
 """
@@ -12,9 +17,9 @@ Null or empty texts have no ids.  Repeated rows and ties give equal values; othe
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +28,6 @@ from pyspark.sql import DataFrame
 from .common import for_workers
 
 SPACE = "▁"
-#: Words of more symbols are merged with a heap, in n log n steps however often their pairs tie.
-LONG_WORD = 256
 #: Words that a worker remembers; the cache starts anew beyond it.
 CACHE_WORDS = 500_000
 NONE = np.iinfo(np.int64).max
@@ -67,7 +70,8 @@ class PieceCodec:
         keys = np.array(sorted(found), dtype=np.int64)
         self.pair_rank = np.array([found[k][0] for k in keys.tolist()] + [NONE], dtype=np.int64)
         self.pair_id = np.array([found[k][1] for k in keys.tolist()] + [0], dtype=np.int64)
-        self.pairs = found
+        near = {self.symbol[a] * self.width + self.symbol[b] for p in self.id_of for a, b in zip(p, p[1:], strict=False)}
+        self.neighbours = np.array([*sorted(near), NONE], dtype=np.int64)
         # A hash table without probing: each slot holds a short run of the keys, sorted by slot.
         self.bits = 20
         slot = self._slot(keys)
@@ -77,8 +81,9 @@ class PieceCodec:
         self.first = np.searchsorted(slot[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
         self.run = int(np.diff(self.first).max(initial=1))
         self.name = list(map(str, range(size)))
-        self.words: dict[str, str] = {}  # word -> its ids
-        self.unlike: dict[str, str] = {}  # word -> what its ids decode to, where that isn't a space and the word
+        self.words: dict[str, list[int]] = {}  # word -> its ids
+        self.named: dict[str, str] = {}  # word -> its ids in decimal, joined by commas
+        self.spoken: dict[str, str] = {}  # word -> what its ids decode to
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -101,24 +106,18 @@ class PieceCodec:
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
         """The ids of each word, merged round by round over all of them."""
-        out: list[list[int] | None] = [None] * len(words)
-        short = []
-        for k, w in enumerate(words):
-            if len(w) > LONG_WORD:
-                out[k] = self._ids(w, self._merge_long(w))
-            else:
-                short.append(k)
-        if short:
-            for k, symbols in zip(short, self._merge_rounds([words[k] for k in short]), strict=True):
-                out[k] = self._ids(words[k], symbols)
-        return out
+        return [self._ids(w, symbols) for w, symbols in zip(words, self._merge_rounds(words), strict=True)] if words else []
 
     def _merge_rounds(self, words: list[str]) -> list[list[int]]:
         lengths = np.array([len(w) for w in words], dtype=np.int64)
         points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
         distinct, back = np.unique(points, return_inverse=True)
         symbols = np.array([self.symbol.get(chr(c), self.other) for c in distinct.tolist()], dtype=np.int64)[back]
-        word = np.repeat(np.arange(len(words)), lengths)
+        word_of = np.repeat(np.arange(len(words)), lengths)
+        key = symbols[:-1] * self.width + symbols[1:]
+        joined = (word_of[1:] == word_of[:-1]) & (self.neighbours[np.searchsorted(self.neighbours, key)] == key)
+        word = np.append(0, np.cumsum(~joined))  # from here on a word is a segment that merges can't leave
+        starts_of = word_of[np.flatnonzero(np.append(True, ~joined))]  # the word that each segment is of
         done_word, done_symbol, done_at = [], [], []
         position = np.arange(len(symbols))
         while len(symbols):
@@ -160,7 +159,7 @@ class PieceCodec:
             near = np.flatnonzero((w[1:] == w[:-1]) & (t[1:] | t[:-1]))
             early = near[self.pair_rank[self._find(s[near], s[near + 1])] <= best_here[keep][near]]
             if len(early):
-                careful = np.zeros(len(words), dtype=bool)
+                careful = np.zeros(len(starts_of), dtype=bool)
                 careful[w[early]] = True
                 first = np.append(True, word[at][1:] != word[at][:-1])
                 at = at[first | ~careful[word[at]]]
@@ -172,36 +171,11 @@ class PieceCodec:
             symbols, word, position = new[keep], word[keep], position[keep]
         word = np.concatenate(done_word) if done_word else np.zeros(0, dtype=np.int64)
         order = np.argsort(np.concatenate(done_at)) if done_at else word
-        word, symbols = word[order], (np.concatenate(done_symbol)[order] if done_symbol else word)
+        word, symbols = starts_of[word[order]], (np.concatenate(done_symbol)[order] if done_symbol else word)
         ends = np.cumsum(np.bincount(word, minlength=len(words))).tolist()
         flat = symbols.tolist()
         return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
 
-    def _merge_long(self, word: str) -> list[int]:
-        symbols: list[int | None] = [self.symbol.get(c, self.other) for c in word]
-        after, before = list(range(1, len(symbols) + 1)), list(range(-1, len(symbols) - 1))
-        after[-1] = -1
-        heap: list[tuple[int, int, int, int]] = []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and (p := self.pairs.get(symbols[i] * self.width + symbols[j])):
-                heapq.heappush(heap, (p[0], i, symbols[i], symbols[j]))
-
-        for i in range(len(symbols) - 1):
-            offer(i, i + 1)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i]
-            if symbols[i] != a or j < 0 or symbols[j] != b:
-                continue
-            symbols[i], symbols[j] = self.pairs[a * self.width + b][1], None
-            after[i] = after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer(before[i], i)
-            offer(i, after[i])
-        return [s for s in symbols if s is not None]
-
     def _ids(self, word: str, symbols: list[int]) -> list[int]:
         if max(symbols) < self.size:
             return symbols
@@ -220,7 +194,7 @@ class PieceCodec:
         return self._strip(self._text(ids))
 
     def _text(self, ids: list[int]) -> str:
-        shown = [self.shown[i] for i in ids]
+        shown = list(map(self.shown.__getitem__, ids))
         if None not in shown:
             return "".join(shown)
         out, raw = [], bytearray()
@@ -253,23 +227,28 @@ class PieceCodec:
 
     def digest(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, digest of the ids and digest of the decoded text, for each text."""
+        named, spoken = self.named.__getitem__, self.spoken.__getitem__
+        for row in self.known(texts):
+            joined, decoded = ",".join(map(named, row)), self._strip("".join(map(spoken, row)))
+            yield joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+
+    def known(self, texts: list[str]) -> list[list[str]]:
+        """The words of each text, all of which are in the cache afterwards."""
         rows = [self.split(t) for t in texts]
         if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-            self.unlike.clear()
-        known = self.words.get
-        found = [list(map(known, row)) for row in rows]
-        new = list({w for row, ids in zip(rows, found, strict=True) if None in ids for w, x in zip(row, ids, strict=True) if x is None})
-        name = self.name
+            for cache in (self.words, self.named, self.spoken):
+                cache.clear()
+        new = list(set(chain.from_iterable(rows)).difference(self.words))
         for w, ids in zip(new, self.encode_words([SPACE + w for w in new]), strict=True):
-            self.words[w] = ",".join([name[i] for i in ids])
-            if (text := self._text(ids)) != " " + w:
-                self.unlike[w] = text
-        words, unlike = self.words, self.unlike
-        for row, ids in zip(rows, found, strict=True):
-            joined = ",".join([words[w] if x is None else x for w, x in zip(row, ids, strict=True)] if None in ids else ids)
-            decoded = " ".join(row) if unlike.keys().isdisjoint(row) else self._strip("".join([unlike.get(w) or " " + w for w in row]))
-            yield joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+            self.words[w] = ids
+            self.named[w] = ",".join([self.name[i] for i in ids])
+            self.spoken[w] = self._text(ids)
+        return rows
+
+    def encode_texts(self, texts: list[str]) -> Iterator[list[int]]:
+        """The ids of each text."""
+        for row in self.known(texts):
+            yield list(chain.from_iterable(map(self.words.__getitem__, row)))
 
 
 _CODECS: dict[str, PieceCodec] = {}
@@ -307,9 +286,7 @@ def token_ids(docs: DataFrame, model_file: str, id_column: str = "doc_id", text_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model_file)
         for batch in batches:
-            rows = [own.split(t or "") for t in batch.column("text").to_pylist()]
-            new = list(set().union(*rows))
-            known = dict(zip(new, own.encode_words([SPACE + w for w in new]), strict=True))
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([[i for w in row for i in known[w]] for row in rows], pa.list_(pa.int32()))], names=[id_column, "ids"])
+            rows = list(own.encode_texts([t or "" for t in batch.column("text").to_pylist()]))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(rows, pa.list_(pa.int32()))], names=[id_column, "ids"])
 
     return docs.mapInArrow(run, f"`{id_column}` {kind}, ids array<int>")

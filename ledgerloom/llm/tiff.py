@@ -6,9 +6,11 @@ error instead of pixels, and the pages before and after it are still read; a fil
 one row with page null.  A directory that was met before ends the walk.
 
 ``store`` writes bytes as 8-bit grey samples, ``WIDTH`` to a row and ``PAGE_ROWS`` rows to a page, so that long payloads
-have several pages.  How pages are compressed follows from the payload's size alone: equal payloads, equal files.
+have several pages.  The pages take the ``LAYOUTS`` - codec, predictor, strips or tiles - in turn, beginning with one that
+a checksum of the payload names: equal payloads, equal files, and every layout gets payloads of all sizes.
 
-Null media are rows with an error.  Null texts are empty.  Repeated rows give equal values.  A file is one row and one
+A strip or tile is decoded no further than its pixels, and a page that claims more pixels than the file's bytes can hold,
+or more than a value of Spark can (``MOST_BYTES``), is a row with an error.  Null media are rows with an error.  Null texts are empty.  Repeated rows give equal values.  A file is one row and one
 task's work; pages are made one by one.  No shuffle.  Other columns are left alone.
 """
 
@@ -30,10 +32,12 @@ from .common import for_workers
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 WIDTH, PAGE_ROWS = 64, 1024
 STRIP_ROWS, TILE = 256, 64
-#: Payloads up to so many bytes are stored by LZW and PackBits; beyond, by deflate.
-LZW_BYTES, PACKBITS_BYTES = 512, 1024
-#: A page of more pixels bytes than this is an error, not an allocation.
+#: Compression, predictor and tile size (0: strips) of stored pages, in turn.
+LAYOUTS = ((LZW, 1, 0), (PACKBITS, 1, 0), (DEFLATE, 2, 0), (LZW, 2, TILE), (DEFLATE, 2, TILE))
+#: A page of more bytes of pixels than this is an error, not an allocation: it is one binary value.
 MOST_BYTES = 1 << 30
+#: No codec here makes more bytes than this of one.
+MOST_RATIO = 4096
 
 #: Field type -> size and format.
 TYPES = {1: "B", 2: "c", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 11: "f", 12: "d", 13: "I", 16: "Q", 17: "q", 18: "Q"}
@@ -52,9 +56,9 @@ class Page:
     error: str | None = None
 
 
-def unpackbits(data: bytes) -> bytes:
-    out, at, size = [], 0, len(data)
-    while at < size:
+def unpackbits(data: bytes, limit: int) -> bytes:
+    out, at, size, made = [], 0, len(data), 0
+    while at < size and made < limit:
         n = data[at]
         if n < 128:
             out.append(data[at + 1 : at + 2 + n])
@@ -64,7 +68,9 @@ def unpackbits(data: bytes) -> bytes:
             at += 2
         else:
             at += 1
-    return b"".join(out)
+            continue
+        made += len(out[-1])
+    return b"".join(out)[:limit]
 
 
 RUN = re.compile(rb"(.)\1{2,127}", re.S)
@@ -85,74 +91,99 @@ def packbits(data: bytes) -> bytes:
 
 
 _SINGLE = [bytes([k]) for k in range(256)]
+CLEAR, STOP, FIRST = 256, 257, 258
+#: Codes of a table from its clear code on: the last one makes it as full as 12 bits allow.
+EPOCH = 4096 - FIRST
+#: Bits of the k-th code after a clear code as a reader sees it, and where it begins.
+_WIDTHS = np.select([np.arange(EPOCH) < n - FIRST + 1 for n in (511, 1023, 2047)], [9, 10, 11], 12)
+_STARTS = np.concatenate([[0], np.cumsum(_WIDTHS)])
 
 
-def unlzw(data: bytes) -> bytes:
-    """Codes of 9 to 12 bits, the highest bit first; 256 starts a new table, 257 ends."""
-    table: list[bytes] = [*_SINGLE, b"", b""]
+def unlzw(data: bytes, limit: int) -> bytes:
+    """Codes of 9 to 12 bits, the highest bit first; 256 starts a new table, 257 ends.
+
+    All codes up to the next clear code have known places, so they are cut out at once.
+    """
     out: list[bytes] = []
-    held = bits = 0
-    width, before = 9, b""
-    for byte in data:
-        held = (held << 8 | byte) & 0xFFFFFF
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits & ((1 << width) - 1)
-        if code == 256:
-            del table[258:]
-            width, before = 9, b""
-            continue
-        if code == 257:
-            break
-        if code < len(table):
-            entry = table[code]
-        elif code == len(table) and before:
-            entry = before + before[:1]
+    made, at, bits = 0, 0, 8 * len(data)
+    wide = np.frombuffer(data + b"\0\0\0", np.uint8).astype(np.int64)
+    wide = wide[:-2] << 16 | wide[1:-1] << 8 | wide[2:]  # three bytes from each place on
+    while made < limit:
+        n = int(np.searchsorted(_STARTS, bits - at, side="right")) - 1
+        begins = at + _STARTS[:n]
+        codes = (wide[begins >> 3] >> (24 - (begins & 7) - _WIDTHS[:n]) & (1 << _WIDTHS[:n]) - 1).tolist()
+        table: list[bytes] = [*_SINGLE, b"", b""]
+        before = b""
+        again = False
+        for k, code in enumerate(codes):
+            if code == CLEAR:
+                at += int(_STARTS[k + 1])
+                again = True
+                break
+            if code == STOP:
+                break
+            if code < len(table):
+                entry = table[code]
+            elif code == len(table) and before:
+                entry = before + before[:1]
+            else:
+                raise ValueError("a code that isn't in the table")
+            if before:
+                table.append(before + entry[:1])
+            out.append(entry)
+            before = entry
+            made += len(entry)
+            if made >= limit:
+                break
         else:
-            raise ValueError("a code that isn't in the table")
-        if before:
-            table.append(before + entry[:1])
-        out.append(entry)
-        before = entry
-        size = len(table)
-        width = 9 if size < 511 else 10 if size < 1023 else 11 if size < 2047 else 12
-    return b"".join(out)
+            if n == EPOCH:
+                raise ValueError("a table without end")
+        if not again:
+            break
+    return b"".join(out)[:limit]
 
 
 def lzw(data: bytes) -> bytes:
-    codes: list[tuple[int, int]] = [(256, 9)]
-    table = {s: k for k, s in enumerate(_SINGLE)}
-    following, width, word = 258, 9, b""
+    codes, widths = [CLEAR], [9]
+    table: dict[int, int] = {}  # code of a word and a byte after it -> code of both
+    following, width, word = FIRST, 9, -1
     for byte in data:
-        longer = word + _SINGLE[byte]
-        if longer in table:
-            word = longer
+        if word < 0:
+            word = byte
+            continue
+        longer = word << 8 | byte
+        if (found := table.get(longer)) is not None:
+            word = found
             continue
-        codes.append((table[word], width))
+        codes.append(word)
+        widths.append(width)
         table[longer] = following
         following += 1
-        width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
-        if following == 4094:
-            codes.append((256, width))
-            table = {s: k for k, s in enumerate(_SINGLE)}
-            following, width = 258, 9
-        word = _SINGLE[byte]
-    if word:
-        codes.append((table[word], width))
-        following += 1
-        width = 9 if following < 512 else 10 if following < 1024 else 11 if following < 2048 else 12
-    codes.append((257, width))
-    held = bits = 0
-    for code, w in codes:
-        held = held << w | code
-        bits += w
-    pad = -bits % 8
-    return (held << pad).to_bytes((bits + pad) // 8, "big")
-
-
-DECODERS = {NONE: bytes, LZW: unlzw, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: unpackbits}
+        if following in (512, 1024, 2048):
+            width += 1
+        elif following == 4094:
+            codes.append(CLEAR)
+            widths.append(width)
+            table = {}
+            following, width = FIRST, 9
+        word = byte
+    if word >= 0:
+        codes.append(word)
+        widths.append(width)
+        width += following + 1 in (512, 1024, 2048)
+    codes.append(STOP)
+    widths.append(width)
+    n = np.array(widths)
+    place = np.arange(12)
+    bits = np.array(codes)[:, None] >> (11 - place) & 1
+    return np.packbits(bits[place >= 12 - n[:, None]].astype(np.uint8)).tobytes()
+
+
+def inflated(data: bytes, limit: int) -> bytes:
+    return zlib.decompressobj().decompress(data, limit)
+
+
+DECODERS = {NONE: lambda data, limit: data[:limit], LZW: unlzw, DEFLATE: inflated, OLD_DEFLATE: inflated, PACKBITS: unpackbits}
 ENCODERS = {NONE: bytes, LZW: lzw, DEFLATE: lambda data: zlib.compress(data, 1), PACKBITS: packbits}
 
 
@@ -174,6 +205,10 @@ def unpredicted(data: bytes, rows: int, columns: int, samples: int, bits: int, p
     return np.frombuffer(data, np.uint8, rows * wide).reshape(rows, wide)
 
 
+#: What reading a page whose fields or data are wrong can raise.
+BROKEN = (ValueError, KeyError, IndexError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error)
+
+
 class File:
     def __init__(self, data: bytes):
         self.data = data
@@ -228,7 +263,7 @@ class File:
             page = Page(number)
             try:
                 self._read(page, fields)
-            except (ValueError, KeyError, IndexError, struct.error, zlib.error) as e:
+            except BROKEN as e:
                 page.pixels, page.error = None, f"{type(e).__name__}: {e}"
             yield page
             number += 1
@@ -239,6 +274,9 @@ class File:
         page.samples, page.bits = one(277, 1), one(258, 1)
         page.compression, page.predictor = one(259, NONE), one(317, 1)
         planes = page.samples if one(284, 1) == 2 else 1
+        sizes = [page.width, page.height, page.samples, page.bits, one(278, 1), *fields.get(322, (1,)), *fields.get(323, (1,))]
+        if not all(isinstance(n, int) and n > 0 for n in sizes):
+            raise ValueError("sizes that aren't positive whole numbers")
         if page.compression not in DECODERS:
             raise ValueError(f"compression {page.compression}")
         if len(set(fields.get(258, (1,)))) > 1:
@@ -252,8 +290,11 @@ class File:
         if page.bits % 8 and (tiled or planes > 1):
             raise ValueError("tiles or planes of part bytes")
         wide = (page.width * each * page.bits + 7) // 8
-        if wide * page.height * planes > MOST_BYTES:
+        if wide * page.height * planes > min(MOST_BYTES, MOST_RATIO * len(self.data)):
             raise ValueError("too large")
+        if tiled and columns * rows * each * page.bits // 8 > MOST_RATIO * len(self.data):
+            raise ValueError("tiles that are too large")
+        full = (columns * each * page.bits + 7) // 8
         if len(starts) < across * down * planes or len(sizes) < len(starts):
             raise ValueError("strips or tiles are missing")
         out = np.zeros((planes, page.height, wide), dtype=np.uint8)
@@ -262,7 +303,7 @@ class File:
             y, x = divmod(rest, across)
             top, left = y * rows, x * columns
             high = rows if tiled else min(rows, page.height - top)
-            data = decode(self.data[starts[k] : starts[k] + sizes[k]])
+            data = decode(self.data[starts[k] : starts[k] + sizes[k]], high * full)
             block = unpredicted(data, high, columns, each, page.bits, page.predictor, self.order)
             begin = left * each * page.bits // 8
             high, broad = min(high, page.height - top), min(block.shape[1], wide - begin)
@@ -282,11 +323,11 @@ def pages_of(data: bytes | None) -> Iterator[Page]:
     yield from file.pages()
 
 
-def write(images: list[np.ndarray], compression: int = DEFLATE, predictor: int = 1, tile: int = 0, strip_rows: int = STRIP_ROWS, order: str = "<") -> bytes:
-    """A file with one page for each image of (rows, columns[, samples]) unsigned numbers."""
+def write(images: list[np.ndarray], layouts: list[tuple[int, int, int]], strip_rows: int = STRIP_ROWS, order: str = "<") -> bytes:
+    """A file with one page for each image of (rows, columns[, samples]) unsigned numbers, in its layout each."""
     out = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0))
     link = 4
-    for image in images:
+    for image, (compression, predictor, tile) in zip(images, layouts, strict=True):
         rows, columns = image.shape[:2]
         samples = image.shape[2] if image.ndim == 3 else 1
         kind = image.dtype.newbyteorder(order)
@@ -333,13 +374,8 @@ def store(payload: bytes) -> bytes:
     """A file whose pages' samples are the payload, a positive multiple of ``WIDTH`` bytes."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH)
     images = [rows[k : k + PAGE_ROWS] for k in range(0, len(rows), PAGE_ROWS)]
-    if len(payload) <= LZW_BYTES:
-        return write(images, LZW, predictor=1)
-    if len(payload) <= PACKBITS_BYTES:
-        return write(images, PACKBITS, predictor=1)
-    if len(payload) <= WIDTH * STRIP_ROWS:
-        return write(images, DEFLATE, predictor=2)
-    return write(images, DEFLATE, predictor=2, tile=TILE)
+    turn = zlib.crc32(payload)
+    return write(images, [LAYOUTS[(turn + k) % len(LAYOUTS)] for k in range(len(images))])
 
 
 def padded(text: str | None) -> tuple[int, bytes]:
@@ -398,11 +434,14 @@ def stored(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_bytes bigint, media binary")
 
 
-DIGEST_SCHEMA = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+DIGEST_SCHEMA = "n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string, layouts string"
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """Stores every text as a file, reads the file's pages and returns digests of what they hold, in one pass."""
+    """Stores every text as a file, reads the file's pages and returns digests of what they hold, in one pass.
+
+    ``layouts``: compression and predictor of each page, as read.
+    """
     for_workers(docs.sparkSession)
     rows = docs.select("doc_id", "text")
 
@@ -416,10 +455,10 @@ def digests(docs: DataFrame) -> DataFrame:
         whole = hashlib.sha256()
         for p in pages:
             whole.update(p.pixels)
-        return n, sum(len(p.pixels) for p in pages), whole.hexdigest(), zlib.crc32(pages[-1].pixels[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(pages)
+        return n, sum(len(p.pixels) for p in pages), whole.hexdigest(), zlib.crc32(pages[-1].pixels[-WIDTH:]), len(media), hashlib.sha256(media).hexdigest(), feature(pages), ",".join(f"{p.compression}/{p.predictor}" for p in pages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string())
         names = [part.split()[0] for part in DIGEST_SCHEMA.split(", ")]
         for batch in batches:
             columns = list(zip(*map(one, batch.column("text").to_pylist()), strict=True)) or [()] * len(names)

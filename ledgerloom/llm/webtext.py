@@ -34,7 +34,7 @@ BOILERPLATE, CONTENT, MIXED = 0, 1, 2
 
 #: A comment, an end tag, a start tag, a declaration, or what is left of one at the end of the page.
 MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)|<([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role|x-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
+ATTRIBUTE = re.compile(r"(?<![^\s\"'/])(class|id|role|x-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.I)
 
 #: Elements whose content isn't markup, and those that no reader sees.
 RAW = {"script", "style", "xmp", "iframe", "noembed", "noframes", "textarea", "title"}
@@ -63,13 +63,15 @@ class Tree:
     linked: list[int] = field(default_factory=list)
     segments: list[tuple[int, str]] = field(default_factory=list)
 
+    labelled: bool = False
+
     def add(self, parent: int, tag: str, attributes: str) -> int:
         tokens, label = [], None
         if attributes:
             for m in ATTRIBUTE.finditer(attributes):
                 value = m[2] or m[3] or m[4] or ""
                 if m[1].lower() == "x-label":
-                    label = int(value)
+                    label = int(value) if self.labelled and value in ("0", "1", "2") else None
                 else:
                     tokens += [t for t in re.split(r"[^a-z]+", value.lower()) if t]
         self.parents.append(parent)
@@ -82,10 +84,16 @@ class Tree:
         return len(self.parents) - 1
 
 
-def parse(page: str) -> Tree:
-    """The tree of a page's block elements; inline elements belong to the block around them."""
-    tree = Tree()
+def parse(page: str, labelled: bool = False) -> Tree:
+    """The tree of a page's block elements; inline elements belong to the block around them.
+
+    ``labelled``: ``x-label`` attributes are read.  Open elements are looked up by their tag, so that time is linear in
+    the page whatever is nested in it.
+    """
+    tree = Tree(labelled=labelled)
     stack = [(tree.add(-1, "#root", ""), "#root")]  # (node, tag); inline and unseen elements keep the node around them
+    spots: dict[str, list[int]] = {}  # where in the stack a tag is open
+    blocks = [0]  # where elements are open that aren't inline
     links = unseen = 0
     pending: list[str] = []
     at, size = 0, len(page)
@@ -108,9 +116,21 @@ def parse(page: str) -> Tree:
         if links:
             tree.linked[node] += n
 
+    def push(node: int, tag: str) -> None:
+        spots.setdefault(tag, []).append(len(stack))
+        if tag not in INLINE:
+            blocks.append(len(stack))
+        stack.append((node, tag))
+
+    def innermost(tags: set[str]) -> int:
+        return max((at[-1] for t in tags if (at := spots.get(t))), default=0)
+
     def pop() -> None:
         nonlocal links, unseen
         _, tag = stack.pop()
+        spots[tag].pop()
+        if tag not in INLINE:
+            blocks.pop()
         links -= tag == "a"
         unseen -= tag in UNSEEN
 
@@ -127,8 +147,8 @@ def parse(page: str) -> Tree:
             tag = end.lower()
             if tag == "br":
                 pending.append(" ")
-            depth = next((k for k in range(len(stack) - 1, 0, -1) if stack[k][1] == tag), 0)
-            if depth and not (tag in INLINE and any(t not in INLINE for _, t in stack[depth + 1 :])):
+            depth = innermost({tag})
+            if depth and not (tag in INLINE and blocks[-1] > depth):
                 if tag not in INLINE:
                     flush()
                 while len(stack) > depth:
@@ -144,24 +164,20 @@ def parse(page: str) -> Tree:
             if tag not in INLINE and tag not in UNSEEN:
                 flush()
                 # A block ends an open paragraph, however many inline elements are open in it.
-                k = len(stack) - 1
-                while k > 0 and stack[k][1] in INLINE:
-                    k -= 1
+                k = blocks[-1]
                 if k > 0 and stack[k][1] == "p":
                     while len(stack) > k:
                         pop()
                 if tag in CLOSES:
-                    k = len(stack) - 1
-                    while k > 0 and stack[k][1] not in CLOSES[tag] and stack[k][1] not in SCOPES[tag]:
-                        k -= 1
+                    k = innermost(CLOSES[tag] | SCOPES[tag])
                     if k > 0 and stack[k][1] in CLOSES[tag]:
                         while len(stack) > k:
                             pop()
-                stack.append((stack[-1][0] if unseen else tree.add(stack[-1][0], tag, attributes), tag))
+                push(stack[-1][0] if unseen else tree.add(stack[-1][0], tag, attributes), tag)
             else:
                 if tag == "body" or (tag == "head" and unseen):
                     continue
-                stack.append((stack[-1][0], tag))
+                push(stack[-1][0], tag)
                 links += tag == "a"
                 unseen += tag in UNSEEN
             if attributes.endswith("/") and tag in ("svg", "math", "object", "iframe"):
@@ -221,7 +237,7 @@ def fit(pages: list[str]) -> Model:
     totals: dict[str, list[float]] = {}
     kinds: Counter = Counter()
     for page in pages:
-        tree = parse(page)
+        tree = parse(page, labelled=True)
         labels: list[int] = []
         for k, mark in enumerate(tree.marked):
             labels.append(mark if mark is not None else labels[tree.parents[k]] if k else MIXED)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import random
+import struct
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -134,6 +136,7 @@ def test_pieces_of_random_texts():
     rng = random.Random(9)
     alphabet = ["a", "b", "aa", "the", " ", "  ", "▁", "é", "日", "\n", "\t", "0", "<s>", " ", "🙂", "ing", "\x7f"]
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 400))) for _ in range(300)] + ["a" * 5000, "ab" * 700, " " * 900]
+    texts += ["".join(rng.choice("etaoinshrdlu") for _ in range(6000)), "thequickbrownfoxjumpsoverthelazydog" * 90, "日本語の文章には空白がない" * 200]
     codec = sentencepieces.codec(PIECES)
     assert list(codec.digest(texts)) == list(piece_rows(texts))
 
@@ -158,6 +161,29 @@ def test_every_window_has_the_target_shares(spark):
     assert both and all(abs(r["b"] / 1024 - 0.7) < 0.01 for r in both[:-2])
 
 
+def test_windows_beyond_64_bits():
+    """Places in the 2^34th window and on: products there don't fit 64 bits."""
+    totals = [(1 << 44) + 12345, (1 << 43) + 7, 999]
+    segments = packing.plan(totals, [n / sum(totals) for n in totals])
+    s = segments[0]
+    for t in (1 << 33, (1 << 34) - 1, s.count):
+        for queue, share in enumerate(s.shares):
+            assert int(s.upto(np.array([t]), queue, 1024)[0]) == t * share * 1024 >> 30
+    for queue, n in enumerate(totals):
+        start = max(n - 5000, 0)
+        begins, windows, offsets = packing.place(segments, queue, start, n - start)
+        lengths = np.diff(np.append(begins, n - start))
+        assert (lengths > 0).all() and (np.diff(windows) > 0).all() and (offsets + lengths <= 1024).all()
+
+
+def test_packing_of_many_small_sources(spark):
+    docs = spark.createDataFrame([(k, "some words " * (k % 5), f"host{k}") for k in range(1500)] + [(9000 + k, "word " * 900, "large") for k in range(4)], "doc_id bigint, text string, source string").repartition(6)
+    t = Tokenizer.from_file(BPE)
+    ids = {r[0]: np.array(t.encode(r[1], add_special_tokens=False).ids + [0]) for r in docs.select("doc_id", "text").collect()}
+    tokens, sequences = brute.packed(rows_of(packing.pack(docs, BPE), "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), ids)
+    assert sequences <= tokens / 1024 + 4
+
+
 def test_packing_of_hard_rows(spark, hard):
     rows = rows_of(packing.pack(hard.filter("doc_id IS NOT NULL AND doc_id != 6"), BPE), "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     t = Tokenizer.from_file(BPE)
@@ -429,7 +455,7 @@ def test_main_text_of_held_out_layouts():
     pages = webtext.labelled_pages(150, seed=77)
     right = 0
     for page in pages:
-        tree = webtext.parse(page)
+        tree = webtext.parse(page, labelled=True)
         labels = []
         for k, mark in enumerate(tree.marked):
             labels.append(mark if mark is not None else labels[tree.parents[k]] if k else webtext.MIXED)
@@ -455,6 +481,28 @@ def test_messages_are_exact():
     assert np.allclose(webtext.marginals(model, unary, parents, depths), total / total.sum(axis=1, keepdims=True))
 
 
+def test_pages_that_try_the_parser():
+    """Marks of labelled pages mean nothing in others, attributes count by whole names, and nesting costs linear time."""
+    import time
+
+    page = '<body x-label="abc"><article data-x-label="9" x-label=""><p x-label="2">The text of the page goes on.</p></article></body>'
+    assert webtext.main_texts(webtext.fitted(), [page]) == ["The text of the page goes on."]
+    assert webtext.parse(page).marked == [None] * 4 and webtext.parse('<p x-label="1"><p x-label="7"><p data-x-label="1">', labelled=True).marked == [None, 1, None, None]
+    assert webtext.parse('<div data-id="footer" my-class=nav id="x">').tokens[1] == ["x"]
+    began = time.time()
+    n = 20_000
+    for page in ("<b>" * n + "</i>" * n, "<i><div>" + "<div>" * n + "</i>" * n, "<b>" * n + "<div></div>" * n, "<p>" + "<b>" * n + "<div></div>" * n, "<ul>" + "<div>" * n + "<li></li>" * n, "<table>" + "<td><b>" * n, "<" * n, "<a " * n, '<p class="' * n, "<!--" * n, "</" * n, "&" * n):
+        webtext.main_texts(webtext.fitted(), [page])
+    assert time.time() - began < 60
+
+
+def test_main_text_of_repeated_rows_and_ties(spark):
+    page = "<div><p>one</p><p>one</p></div>"
+    df = spark.createDataFrame([(1, "u", page)] * 3, "page_id bigint, url string, html string")
+    rows = webtext.extract(df).collect()
+    assert len(rows) == 3 and len({tuple(r) for r in rows}) == 1
+
+
 def test_main_text_of_hard_pages(spark):
     pages = [
         (1, "u", None),
@@ -495,7 +543,7 @@ def test_tiff_round_trips(compression, order):
     for kind in (np.uint8, np.uint16):
         for predictor, tile, samples in ((1, 0, 1), (2, 0, 3), (2, 32, 1), (1, 16, 3)):
             images = [(rng.integers(0, 40, (rows, columns, samples)) * (rng.random((rows, columns, samples)) < 0.3)).astype(kind) for rows, columns in ((1, 1), (70, 45), (33, 129))]
-            pages = list(tiff.pages_of(tiff.write(images, compression, predictor, tile, 20, order)))
+            pages = list(tiff.pages_of(tiff.write(images, [(compression, predictor, tile)] * 3, 20, order)))
             assert [p.error for p in pages] == [None] * 3
             for image, p in zip(images, pages, strict=True):
                 assert np.array_equal(np.frombuffer(p.pixels, np.dtype(kind).newbyteorder(order)).reshape(image.shape), image)
@@ -504,13 +552,37 @@ def test_tiff_round_trips(compression, order):
 def test_lzw_and_packbits_of_long_data():
     rng = np.random.default_rng(0)
     for data in (b"", b"a", b"ab" * 50_000, rng.integers(0, 256, 60_000, np.uint8).tobytes(), b"\0" * 100_000, bytes(range(256)) * 40):
-        assert tiff.unlzw(tiff.lzw(data)) == data and tiff.unpackbits(tiff.packbits(data)) == data
+        assert tiff.unlzw(tiff.lzw(data), 1 << 30) == data and tiff.unpackbits(tiff.packbits(data), 1 << 30) == data
+        assert all(decode(encode(data), 1000) == data[:1000] for decode, encode in ((tiff.unlzw, tiff.lzw), (tiff.unpackbits, tiff.packbits), (tiff.inflated, zlib.compress)))
+
+
+def test_layouts_have_payloads_of_all_sizes(spark, small):
+    out = rows_of(queries.op9_tiff_media(spark, small), "payload_bytes", "layouts")
+    for kind in ("5/1", "32773/1", "8/2", "5/2"):
+        sizes = [n for n, layouts in out if kind in layouts.split(",")]
+        assert min(sizes) < 1500 and max(sizes) > 10_000
+
+
+def test_hostile_tiffs():
+    """Zero and odd sizes, claims of more pixels than there is data, strips that inflate to more: an error or the page."""
+    image = np.arange(64 * 64, dtype=np.uint8).reshape(64, 64)
+    field = lambda tag, kind, value: struct.pack("<HHI", tag, kind, 1) + value
+    for tile, tag, kind, value in ((16, 322, 4, b"\0\0\0\0"), (16, 323, 4, b"\0\0\0\0"), (0, 256, 11, struct.pack("<f", 8.5)), (0, 256, 4, b"\xff\xff\xff\x7f"), (16, 322, 4, b"\xf0\xff\xff\x7f"), (0, 278, 4, b"\0\0\0\0"), (0, 277, 3, b"\0\0\0\0"), (0, 257, 2, b"a\0\0\0")):
+        data = bytearray(tiff.write([image, image], [(tiff.DEFLATE, 1, tile)] * 2))
+        first = struct.unpack_from("<I", data, 4)[0]
+        at = next(k for k in range(first + 2, len(data), 12) if struct.unpack_from("<H", data, k)[0] == tag)
+        data[at : at + 12] = field(tag, kind, value)
+        pages = list(tiff.pages_of(bytes(data)))
+        assert pages[0].error and pages[0].pixels is None and pages[1].error is None and pages[1].pixels == image.tobytes()
+    bomb = zlib.compress(b"\0" * 50_000_000)
+    data = tiff.write([image], [(tiff.DEFLATE, 1, 0)])
+    assert data.count(zlib.compress(image.tobytes(), 1)) == 1 and len(tiff.inflated(bomb, 4096)) == 4096
 
 
 def test_broken_tiffs(spark):
     good = tiff.store(b"x" * 64 * 3000)
     cut = good[:-40]
-    loop = bytearray(tiff.write([np.zeros((2, 2), np.uint8)]))
+    loop = bytearray(tiff.write([np.zeros((2, 2), np.uint8)], [(tiff.DEFLATE, 1, 0)]))
     loop[-4:] = loop[4:8]
     df = spark.createDataFrame([(1, None), (2, bytearray(b"")), (3, bytearray(b"MM\0*")), (4, bytearray(cut)), (5, bytearray(good)), (6, loop)], "doc_id bigint, media binary")
     rows = tiff.page_rows(df).collect()
