@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +15,11 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only after its bytes were added up and are at most this many.
 BROADCAST_BYTES = 24_000_000
 
-#: Rows that go to a Python worker at once; bounds a worker's memory when documents are long.
-ARROW_ROWS = 1000
+#: Rows that go to a Python worker at once, where the session has Spark's default; with Spark's own bound on the bytes
+#: of a batch it bounds a worker's memory.
+ARROW, ARROW_DEFAULT, ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+#: Names the folder of the scratch tables while ``scratch`` is open.
+SCRATCH = "ledgerloom.scratch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,25 +41,48 @@ def ship(spark: SparkSession) -> None:
 
 
 def for_workers(spark: SparkSession) -> None:
-    """Before Python runs on executors: the package is there, and Arrow batches are small as documents may be large."""
+    """Before Python runs on executors: the package is there, and Arrow batches are small as documents may be large.
+
+    A session's own size of batches stays as it is.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS)
+    if spark.conf.get(ARROW) == ARROW_DEFAULT:
+        spark.conf.set(ARROW, ARROW_ROWS)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share; one of our own only in local mode, where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables that operators write in this block lie in one folder, which goes when the block ends.
+
+    What the block's results are needed for must be written in it, by ``materialise`` with a folder or otherwise.
+    """
+    folder, before = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", spark.conf.get(SCRATCH, None)
+    spark.conf.set(SCRATCH, folder)
+    try:
+        yield folder
+    finally:
+        spark.conf.set(SCRATCH, before) if before else spark.conf.unset(SCRATCH)
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def materialise(df: DataFrame, label: str, folder: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{folder or spark.conf.get(SCRATCH, None) or shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_bytes(df: DataFrame) -> Column:

@@ -13,7 +13,8 @@ are the two sides of a graph.  In each round
   counts neither way.  It is trusted with at least ``SUPPORT`` values that have a score, and a score of ``TRUST``;
 * a candidate's score is the best of its trusted patterns, at most the pattern's own score; known values have 1.
 
-Candidates that trusted patterns reach are new identifiers and support further patterns in the next round.  All tables
+Candidates that trusted patterns reach are new identifiers and support further patterns in the next round, until a round
+reaches no more; as scores only grow, what is reached does.  All tables
 of the rounds hold distinct (pattern, value) pairs; a frequent pattern or value is summed before it moves.
 
 Null texts have no spans.  Spans of a kind don't overlap; spans of the method don't touch those of a fixed form.
@@ -43,6 +44,7 @@ FORMS = {
 #: A text without this has no hit of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
+#: 64 and 63 characters are the most that a mailbox name and a label of a host can have.
 _NAME = r"[A-Za-z0-9._%+-]{1,64}+"
 _DOT = r"[\[({<]\x20?(?:dot|DOT)\x20?[\])}>]"
 #: Token runs that count only in a trusted context.  Digits are taken in any groups; ``plausible`` says what can't be.
@@ -55,11 +57,10 @@ LOOSE = {
 #: A text without this has no candidate of the kind.
 LOOSE_NEEDS = {"email": r"(?:at|AT)[\x20\])}>]|\x20@\x20", "ip": "[0-9:]", "card": "[0-9]", "phone": "[0-9]"}
 
-ROUNDS = 3
 SUPPORT = 5
 TRUST = 0.8
-#: Code points before and behind a span in which its neighbouring words are looked for.
-REACH = 48
+#: Code points before and behind a span that make its context.  Of a longer word, the part next to the span counts.
+REACH = 128
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -170,10 +171,10 @@ def entities(docs: DataFrame) -> DataFrame:
     return df.select("doc_id", F.xxhash64("whole").alias("copy"), every.alias("all"))
 
 
-def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
-    """kind and value of the candidates that trusted patterns reach.
+def bootstrap(found: DataFrame, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
+    """kind and value of the candidates that trusted patterns reach, when no further round adds any.
 
-    ``found``: what ``entities`` gives.  Rounds end early once no candidate is added.
+    ``found``: what ``entities`` gives.
     """
     mentions = found.select(F.explode("all").alias("m")).select("m.*")
     edges = mentions.select("kind", "value", "known", "against", F.explode("patterns").alias("pattern"))
@@ -182,7 +183,7 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, tr
     # Only patterns with a candidate can add one, and only those with enough known values can be trusted.
     edges = materialise(edges.withColumn("score", F.col("known").cast("double")), "edges")
     before = -1
-    for _ in range(rounds):
+    while True:
         patterns = edges.groupBy("kind", "pattern").agg(F.sum("score").alias("for"), F.count_if("against").alias("not"), F.count_if(F.col("score") > 0).alias("n"), F.count_if(~F.col("known") & ~F.col("against")).alias("open"))
         patterns = patterns.withColumn("trust", F.try_divide("for", F.col("for") + F.col("not")))
         trusted = patterns.filter((F.col("n") >= support) & (F.col("trust") >= trust) & (F.col("open") > 0)).select("kind", "pattern", "trust")
@@ -194,7 +195,6 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, tr
             return reached.select("kind", "value")
         before = count
         edges = materialise(edges.join(small_side(reached), ["kind", "value"], "left").withColumn("score", F.greatest("score", F.coalesce("now", F.lit(0.0)))).drop("now"), "edges")
-    return reached.select("kind", "value")
 
 
 def listed(spans: Column) -> Column:

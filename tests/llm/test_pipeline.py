@@ -35,3 +35,21 @@ def test_stages_one_by_one(spark, small, tmp_path):
 
 def test_run(spark, small):
     assert corpus_pipeline.run(spark, small).count() > 0
+
+
+def test_hard_rows_and_empty_tables(spark, tmp_path):
+    """Nulls anywhere, empty and long texts, repeated ids, names that clash with the operators' own, and no rows at all."""
+    long = " ".join(f"word{k % 977}" for k in range(40_000))
+    fine = "one two three four five six seven eight nine ten eleven twelve and mail to a@b.co"
+    data = [(1, None, "en", "a"), (2, "", None, None), (3, long, "en", "a"), (4, fine, "en", "a"), (4, fine, "en", "a"), (5, fine, "de", None), (None, fine, None, "b"), (6, "few words", "en", "a")]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, lang string, source string").selectExpr("*", "bigint(length(text)) AS n_chars", *(f"'clash' AS {c}" for c in ("kept", "own", "of", "rep", "spans", "copy", "queue", "part", "stratum", "key")))
+    labels = spark.createDataFrame([(4, 1, 0), (4, None, None), (None, 1, 0), (99, 0, 1)], "doc_id bigint, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "hard" / "documents.parquet"))
+    labels.write.parquet(str(tmp_path / "hard" / "labels.parquet"))
+    packed = corpus_pipeline.run(spark, str(tmp_path / "hard")).filter("start = 0").collect()
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in packed) == [(False, 4), (True, None)]
+    kept = corpus_pipeline.quality_rules(spark, docs, str(tmp_path / "hard"))
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.select("doc_id").collect()} == {4, 5, None}
+    docs.limit(0).write.parquet(str(tmp_path / "empty" / "documents.parquet"))
+    labels.limit(0).write.parquet(str(tmp_path / "empty" / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0
