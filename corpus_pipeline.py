@@ -1,6 +1,11 @@
 """A training corpus from raw documents: quality rules, near-dedup, removal of personal data, packing.
 
-Every stage works on all that the one before kept; each result is a Parquet table that the next stage reads.
+Every stage works on all that the one before kept; each result is a Parquet table that the next stage reads, and the
+tables that a stage needs in between are removed when its result is written.
+
+Null and empty texts have too few words for the quality rules and go; a row without an id can't be addressed by the first
+two stages and stays.  Of repeated rows of an id one stays.  Extra columns go along to the last stage, whatever their names
+are.  Empty tables give an empty table, and without labels no document is rejected but by the base rules.
 """
 
 from __future__ import annotations
@@ -9,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import neardup, packing, personal, quality
-from ledgerloom.llm.common import materialise, table
+from ledgerloom.llm.common import materialise, scratch, shared_dir, table
 from ledgerloom.llm.queries import tokenizer_path
 
 
@@ -42,5 +47,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with scratch(spark):
+            docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"), shared_dir(spark))
     return docs
