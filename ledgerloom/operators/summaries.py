@@ -127,3 +127,9 @@ def failure_runs(df: DataFrame, key: str, order: list[str], failed: Column, thre
     runs = df.withColumn("_failed", failed.cast("int")).withColumn("_island", F.sum(1 - F.col("_failed")).over(w))
     counts = runs.groupBy(key, "_island").agg(F.sum("_failed").alias("failures"))
     return counts.groupBy(key).agg(F.max_by("failures", "_island").alias("failures")).withColumn("alarm", F.col("failures") >= threshold)
+
+
+def running_mean(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
+    """``df`` with the mean of a key's values up to each row, in order, and their number; nulls don't count."""
+    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return df.withColumns({"n": F.count(value).over(upto), "mean": F.avg(value).over(upto)})

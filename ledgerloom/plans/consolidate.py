@@ -6,7 +6,7 @@ refresh, low, high) with a row for each source that a field lists; the smallest
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import difference_percent
@@ -36,9 +36,9 @@ def rule_table(spark: SparkSession, rules: dict | None = None) -> DataFrame:
 
 
 def with_rules(records: DataFrame, rules: DataFrame) -> DataFrame:
-    """Records with their source's rank (-1 if the field doesn't list it) and the field's flags.  Rules are few: broadcast."""
-    ranks = F.broadcast(rules.select("field", "source", "rank"))
-    flags = F.broadcast(rules.groupBy("field").agg(F.max("time_based").alias("time_based"), F.max("refresh").alias("refresh")))
+    """Records with their source's rank (-1 if the field doesn't list it) and the field's flags."""
+    ranks = rules.select("field", "source", "rank")
+    flags = rules.groupBy("field").agg(F.max("time_based").alias("time_based"), F.max("refresh").alias("refresh"))
     out = records.join(ranks, ["field", "source"], "left").join(flags, "field", "left")
     return out.withColumn("rank", F.coalesce("rank", F.lit(-1))).withColumn("time_based", F.coalesce("time_based", F.lit(False))).withColumn("refresh", F.coalesce("refresh", F.lit(False)))
 
@@ -98,23 +98,28 @@ def folded(records: DataFrame) -> DataFrame:
     return lists.select("entity", "field", F.aggregate(rest, start, step).alias("r")).select("entity", "field", "r.value", "r.source", "r.reason")
 
 
+def best_first() -> list[Column]:
+    """The order of a field's records, the one to choose first."""
+    unlisted = F.when(F.col("rank") < 0, 1 << 20).otherwise(F.col("rank"))
+    when = F.unix_micros(F.col("scraped_at").cast("timestamp"))
+    return [unlisted, F.when(F.col("time_based") | F.col("refresh"), -when).otherwise(when), F.col("source"), F.col("value")]
+
+
 def canonical(records: DataFrame) -> DataFrame:
     """(entity, field, value, source, sources): the best listed source's value, its newest if the field takes that, else
     its first.  Independent of the order of arrival; one aggregate without lists.
     """
-    unlisted = F.when(F.col("rank") < 0, 1 << 20).otherwise(F.col("rank"))
-    newest = F.col("time_based") | F.col("refresh")
-    when = F.unix_micros(F.col("scraped_at").cast("timestamp"))
-    order = F.struct(unlisted.alias("r"), F.when(newest, -when).otherwise(when).alias("t"), F.col("source").alias("s"), F.col("value").alias("v"))
+    order = F.struct(*[c.alias(f"o{k}") for k, c in enumerate(best_first())])
     known = records.filter("value is not null")
     best = known.groupBy("entity", "field").agg(F.min_by(F.struct("value", "source"), order).alias("b"), F.count_distinct("source").alias("sources"))
     return best.select("entity", "field", F.col("b.value").alias("value"), F.col("b.source").alias("source"), "sources")
 
 
 def conflicts(records: DataFrame) -> DataFrame:
-    """Values of other sources that differ from the chosen one, with their severity."""
-    chosen = canonical(records).select("entity", "field", F.col("value").alias("chosen"), F.col("source").alias("chosen_source"))
-    other = records.filter("value is not null").join(chosen, ["entity", "field"]).filter(F.col("source") != F.col("chosen_source"))
+    """Values of other sources that differ from the chosen one (see ``canonical``), with their severity.  One shuffle."""
+    best = Window.partitionBy("entity", "field").orderBy(*best_first())
+    known = records.filter("value is not null").withColumns({"chosen": F.first("value").over(best), "chosen_source": F.first("source").over(best)})
+    other = known.filter(F.col("source") != F.col("chosen_source"))
     apart = other.filter(~equivalent(F.col("value"), F.col("chosen")))
     return apart.select("entity", "field", "source", "value", "chosen_source", "chosen", severity(F.col("field"), F.col("chosen"), F.col("value")).alias("severity"))
 

@@ -21,7 +21,7 @@ def freshness(runs: DataFrame, slo: DataFrame, as_of: Column, source: str = "sou
     """Each source's minutes since its last success and whether that is a breach; without a success there is none."""
     last = runs.filter(F.col(success)).groupBy(F.col(source).alias("source")).agg(F.max(time).alias("last_success"))
     minutes = F.floor((F.unix_micros(as_of.cast("timestamp")) - F.unix_micros(F.col("last_success").cast("timestamp"))) / 60_000_000)
-    out = F.broadcast(slo).join(last, "source", "left").withColumn("minutes", minutes)
+    out = slo.join(last, "source", "left").withColumn("minutes", minutes)
     return out.withColumn("breach", F.coalesce(F.col("minutes") > F.col("max_minutes"), F.lit(False)))
 
 
@@ -73,3 +73,20 @@ def out_of_window(ts: Column, opens: Column, closes: Column, as_of: Column) -> C
 
 # Minutes that polling waits in each regime.
 POLL_MINUTES = {"MARKET_HOURS": 30, "AFTER_HOURS": 120, "WEEKEND": 360}
+
+
+def series_checks(df: DataFrame, key: str, time: str, value: str, as_of: Column, max_gap_minutes: int, max_jump: float) -> DataFrame:
+    """What is odd in each key's series: repeated times, gaps, readings from the future, null values, and values that fall
+    or jump from one reading to the next.  One shuffle by the key."""
+    order = Window.partitionBy(key).orderBy(time, F.col(value).asc_nulls_first())
+    minutes = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(order).cast("timestamp"))) / 60_000_000
+    rows = df.select(key, time, value, minutes.alias("_gap"), (F.col(value) - F.lag(value).over(order)).alias("_step"))
+    checks = {
+        "repeated_times": F.col("_gap") == 0,
+        "gaps": F.col("_gap") > max_gap_minutes,
+        "future": F.col(time) > as_of,
+        "missing": F.col(value).isNull(),
+        "falls": F.col("_step") < 0,
+        "jumps": F.abs("_step") > max_jump,
+    }
+    return rows.groupBy(key).agg(F.count("*").alias("readings"), *[F.count_if(c).alias(n) for n, c in checks.items()])

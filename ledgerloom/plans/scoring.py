@@ -208,3 +208,20 @@ def recommended(users: DataFrame, candidates: DataFrame, user: str, item: str, s
     if per_sector is not None:
         every = every.withColumn("_k", F.row_number().over(Window.partitionBy(user, sector).orderBy(F.desc("points"), item))).filter(F.col("_k") <= per_sector).drop("_k")
     return every.withColumn("rank", F.row_number().over(Window.partitionBy(user).orderBy(F.desc("points"), item))).filter(F.col("rank") <= n)
+
+
+# The most that a part of the score can be, and what it is stored as.
+PART_MOST = {"financial_strength": 3, "valuation": 2, "subscription_demand": 2, "market_performance": 2}
+STORED_PART, STORED_TOTAL = 25, 100
+
+
+def stored(total: Column, parts: dict[str, Column]) -> dict[str, Column]:
+    """A score of up to 10 and its parts in whole steps of the stored scale."""
+    out = {"total": js_round(total / 10 * STORED_TOTAL, 0)}
+    return out | {k: js_round(v / PART_MOST[k] * STORED_PART, 0) for k, v in parts.items()}
+
+
+def restored(total: Column, parts: dict[str, Column]) -> dict[str, Column]:
+    """What a stored score says: the total to a tenth, its parts to the step in which they were stored."""
+    out = {"total": js_round(total / STORED_TOTAL * 10, 1)}
+    return out | {k: v / STORED_PART * PART_MOST[k] for k, v in parts.items()}

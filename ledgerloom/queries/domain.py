@@ -14,7 +14,7 @@ from .values import LIFE, life
 SOURCES = ("ADMIN", "NSE", "BSE", "NEWS", "OTHER")
 RULES = {"a": (("A", "R"), ("ADMIN", "NSE", "BSE", "NEWS"), False, False), "n": (("N",), ("BSE", "NSE", "ADMIN"), True, False)}
 RECORDS = """(SELECT l_partkey AS entity, l_returnflag AS field, ['ADMIN', 'NSE', 'BSE', 'NEWS', 'OTHER'][l_suppkey % 5 + 1] AS source, (l_extendedprice::DECIMAL(18, 2))::VARCHAR AS value, l_shipdate AS scraped_at, l_orderkey * 10 + l_linenumber AS arrival,
-CASE WHEN l_returnflag = 'N' THEN [2, 1, 0, 1048576, 1048576][l_suppkey % 5 + 1] ELSE [0, 1, 2, 3, 1048576][l_suppkey % 5 + 1] END AS rank FROM lineitem WHERE l_suppkey % 10 < 8)"""
+CASE WHEN l_returnflag = 'N' THEN [2, 1, 0, 1048576, 1048576][l_suppkey % 5 + 1] ELSE [0, 1, 2, 3, 1048576][l_suppkey % 5 + 1] END AS rank FROM lineitem)"""
 BEST = f"(SELECT entity, field, value, source FROM (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY rank, CASE WHEN field = 'N' THEN -epoch_us(scraped_at) ELSE epoch_us(scraped_at) END, source, value) AS k FROM {RECORDS}) WHERE k = 1)"
 
 
@@ -22,7 +22,7 @@ def records(spark, sf_dir):
     """Field values of several sources, from line items."""
     c = F.col
     source = F.get(F.array(*[F.lit(s) for s in SOURCES]), (c("l_suppkey") % 5).cast("int"))
-    t = Tables(spark, sf_dir).lineitem.filter("l_suppkey % 10 < 8").select(c("l_partkey").alias("entity"), c("l_returnflag").alias("field"), source.alias("source"), c("l_extendedprice").cast("decimal(18,2)").cast("string").alias("value"), c("l_shipdate").alias("scraped_at"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("arrival"))
+    t = Tables(spark, sf_dir).lineitem.select(c("l_partkey").alias("entity"), c("l_returnflag").alias("field"), source.alias("source"), c("l_extendedprice").cast("decimal(18,2)").cast("string").alias("value"), c("l_shipdate").alias("scraped_at"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("arrival"))
     return consolidate.with_rules(t, consolidate.rule_table(spark, RULES))
 
 
@@ -188,9 +188,46 @@ def stage_completeness(spark, sf_dir):
 @query("""SELECT rule, count(*) AS n FROM (SELECT unnest(list_filter([CASE WHEN p_size = 1 THEN 'LOT_SIZE_INVALID' WHEN p_size < 10 THEN 'LOT_SIZE_TOO_LOW' WHEN p_brand NOT LIKE '%5' AND p_size < 50 THEN 'LOT_SIZE_UNUSUAL_MAINBOARD' WHEN p_brand LIKE '%5' AND p_size < 1000 THEN 'LOT_SIZE_UNUSUAL_SME' END,
 CASE WHEN p_brand NOT LIKE '%5' AND p_size * p_retailprice < 10000 THEN 'MIN_INVESTMENT_LOW_MAINBOARD' WHEN p_brand NOT LIKE '%5' AND p_size * p_retailprice > 20000 THEN 'MIN_INVESTMENT_HIGH_MAINBOARD' WHEN p_brand LIKE '%5' AND p_size * p_retailprice < 100000 THEN 'MIN_INVESTMENT_LOW_SME' END], lambda x: x IS NOT NULL)) AS rule FROM part) GROUP BY 1""")
 def record_rules(spark, sf_dir):
+    return quality.fault_counts(quality.record_faults(part_records(spark, sf_dir))).select("rule", "n")
+
+
+def part_records(spark, sf_dir):
+    """Parts as records of offerings."""
     c, none = F.col, F.lit(None)
-    t = Tables(spark, sf_dir).part.select(c("p_name").alias("company_name"), F.when(c("p_brand").endswith("5"), "SME").otherwise("MAINBOARD").alias("segment"), F.lit("IPO").alias("offering_type"), none.cast("string").alias("detected_type"), none.cast("string").alias("issue_type"), c("p_size").alias("lot_size"), none.cast("double").alias("price_range_min"), c("p_retailprice").alias("price_range_max"), none.cast("double").alias("issue_size"), none.cast("date").alias("open_date"), none.cast("date").alias("close_date"))
-    return quality.fault_counts(quality.record_faults(t)).select("rule", "n")
+    return Tables(spark, sf_dir).part.select("p_partkey", c("p_name").alias("company_name"), F.when(c("p_brand").endswith("5"), "SME").otherwise("MAINBOARD").alias("segment"), F.lit("IPO").alias("offering_type"), none.cast("string").alias("detected_type"), none.cast("string").alias("issue_type"), c("p_size").alias("lot_size"), none.cast("double").alias("price_range_min"), c("p_retailprice").alias("price_range_max"), none.cast("double").alias("issue_size"), none.cast("date").alias("open_date"), none.cast("date").alias("close_date"))
+
+
+@query("""SELECT preset, CASE WHEN (preset IN ('standard', 'dry_run') AND p_size < 10) OR (preset = 'strict' AND (p_size < 50 OR p_brand LIKE '%5' OR p_size * p_retailprice < 10000 OR p_size * p_retailprice > 20000)) THEN 'REJECTED' WHEN p_type LIKE 'S%' THEN 'DUPLICATE' ELSE 'ACCEPTED' END AS decision, count(*) AS n
+FROM part, (SELECT unnest(['strict', 'standard', 'lenient', 'dry_run']) AS preset) GROUP BY 1, 2""")
+def validation_presets(spark, sf_dir):
+    known = Tables(spark, sf_dir).part.filter("p_type LIKE 'S%'").select("p_partkey")
+    found = [quality.accepted(part_records(spark, sf_dir), known, "p_partkey", p).groupBy("decision").agg(F.count("*").alias("n")).select(F.lit(p).alias("preset"), "decision", "n") for p in quality.PRESETS]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
+
+
+@query("""SELECT count(*) AS total, count(*) FILTER (p_size >= 10) AS valid, count(*) FILTER (p_size < 10) AS rejected FROM part""")
+def validation_batch(spark, sf_dir):
+    return quality.batch_summary(quality.record_faults(part_records(spark, sf_dir))).select("total", "valid", "rejected")
+
+
+@query("""SELECT event_type, count(*) AS readings, count(*) FILTER (gap = 0) AS repeated_times, count(*) FILTER (gap > 30) AS gaps, count(*) FILTER (ts > TIMESTAMP '2024-01-20') AS future, count(*) FILTER (v IS NULL) AS missing, count(*) FILTER (step < 0) AS falls, count(*) FILTER (abs(step) > 50) AS jumps
+FROM (SELECT event_type, ts, v, epoch_us(ts - lag(ts) OVER w) / 60000000.0 AS gap, v - lag(v) OVER w AS step FROM (SELECT *, nullif(value, round(value)) AS v FROM events) WINDOW w AS (PARTITION BY event_type ORDER BY ts, v NULLS FIRST)) GROUP BY 1""")
+def series_checks(spark, sf_dir):
+    t = Tables(spark, sf_dir).events.withColumn("v", F.nullif("value", F.round("value")))
+    return health.series_checks(t, "event_type", "ts", "v", F.lit("2024-01-20").cast("timestamp_ntz"), 30, 50.0)
+
+
+@query("""SELECT event_id, count(value) OVER w AS n, round(sum(value) OVER w, 2) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def running_mean(spark, sf_dir):
+    return summaries.running_mean(Tables(spark, sf_dir).events, "user_id", ["ts", "event_id"], "value").select("event_id", "n", F.round(F.col("mean") * F.col("n"), 2).alias("total"))
+
+
+@query("""SELECT p_partkey, floor(p_size / 5.0 / 10 * 100 + 0.5) AS stored_total, floor(p_size % 3 / 2.0 * 25 + 0.5) AS stored_part, floor(floor(p_size / 5.0 / 10 * 100 + 0.5) / 100 * 10 * 10 + 0.5) / 10 AS total, floor(p_size % 3 / 2.0 * 25 + 0.5) / 25 * 2 AS part FROM part""")
+def stored_scores(spark, sf_dir):
+    low = scoring.stored(F.col("p_size") / 5, {"valuation": (F.col("p_size") % 3).cast("double")})
+    t = Tables(spark, sf_dir).part.select("p_partkey", low["total"].alias("stored_total"), low["valuation"].alias("stored_part"))
+    back = scoring.restored(F.col("stored_total"), {"valuation": F.col("stored_part")})
+    return t.select("p_partkey", "stored_total", "stored_part", back["total"].alias("total"), back["valuation"].alias("part"))
 
 
 @query(f"""SELECT count(*) FILTER (f) AS date_faults, count(*) FILTER (o_orderkey % 997 = 0) AS lot_faults FROM (SELECT o_orderkey, o > c OR coalesce(c >= a, false) OR coalesce(a >= l, false) OR coalesce(c >= l, false) AS f FROM {LIFE})""")
