@@ -44,7 +44,7 @@ def list_of(text: Column, kind: str = "array<string>") -> Column:
 
 
 def list_size(items: Column) -> Column:
-    return F.coalesce(F.size(items), F.lit(0))
+    return F.coalesce(F.array_size(items), F.lit(0))
 
 
 def holds_all(items: Column, *wanted: str) -> Column:

@@ -188,6 +188,58 @@ def overlapping(df: DataFrame, key: str, start: str, end: str, *within: str, buc
     return a.join(b, [*same, F.col(f"a.{key}") < F.col(f"b.{key}")]).filter(meets & once).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
 
 
+def enriched(records: DataFrame, master: DataFrame, key: str, name: str, master_name: str, *columns: str, least: float = 0.85) -> DataFrame:
+    """``key``, matched and the columns of the master row whose normalised name is most similar, at least ``least``.
+
+    Distinct names are compared.  One master row, the first by its columns, stands for each name; the smallest name wins a
+    tie.  Records without such a name have no row.
+    """
+    mine = records.select(key, match_key(F.col(name)).alias("n")).filter("n != ''")
+    theirs = master.select(match_key(F.col(master_name)).alias("n"), F.struct(*columns).alias("row")).filter("n != ''").groupBy("n").agg(F.min("row").alias("row"))
+    close = edit_pairs(mine.select("n").distinct(), theirs.select("n"), "n", "n", least)
+    best = best_match(close, "a", "similarity", "b").select("a", "b")
+    return mine.join(best, F.col("n") == F.col("a")).drop("n").join(theirs, F.col("b") == F.col("n")).select(key, F.col("b").alias("matched"), *[F.col("row")[c].alias(c) for c in columns])
+
+
+def by_dates(records: DataFrame, master: DataFrame, record_id: str, master_id: str, opens: str, closes: str, name: str, least: float = 0.6) -> DataFrame:
+    """record, match and method: DATES for the only master row with both days, NAME for the most similar name above
+    ``least`` of several such rows, else NEAR for the only one with the same close and an opening a day before or, failing
+    that, after.
+
+    The days of the master are counted before they are joined; names of a day meet only where they are similar.
+    """
+    days = master.groupBy(F.col(opens).alias("o"), F.col(closes).alias("c")).agg(F.count("*").alias("n"), F.min(master_id).alias("match"))
+    mine = records.select(F.col(record_id).alias("record"), F.col(opens).alias("day"), F.col(closes).alias("c"), F.col(name).alias("name"))
+    places = F.array(F.struct(F.lit(0).alias("place"), F.col("day").alias("o")), F.struct(F.lit(1).alias("place"), F.date_sub("day", 1).alias("o")), F.struct(F.lit(2).alias("place"), F.date_add("day", 1).alias("o")))
+    tried = mine.select("record", "day", "c", "name", F.explode(places).alias("p")).select("record", "day", "c", "name", "p.place", "p.o").join(days, ["o", "c"])
+    # A record whose own days are taken by several rows has its name to go by and no neighbouring day.
+    first = tried.filter("place = 0 OR n = 1").groupBy("record").agg(F.min(F.struct("place", "n", "match", "day", "c", "name")).alias("m")).select("record", "m.*")
+    single = first.filter("n = 1").select("record", "match", F.when(F.col("place") == 0, "DATES").otherwise("NEAR").alias("method"))
+    several = first.filter("n > 1").select("record", "day", "c", "name")
+    close = edit_pairs(several.select("name").distinct(), master.select(name).distinct().withColumnRenamed(name, "name"), "name", "name", least).filter(F.col("similarity") > least)
+    theirs = master.select(F.col(master_id).alias("match"), F.col(opens).alias("day"), F.col(closes).alias("c"), F.col(name).alias("b"))
+    named = several.join(close, F.col("name") == F.col("a")).join(theirs, ["day", "c", "b"])
+    best = named.groupBy("record").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "match")).alias("m"))
+    return single.unionByName(best.select("record", F.col("m.match").alias("match"), F.lit("NAME").alias("method")))
+
+
+def overlapping_similar(df: DataFrame, key: str, name: str, start: str, end: str, above: float = 0.8, bucket_days: int = 32) -> DataFrame:
+    """(a, b) of rows with edit similarity of their names above a bound and overlapping days, a < b.
+
+    Distinct names are compared; rows meet on the similar name and the buckets of days that they touch.
+    """
+    names = df.select(F.col(name).alias("n")).distinct()
+    close = edit_pairs(names, names, "n", "n", above).filter(F.col("similarity") > above).select(F.col("a").alias(name), F.col("b").alias("_like"))
+    # Similarity goes both ways, so each row stands under all names like its own and meets the rows of that name.
+    bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / bucket_days)
+    rows = df.select(key, name, start, end).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
+    a, b = rows.join(close, name).alias("a"), rows.alias("b")
+    same = (F.col("a._bucket") == F.col("b._bucket")) & (F.col("a._like") == F.col(f"b.{name}"))
+    meets = (F.col(f"a.{start}") <= F.col(f"b.{end}")) & (F.col(f"b.{start}") <= F.col(f"a.{end}"))
+    once = bucket(F.greatest(F.col(f"a.{start}"), F.col(f"b.{start}"))) == F.col("a._bucket")
+    return a.join(b, same & (F.col(f"a.{key}") < F.col(f"b.{key}"))).filter(meets & once).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
+
+
 def classified(incoming: DataFrame, existing: DataFrame, key: str, state: str) -> DataFrame:
     """Incoming rows as NEW, STATUS_CHANGED or DUPLICATE of the existing row with their key."""
     old = existing.groupBy(F.col(key).alias("_key")).agg(F.max(state).alias("_state"))
