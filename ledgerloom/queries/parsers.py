@@ -130,14 +130,14 @@ def rating_reasons(spark, sf_dir):
     return scoring.rating_reasons(t).select("p_partkey", "rationale")
 
 
-DATED = "(SELECT p_partkey, p_name, p_partkey % 2 = 0 AS mine, d + (p_partkey % 4 = 0)::INT AS o, d + 1 + p_size % 3 AS c FROM (SELECT *, DATE '1996-01-01' + (p_partkey // 2 * 7 % 997)::INT AS d FROM part))"
+DATED = "(SELECT p_partkey, p_name, p_partkey % 2 = 0 AS mine, d + (p_partkey % 4 = 0)::INT AS o, d + 1 + p_size % 3 AS c FROM (SELECT *, DATE '1996-01-01' + (p_partkey // 2 * 7 % 97)::INT AS d FROM part))"
 EDIT = "(greatest(length({0}), length({1})) - levenshtein({0}, {1}))::DOUBLE / greatest(length({0}), length({1}))"
 
 
 def dated(spark, sf_dir):
     """Parts with an opening and a close; those of a pair of keys share a day or miss it by one."""
     k = F.col("p_partkey")
-    day = F.date_add(F.lit("1996-01-01").cast("date"), (F.floor(k / 2) * 7 % 997).cast("int"))
+    day = F.date_add(F.lit("1996-01-01").cast("date"), (F.floor(k / 2) * 7 % 97).cast("int"))
     return Tables(spark, sf_dir).part.select("p_partkey", "p_name", F.date_add(day, F.when(k % 4 == 0, 1).otherwise(0)).alias("o"), F.date_add(day, 1 + F.col("p_size") % 3).alias("c"))
 
 

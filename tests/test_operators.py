@@ -227,3 +227,42 @@ def test_recommended(spark):
     items = spark.createDataFrame([(k, "xy"[k % 2], float(k)) for k in range(20)], "i int, sector string, score double")
     out = scoring.recommended(users, items, "u", "i", "sector", "score", 4)
     assert sets(out.select("u", "i", "rank")) == sorted([(1, 16, 3), (1, 17, 4), (1, 18, 1), (1, 19, 2), (2, 16, 4), (2, 17, 3), (2, 18, 2), (2, 19, 1)], key=repr)
+
+
+def test_by_dates(spark):
+    kind = "id int, name string, o string, c string"
+    day = lambda df: df.withColumns({x: F.to_date(x) for x in "oc"})
+    records = day(spark.createDataFrame([(1, "alpha", "2025-01-01", "2025-01-03"), (2, "alphb", "2025-02-01", "2025-02-03"), (3, "zzzzz", "2025-02-01", "2025-02-03"), (4, "near", "2025-03-02", "2025-03-05"), (5, "none", None, "2025-03-05"), (6, "two", "2025-04-02", "2025-04-05")], kind))
+    master = day(spark.createDataFrame([(11, "other", "2025-01-01", "2025-01-03"), (12, "alpha", "2025-02-01", "2025-02-03"), (13, "alpha", "2025-02-01", "2025-02-03"), (14, "x", "2025-03-03", "2025-03-05"), (15, "y", "2025-03-01", "2025-03-05"), (16, None, "2025-04-01", "2025-04-05"), (17, "w", "2025-04-01", "2025-04-05"), (18, "v", "2025-04-03", "2025-04-05")], kind))
+    # Equal names: the smaller id.  Several rows a day before don't count; the single one a day after does.
+    assert sets(matching.by_dates(records, master, "id", "id", "o", "c", "name")) == [(1, 11, "DATES"), (2, 12, "NAME"), (4, 15, "NEAR"), (6, 18, "NEAR")]
+    assert matching.by_dates(records.limit(0), master, "id", "id", "o", "c", "name").count() == 0
+
+
+def test_overlapping_similar(spark):
+    rows_ = [(1, "sunrise foods", "2025-01-01", "2025-03-20"), (2, "sunrise food", "2025-03-20", "2025-03-21"), (3, "sunrise foods", "2025-03-21", "2025-03-22"), (4, "moonlight", "2025-01-01", "2025-12-31"), (5, None, "2025-01-01", "2025-12-31")]
+    df = spark.createDataFrame(rows_, "id int, name string, o string, c string").withColumns({x: F.to_date(x) for x in "oc"})
+    assert sets(matching.overlapping_similar(df, "id", "name", "o", "c")) == [(1, 2), (2, 3)]
+
+
+def test_enriched(spark):
+    records = spark.createDataFrame([(1, "Sunrise Foods Ltd"), (2, "Sunrise Food"), (3, "Elsewhere"), (4, None)], "id int, name string")
+    master = spark.createDataFrame([("Sunrise Foods", 7), ("SUNRISE FOODS LIMITED", 5), ("Unlike", 1), (None, 2)], "title string, lot int")
+    assert sets(matching.enriched(records, master, "id", "name", "title", "lot")) == [(1, "sunrise foods", 5), (2, "sunrise foods", 5)]
+
+
+def test_versions_of_tables(spark, tmp_path):
+    df = spark.createDataFrame([(1, 10), (2, None), (3, 30)], "id int, parent int")
+    kept, orphans = writers.split_unmatched(df, "parent")
+    assert (sets(kept), sets(orphans)) == ([(1, 10), (3, 30)], [(2, None)])
+    assert sets(writers.retained(df, "id", F.lit(1), str(tmp_path))) == sets(df.filter("id > 1"))
+    writers.refreshed(spark, "offers_now", kept, str(tmp_path))
+    before = spark.table("offers_now")
+    writers.refreshed(spark, "offers_now", orphans, str(tmp_path))  # readers of the version before are left alone
+    assert (sets(before), sets(spark.table("offers_now"))) == (sets(kept), sets(orphans))
+
+
+def test_observed(spark, small):
+    seen = []
+    streams.observed(streams.stream_of(spark, small, "events"), lambda batch, epoch: seen.append(batch.count()))
+    assert sum(seen) == spark.read.parquet(f"{small}/events.parquet").count()
