@@ -6,6 +6,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import compact_key, edit_similarity, match_key, slug, token_overlap, trigrams
+from ..sources.shared import written
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """Pairs x, y with x <= y, and each of two different texts the other way round as well; nothing is worked out twice."""
+    rest = [c for c in pairs.columns if c not in ("x", "y")]
+    there, back = F.struct("x", "y"), F.struct(F.col("y").alias("x"), F.col("x").alias("y"))
+    ways = F.when(F.col("x") == F.col("y"), F.array(there)).otherwise(F.array(there, back))
+    return pairs.select(F.explode(ways).alias("p"), *rest).select("p.x", "p.y", *rest)
 
 
 def similar_pairs(left: DataFrame, right: DataFrame | None, key: str, text: str, threshold: float, right_key: str | None = None, right_text: str | None = None) -> DataFrame:
@@ -13,26 +22,30 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, key: str, text: str,
 
     Distinct texts are compared, not rows.  Each text's grams are put in order of their frequency, and two texts can only
     be similar if they share one of the first ones (prefix filter), so that frequent grams rarely make pairs.  The lengths
-    bound the rest.  Without ``right``, pairs of ``left`` with a < b.
+    bound the rest.  A pair counts only where it meets first, so none has to be made distinct.  Without ``right``, pairs
+    of ``left`` with a < b.
     """
     self_join = right is None
     right = left if self_join else right
     right_key, right_text = right_key or key, right_text or text
-    both = left.select(F.col(text).alias("t")).union(right.select(F.col(right_text).alias("t"))).filter("t is not null").distinct()
-    sets = both.select("t", trigrams(F.col("t")).alias("grams")).filter(F.size("grams") > 0)
-    grams = sets.select("t", F.explode("grams").alias("gram"))
+    texts = left.select(F.col(text).alias("t"))
+    texts = texts if self_join else texts.union(right.select(F.col(right_text).alias("t")))
+    # A gram's three ASCII letters as one number.
+    code = lambda g: F.conv(F.hex(g), 16, 10).cast("int")
+    sets = texts.filter("t is not null").distinct().select("t", F.transform(trigrams(F.col("t")), code).alias("grams"))
+    grams = written(sets.filter(F.size("grams") > 0), "grams").select("t", F.explode("grams").alias("gram"))
     frequency = grams.groupBy("gram").agg(F.count("*").alias("n"))
-    ordered = grams.join(frequency, "gram").groupBy("t").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda s: s["gram"]).alias("grams"))
-    size = F.size("grams")
-    prefix = F.slice("grams", F.lit(1), (size - F.ceil(size * threshold) + 1).cast("int"))
-    keyed = ordered.select("t", "grams", F.explode(prefix).alias("gram"))
-    a = keyed.select("gram", F.col("t").alias("x"), F.col("grams").alias("p"))
-    b = keyed.select("gram", F.col("t").alias("y"), F.col("grams").alias("q"))
-    fits = (F.least(F.size("p"), F.size("q")) >= F.greatest(F.size("p"), F.size("q")) * threshold)
-    pairs = a.join(b, "gram").filter(fits & (F.col("x") <= F.col("y"))).dropDuplicates(["x", "y"])
+    by_frequency = F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda s: s["gram"])
+    ordered = written(grams.join(frequency, "gram").groupBy("t").agg(by_frequency.alias("grams")), "ordered")
+    prefix = F.slice("grams", F.lit(1), (F.size("grams") - F.ceil(F.size("grams") * threshold) + 1).cast("int"))
+    keyed = ordered.withColumn("prefix", prefix).withColumn("gram", F.explode("prefix"))
+    a = keyed.select("gram", F.col("t").alias("x"), F.col("grams").alias("p"), F.col("prefix").alias("p1"))
+    b = keyed.select("gram", F.col("t").alias("y"), F.col("grams").alias("q"), F.col("prefix").alias("q1"))
+    fits = F.least(F.size("p"), F.size("q")) >= F.greatest(F.size("p"), F.size("q")) * threshold
+    first = F.get(F.array_intersect("p1", "q1"), 0) == F.col("gram")
     shared = F.size(F.array_intersect("p", "q"))
-    pairs = pairs.withColumn("similarity", shared / (F.size("p") + F.size("q") - shared)).filter(F.col("similarity") >= threshold).select("x", "y", "similarity")
-    pairs = pairs.union(pairs.filter("x != y").select("y", "x", "similarity"))
+    pairs = a.join(b, "gram").filter((F.col("x") <= F.col("y")) & fits & first)
+    pairs = both_ways(pairs.select("x", "y", (shared / (F.size("p") + F.size("q") - shared)).alias("similarity")).filter(F.col("similarity") >= threshold))
     out = left.select(F.col(key).alias("a"), F.col(text).alias("x")).join(pairs, "x").join(right.select(F.col(right_key).alias("b"), F.col(right_text).alias("y")), "y").select("a", "b", "similarity")
     return out.filter("a < b") if self_join else out
 
@@ -54,22 +67,28 @@ def edit_pairs(left: DataFrame, right: DataFrame, key: str, text: str, threshold
         return df.withColumn("start", cut(F.col("place"))).withColumn("width", cut(F.col("place") + 1) - F.col("start"))
 
     def texts(df: DataFrame) -> DataFrame:
-        return df.select(F.col(text).alias("t")).filter("t is not null").distinct()
+        return written(df.select(F.col(text).alias("t")).filter("t is not null").distinct(), "texts")
 
     def longer(df: DataFrame, name: str) -> DataFrame:
-        return segment(texts(df).withColumn("size", F.length("t"))).select(F.col("t").alias(name), "size", "place", F.substring("t", F.col("start") + 1, F.col("width")).alias("part"))
+        return segment(df.withColumn("size", F.length("t"))).select(F.col("t").alias(name), "size", "place", F.substring("t", F.col("start") + 1, F.col("width")).alias("part"))
 
     def shorter(df: DataFrame, name: str) -> DataFrame:
         own = F.length("t")
-        df = texts(df).withColumn("size", F.explode(F.sequence(own, F.floor(own / threshold + 1e-9).cast("int"))))
+        df = df.withColumn("size", F.explode(F.sequence(own, F.floor(own / threshold + 1e-9).cast("int"))))
         gap, most = F.col("size") - own, edits(F.col("size"))
         moved = F.sequence(-F.floor((most + gap) / 2).cast("int"), F.floor((most - gap) / 2).cast("int"))
         df = segment(df.filter(gap <= most)).withColumn("by", F.explode(moved)).withColumn("at", F.col("start") + F.col("by")).filter((F.col("at") >= 0) & (F.col("at") + F.col("width") <= own))
         return df.select(F.col("t").alias(name), "size", "place", F.substring("t", F.col("at") + 1, F.col("width")).alias("part")).distinct()
 
     on = ["size", "place", "part"]
-    pairs = longer(left, "x").join(shorter(right, "y"), on).select("x", "y").union(shorter(left, "x").join(longer(right, "y"), on).select("x", "y")).distinct()
+    mine = texts(left)
+    if left is right:
+        pairs = longer(mine, "x").join(shorter(mine, "y"), on).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+    else:
+        theirs = texts(right)
+        pairs = longer(mine, "x").join(shorter(theirs, "y"), on).select("x", "y").union(shorter(mine, "x").join(longer(theirs, "y"), on).select("x", "y")).distinct()
     pairs = pairs.withColumn("similarity", edit_similarity(F.col("x"), F.col("y"))).filter(F.col("similarity") >= threshold)
+    pairs = both_ways(pairs) if left is right else pairs
     return left.select(F.col(key).alias("a"), F.col(text).alias("x")).join(pairs, "x").join(right.select(F.col(key).alias("b"), F.col(text).alias("y")), "y").select("a", "b", "similarity")
 
 
@@ -138,12 +157,14 @@ def tiered(records: DataFrame, master: DataFrame, record_id: str, record_name: s
     """record, match, confidence: by the first key of ``tiers`` that fits, 90 by slug and 85 by normalised or compact
     name; else 80 by the share of the record's longer words in the master's name; else 75 by edit similarity.
 
-    The similarity tiers compare distinct names, also those that a key matches: leaving these out would put the plan of
-    each tier into the next several times over.  Without ``overlap``, its tier is left out.
+    The keys are worked out once and written.  The similarity tiers compare distinct names, also those that a key
+    matches: leaving these out would put the plan of each tier into the next several times over.  Without ``overlap``, its
+    tier is left out.
     """
 
     def keyed(df: DataFrame, key: str, name: str, alias: str) -> DataFrame:
-        return df.select(F.col(key).alias(alias), match_key(F.col(name)).alias("n"), *[f(F.col(name)).alias(f"k{i}") for i, (f, _) in enumerate(tiers)])
+        keys = [f(F.col(name)).alias(f"k{i}") for i, (f, _) in enumerate(tiers)]
+        return written(df.select(F.col(key).alias(alias), match_key(F.col(name)).alias("n"), *keys), "names")
 
     a, b = keyed(records, record_id, record_name, "record"), keyed(master, master_id, master_name, "match")
     out = None

@@ -2,23 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.rows import ranked
-
-
-def shared(spark: SparkSession) -> str:
-    """A fresh folder that all executors see, or one of our own where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="spark-stream-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from ..sources.shared import shared_folder
 
 
 def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,7 +19,7 @@ def stream_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def available_now(df: DataFrame, mode: str = "append") -> DataFrame:
     """Runs a stream over what there is and returns its result as a table."""
     spark = df.sparkSession
-    root = shared(spark)
+    root = shared_folder(spark, "stream")
     if mode == "append":
         query = df.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/check").outputMode("append").trigger(availableNow=True).start()
     else:
@@ -103,5 +91,5 @@ def history(seen: DataFrame, key: str, item: str, longest: int = 100) -> DataFra
 
 def observed(df: DataFrame, on_batch) -> None:
     """Health of each micro-batch: ``on_batch(batch, epoch)`` with the rows that arrived."""
-    root = shared(df.sparkSession)
+    root = shared_folder(df.sparkSession, "stream")
     df.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{root}/check").trigger(availableNow=True).start().awaitTermination()
