@@ -51,11 +51,6 @@ def holds_all(items: Column, *wanted: str) -> Column:
     return F.coalesce(all_of([F.array_contains(items, w) for w in wanted]), F.lit(False))
 
 
-def nearest_rank(values: Column, share: float) -> Column:
-    """The value at place floor(n * share) of the sorted list, counted from 0."""
-    return F.get(F.array_sort(values), F.floor(F.size(values) * share).cast("int"))
-
-
 def year_of(d: Column, year: int) -> Column:
     """Whether a day is in a year, as a range that files can be pruned by."""
     return (d >= F.lit(f"{year}-01-01").cast("date")) & (d < F.lit(f"{year + 1}-01-01").cast("date"))

@@ -122,11 +122,27 @@ def union_labelled(*parts: tuple[str, DataFrame, str]) -> DataFrame:
 
 
 def failure_runs(df: DataFrame, key: str, order: list[str], failed: Column, threshold: int = 3) -> DataFrame:
-    """Failures of each key since its last success, and whether those are too many."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    runs = df.withColumn("_failed", failed.cast("int")).withColumn("_island", F.sum(1 - F.col("_failed")).over(w))
-    counts = runs.groupBy(key, "_island").agg(F.sum("_failed").alias("failures"))
-    return counts.groupBy(key).agg(F.max_by("failures", "_island").alias("failures")).withColumn("alarm", F.col("failures") >= threshold)
+    """Failures of each key since its last success, and whether those are too many.
+
+    The last success of each key is an aggregate and the failures behind it are counted, so that no key's history has to
+    be sorted in one task.  Of rows in the same place of the order, a success is the last.
+    """
+    place = F.struct(*order)
+    last = df.filter(~failed).groupBy(F.col(key).alias("_key")).agg(F.max(place).alias("_last"))
+    both = df.join(last, F.col(key).eqNullSafe(F.col("_key")), "left")
+    counts = both.groupBy(key).agg(F.count_if(failed & (F.col("_last").isNull() | (place > F.col("_last")))).alias("failures"))
+    return counts.withColumn("alarm", F.col("failures") >= threshold)
+
+
+def nearest_ranks(df: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
+    """The value at place floor(n * share), counted from 0, of each group's n values in order; nulls don't count.
+
+    A sort that can spill, so that no group is held as a list.
+    """
+    group = Window.partitionBy(*keys)
+    place, n = F.row_number().over(group.orderBy(name)), F.count("*").over(group)
+    known = df.select(*keys, F.col(value).alias(name)).filter(F.col(name).isNotNull())
+    return known.withColumns({"_place": place, "_n": n}).filter(F.col("_place") == F.floor(F.col("_n") * share) + 1).select(*keys, name)
 
 
 def running_mean(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:

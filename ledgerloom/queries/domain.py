@@ -36,9 +36,14 @@ def conflict_severity(spark, sf_dir):
     return consolidate.conflicts(records(spark, sf_dir)).select("entity", "field", "source", "value", "severity")
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY arrival) AS k FROM {RECORDS}),
+f AS (SELECT entity, field, k, value, source, rank, scraped_at, 'FIRST_VALUE' AS reason FROM s WHERE k = 1 UNION ALL
+SELECT entity, field, k, CASE WHEN wins THEN v2 ELSE v1 END, CASE WHEN wins THEN s2 ELSE s1 END, CASE WHEN wins THEN r2 ELSE r1 END, CASE WHEN wins THEN t2 ELSE t1 END, CASE WHEN alike THEN reason WHEN r1 != r2 THEN 'SOURCE_PRIORITY' WHEN field != 'N' THEN 'DEFAULT_KEEP_EXISTING' WHEN t2 > t1 THEN 'TIME_BASED_PRIORITY' ELSE 'TIME_BASED_PRIORITY_EXISTING_NEWER' END
+FROM (SELECT *, NOT alike AND (r2 < r1 OR (r2 = r1 AND field = 'N' AND t2 > t1)) AS wins FROM (SELECT s.entity, s.field, s.k, f.reason, abs(f.value::DOUBLE - s.value::DOUBLE) <= 0.01 AS alike, f.value AS v1, s.value AS v2, f.source AS s1, s.source AS s2, f.rank AS r1, s.rank AS r2, f.scraped_at AS t1, s.scraped_at AS t2
+FROM f JOIN s ON s.entity = f.entity AND s.field = f.field AND s.k = f.k + 1)))
+SELECT entity, field, max_by(value, k) AS value, max_by(source, k) AS source, max_by(reason, k) AS reason FROM f GROUP BY 1, 2""")
 def resolve_by_arrival(spark, sf_dir):
-    """The order-dependent fold; held against plain Python in the tests."""
+    """The order-dependent fold."""
     return consolidate.folded(records(spark, sf_dir))
 
 

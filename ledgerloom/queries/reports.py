@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.arrays import nearest_rank
 from ..functions.money import js_round
 from ..operators import rows, summaries
 from . import Tables, query
@@ -107,7 +106,7 @@ def median_by_key(spark, sf_dir):
 
 @query("SELECT l_suppkey, list_sort(list(l_extendedprice))[floor(count(*) * 0.1)::INT + 1] AS p10 FROM lineitem GROUP BY 1")
 def nearest_rank_p10(spark, sf_dir):
-    return Tables(spark, sf_dir).lineitem.groupBy("l_suppkey").agg(nearest_rank(F.collect_list("l_extendedprice"), 0.1).alias("p10"))
+    return summaries.nearest_ranks(Tables(spark, sf_dir).lineitem, ["l_suppkey"], "l_extendedprice", 0.1, "p10")
 
 
 @query("""SELECT l_suppkey, min(l_extendedprice) AS lowest, max(l_extendedprice) AS highest, max(l_quantity) AS quantity, max(CASE WHEN l_returnflag = 'R' THEN l_quantity END) AS cut_off_quantity FROM lineitem GROUP BY 1""")

@@ -210,6 +210,43 @@ def test_alert_and_parse_health(spark):
     assert out == [None, "CONSECUTIVE_FAILURES", "LOW_SUCCESS_RATE", None, None]
 
 
+def test_failure_runs_are_those_of_the_sorted_history(spark):
+    rng = random.Random(5)
+    history = [(rng.choice([None, 1, 2, 3, 4]), rng.choice([None, *range(40)]), k, rng.choice([True, True, False, None])) for k in range(200)] + [(9, 1, 500, False), (8, 1, 501, True)]
+    expected = {}
+    for key, _, _, failed in sorted(history, key=lambda r: (r[1] is not None, r[1] or 0, r[2])):
+        expected[key] = 0 if failed is False else expected.get(key, 0) + (failed is True)
+    df = spark.createDataFrame(history, "key int, at int, id int, failed boolean")
+    out = summaries.failure_runs(df, "key", ["at", "id"], F.col("failed"))
+    assert {r["key"]: (r["failures"], r["alarm"]) for r in out.collect()} == {k: (n, n >= 3) for k, n in expected.items()}
+    # A success stands behind the failures of its own place.
+    tied = spark.createDataFrame([(1, 5, True), (1, 5, False), (1, 6, True)], "key int, at int, failed boolean")
+    assert [r["failures"] for r in summaries.failure_runs(tied, "key", ["at"], F.col("failed")).collect()] == [1]
+    assert summaries.failure_runs(df.limit(0), "key", ["at"], F.col("failed")).count() == 0
+
+
+def test_nearest_ranks(spark):
+    rng = random.Random(6)
+    table = [(rng.choice([None, 1, 2]), rng.choice([None, *range(8)])) for _ in range(90)] + [(5, 3), (6, None)]
+    df = spark.createDataFrame(table, "key int, value int")
+    for share in (0.0, 0.1, 0.5, 0.99):
+        groups = {k: sorted(v for key, v in table if key == k and v is not None) for k, _ in table}
+        expected = {k: g[int(len(g) * share)] for k, g in groups.items() if g}
+        assert {r["key"]: r["p"] for r in summaries.nearest_ranks(df, ["key"], "value", share, "p").collect()} == expected
+
+
+def test_pairs_of_nulls_empty_texts_and_repeated_rows(spark):
+    names = [(1, "steel bolt"), (2, "steel bolt"), (3, "steel bolts"), (4, ""), (5, None), (6, "..."), (7, "Bolt, steel")]
+    df = spark.createDataFrame(names, "id int, name string")
+    out = {(r["a"], r["b"]) for r in matching.similar_pairs(df, None, "id", "name", 0.6).collect()}
+    assert out == {(1, 2), (1, 3), (2, 3), (1, 7), (2, 7), (3, 7)}
+    same = matching.edit_pairs(df, df, "id", "name", 0.9)
+    other = matching.edit_pairs(df, df.select("*"), "id", "name", 0.9)
+    assert {(1, 2), (2, 1), (1, 1), (1, 3), (3, 1)} <= {(r["a"], r["b"]) for r in same.collect()}
+    assert sets(same) == sets(other)
+    assert matching.similar_pairs(df.limit(0), None, "id", "name", 0.6).count() == matching.edit_pairs(df.limit(0), df, "id", "name", 0.6).count() == 0
+
+
 def test_streams_give_batch_results(spark, small):
     s = streams.stream_of(spark, small, "events").select("user_id", "ts", "event_id")
     batch = rows.latest_per_key(spark.read.parquet(f"{small}/events.parquet").select("user_id", "ts", "event_id"), ["user_id"], ["ts", "event_id"])
