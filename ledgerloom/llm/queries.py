@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, neardup, packing, personal, quality, sentencepieces, tiff, tokencounts, urls, webtext
+from . import chat, infill, mixing, neardup, packing, periods, personal, quality, sentencepieces, tiff, tokencounts, urls, webtext
 from .common import table
 
 
@@ -60,8 +60,20 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.digests(table(spark, sf_dir, "documents"))
+
+
+def op12_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periods.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_token_counts, op2_sentencepiece, op3_packing, op4_near_duplicates, op5_url_filter, op6_personal_data, op7_chat_format, op8_main_text, op9_tiff_media, op10_quality_rules)
+    every = (op1_token_counts, op2_sentencepiece, op3_packing, op4_near_duplicates, op5_url_filter, op6_personal_data, op7_chat_format, op8_main_text, op9_tiff_media, op10_quality_rules, op11_fill_in_middle, op12_mix_sources, op13_periodic_runs)
     return {f.__name__: f for f in every}
 
 
@@ -75,5 +87,15 @@ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars
 sum(14 + length(name) + length(text) + controls)::BIGINT AS formatted_chars, true AS round_trip FROM n GROUP BY conv_id"""
 
 
+#: The cuts drawn from the hash of the id; what is rebuilt is the text.
+INFILL_SQL = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h FROM documents),
+u AS (SELECT *, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS units FROM d),
+c AS (SELECT *, len(units) AS n, ('0x' || h[1:8])::BIGINT % (len(units) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(units) + 1) AS c2, ('0x' || h[25:32])::BIGINT % 100 AS turn,
+text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') AS plain FROM u),
+p AS (SELECT *, array_to_string(units[1:least(c1, c2)], '') AS prefix, array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') AS middle, array_to_string(units[greatest(c1, c2) + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, CASE WHEN plain THEN 'plain' WHEN turn < 50 THEN 'spm' ELSE 'psm' END AS form, CASE WHEN NOT plain THEN length(prefix) END AS prefix_chars, CASE WHEN NOT plain THEN length(middle) END AS middle_chars,
+sha256(CASE WHEN plain THEN text WHEN turn < 50 THEN '<S>' || suffix || '<P>' || prefix || '<M>' || middle ELSE '<P>' || prefix || '<S>' || suffix || '<M>' || middle END) AS output_sha256, sha256(text) AS restored_sha256 FROM p"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": CHAT_SQL}
+    return {"op7_chat_format": CHAT_SQL, "op11_fill_in_middle": INFILL_SQL}
