@@ -14,8 +14,8 @@ its Hessian is diagonal, as a document has one source.
    taken and falls back to halving the interval that must hold the multiplier, so that it can't fail.  Rates are whole
    multiples of 1 / ``UNIT`` and sums are exact decimals, so that their order doesn't matter and reruns agree.
 4. Rates become copies: a source's cells are gone through from the largest size down, and each gets the number of copies
-   that brings the words taken so far closest to those due, so that the last and smallest cells settle the rest.  A
-   source has at most as many cells as sizes, which is less than the square root of twice its words.
+   that brings the words taken so far closest to those due, so that the last and smallest cells settle the rest.  What is
+   still missing then is traded between two cells.  A source has at most as many cells as sizes, which is less than the square root of twice its words.
 5. Of a cell's documents those with the smallest hashes of their ids get the copy more.  Large cells are split by hash
    into parts of about ``PART`` rows, whose counts tell where each part stands.
 
@@ -25,6 +25,7 @@ their own; of equal ids in a cell some may get a copy more.  Other columns are l
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -108,6 +109,34 @@ def multipliers(cells: DataFrame, sources: DataFrame, most: float) -> DataFrame:
     raise ArithmeticError("the multipliers don't settle")
 
 
+def traded(copies: list[int], sizes: list[int], docs: list[int], short: float, most: int) -> None:
+    """Takes a copy more of one cell and one less of another, or one of both, as long as it brings a source closer.
+
+    ``short``: words that are missing.  With few documents the smallest cells alone can't make up for it.
+    """
+    size = np.array(sizes, np.int64)
+    held, most_held = np.array(copies, np.int64), np.array(docs, np.int64) * most
+    while True:
+        more = np.append(np.flatnonzero((held < most_held) & (size > 0)), -1)
+        less = np.append(np.flatnonzero((held > 0) & (size > 0))[::-1], -1)
+        gained = np.where(more < 0, 0, size[more])
+        lost = np.append(0, size[less[:-1]])  # from the smallest up, after none
+        which = np.append(-1, less[:-1])
+        at = np.clip(np.searchsorted(lost, gained - short), 0, len(lost) - 1)
+        near = np.maximum(at - 1, 0)
+        at = np.where(np.abs(gained - lost[near] - short) <= np.abs(gained - lost[at] - short), near, at)
+        off = np.abs(gained - lost[at] - short)
+        k = int(np.argmin(off))
+        if off[k] >= abs(short) - 0.5:
+            break
+        if more[k] >= 0:
+            held[more[k]] += 1
+        if which[at[k]] >= 0:
+            held[which[at[k]]] -= 1
+        short -= float(gained[k] - lost[at[k]])
+    copies[:] = held.tolist()
+
+
 def copied(cells: DataFrame, most: int) -> DataFrame:
     """Adds ``base``, the copies that each document of a cell has, and ``extra``, how many of them have one more."""
 
@@ -121,6 +150,7 @@ def copied(cells: DataFrame, most: int) -> DataFrame:
             k = min(max(int((words - taken) / size + 0.5), 0), most * n) if size else n
             copies.append(k)
             taken += k * size
+        traded(copies, sizes, docs, rows["target"][0] - taken, most)
         rows["base"] = [k // n for k, n in zip(copies, docs, strict=True)]
         rows["extra"] = [k % n for k, n in zip(copies, docs, strict=True)]
         return rows

@@ -193,3 +193,100 @@ def packed(rows, ids: dict[int, np.ndarray], width: int = 1024) -> tuple[int, in
         ends[sequence] = offset + length
     assert all(e <= width for e in ends.values())
     return sum(at.values()), len(ends)
+
+
+def infilled(doc_id: int | None, text: str | None) -> tuple:
+    """n, form, prefix_chars, middle_chars and the hashes of the output and the text."""
+    text = text or ""
+    units = re.findall(r"[^\n]*\n|[^\n]+", text)
+    n, h = len(units), hashlib.sha256(f"7:{'' if doc_id is None else doc_id}".encode()).hexdigest()
+    h1, h2, _, h4 = (int(h[8 * k : 8 * k + 8], 16) for k in range(4))
+    if not text or any(m in text for m in ("<P>", "<S>", "<M>")):
+        return n, "plain", None, None, sha(text), sha(text)
+    a, b = sorted((h1 % (n + 1), h2 % (n + 1)))
+    prefix, middle, suffix = "".join(units[:a]), "".join(units[a:b]), "".join(units[b:])
+    spm = h4 % 100 < 50
+    output = f"<S>{suffix}<P>{prefix}<M>{middle}" if spm else f"<P>{prefix}<S>{suffix}<M>{middle}"
+    return n, "spm" if spm else "psm", len(prefix), len(middle), sha(output), sha(text)
+
+
+def targets(docs: list[tuple]) -> dict[str | None, tuple[int, float]]:
+    """Source -> its words and its target, of rows (id, text, source): weights 1, 2, 3 repeating, at most three times the words."""
+    words: dict[str | None, int] = {}
+    for _, text, source in docs:
+        words[source] = words.get(source, 0) + len(WORD.findall(text or ""))
+    order = sorted((s for s in words if s is not None), key=lambda s: s.encode()) + [None] * (None in words)
+    weight = {s: 1 + k % 3 for k, s in enumerate(order)}
+    share = {s: sum(words.values()) * weight[s] / sum(weight.values()) for s in order}
+    full: set[str | None] = set()
+    while over := [s for s in order if share[s] > 3 * words[s] + 1e-9]:
+        full |= set(over)
+        excess = sum(share[s] - 3 * words[s] for s in over)
+        open_ = sum(weight[s] for s in order if s not in full)
+        for s in order:
+            share[s] = 3.0 * words[s] if s in over else share[s] + (excess * weight[s] / open_ if s not in full else 0)
+    return {s: (words[s], share[s]) for s in order}
+
+
+def multiplier(sizes: list[int], target: float, scale: float) -> float:
+    """By halving: where the tilted rates, at most 3, take so many words."""
+    low, high = -1e5, 1e5
+    for _ in range(200):
+        middle = (low + high) / 2
+        taken = sum(n * math.exp(min(middle * n / scale, math.log(3))) for n in sizes)
+        low, high = (middle, high) if taken < target else (low, middle)
+    return low
+
+
+def runs(s: list, shortest: int = 12) -> list[tuple[int, int, int]]:
+    """All periods tried from the smallest: stretches that agree with themselves moved by the period."""
+    out: dict[tuple[int, int], int] = {}
+    for p in range(1, len(s) // 2 + 1):
+        i = 0
+        while i + p < len(s):
+            if s[i] != s[i + p]:
+                i += 1
+                continue
+            j = i
+            while j + p < len(s) and s[j] == s[j + p]:
+                j += 1
+            if j - i + p >= max(shortest, 2 * p):
+                out.setdefault((i, j - i + p), p)
+            i = j + 1
+    return sorted((i, n, p) for (i, n), p in out.items())
+
+
+def tailed(doc_id: int | None, words: list) -> list:
+    h, n = zlib.crc32(str(doc_id).encode()), len(words)
+    if doc_id is None or h % 10 or not n:
+        return words
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [words[a + (i - a) % p] if i >= a else w for i, w in enumerate(words)]
+
+
+def numpy_runs(words: list[str]) -> list[tuple[int, int, int]]:
+    """``runs`` for longer texts: the stretches of each period by numpy."""
+    number: dict[str, int] = {}
+    s = np.array([number.setdefault(w, len(number)) for w in words], np.int64)
+    out: dict[tuple[int, int], int] = {}
+    for p in range(1, len(s) // 2 + 1):
+        same = np.concatenate([[0], (s[p:] == s[:-p]).astype(np.int8), [0]])
+        steps = np.diff(same)
+        for i, j in zip(np.flatnonzero(steps == 1).tolist(), np.flatnonzero(steps == -1).tolist(), strict=True):
+            if j - i + p >= max(12, 2 * p):
+                out.setdefault((i, j - i + p), p)
+    return sorted((i, n, p) for (i, n), p in out.items())
+
+
+def run_row(doc_id: int | None, text: str | None) -> tuple:
+    words = tailed(doc_id, WORD.findall(text or ""))
+    found = numpy_runs(words)
+    kept = [True] * len(words)
+    for start, length, period in found:
+        kept[start + period : start + length] = [False] * (length - period)
+    best = max(found, key=lambda r: (r[1], -r[0], -r[2]), default=None)
+    first = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    lines = "".join(f"{a},{b},{c}\n" for a, b, c in found)
+    return len(found), *first, sha(lines), sha(" ".join(w for w, k in zip(words, kept, strict=True) if k))
