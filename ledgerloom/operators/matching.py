@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import compact_key, edit_similarity, match_key, slug, token_overlap, trigrams
+from ..functions.text import compact_key, match_key, slug, token_overlap, trigrams
 from ..sources.shared import written
+from .edits import close_texts
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -50,46 +51,19 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, key: str, text: str,
     return out.filter("a < b") if self_join else out
 
 
-def edit_pairs(left: DataFrame, right: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+def edit_pairs(left: DataFrame, right: DataFrame, key: str, text: str, threshold: float, *within: str) -> DataFrame:
     """(a, b, similarity) of all pairs with so much edit similarity, above zero; for texts of any length and script.
 
-    The longer text of a pair allows d edits and is cut into d + 1 segments, of which one stays whole (pigeonhole).  The
-    shorter one holds it, moved by no more than the edits before it and the rest of the edits after it allow.  Pairs meet
-    on the longer length, the place of the segment and the segment.
+    ``within``: columns in which both rows must agree; names that only share a block are compared there alone.
     """
-
-    def edits(size: Column) -> Column:
-        return F.floor(size * (1 - threshold) + 1e-9).cast("int")
-
-    def segment(df: DataFrame) -> DataFrame:
-        df = df.withColumn("place", F.explode(F.sequence(F.lit(0), edits(F.col("size")))))
-        cut = lambda i: F.floor(i * F.col("size") / (edits(F.col("size")) + 1)).cast("int")
-        return df.withColumn("start", cut(F.col("place"))).withColumn("width", cut(F.col("place") + 1) - F.col("start"))
-
-    def texts(df: DataFrame) -> DataFrame:
-        return written(df.select(F.col(text).alias("t")).filter("t is not null").distinct(), "texts")
-
-    def longer(df: DataFrame, name: str) -> DataFrame:
-        return segment(df.withColumn("size", F.length("t"))).select(F.col("t").alias(name), "size", "place", F.substring("t", F.col("start") + 1, F.col("width")).alias("part"))
-
-    def shorter(df: DataFrame, name: str) -> DataFrame:
-        own = F.length("t")
-        df = df.withColumn("size", F.explode(F.sequence(own, F.floor(own / threshold + 1e-9).cast("int"))))
-        gap, most = F.col("size") - own, edits(F.col("size"))
-        moved = F.sequence(-F.floor((most + gap) / 2).cast("int"), F.floor((most - gap) / 2).cast("int"))
-        df = segment(df.filter(gap <= most)).withColumn("by", F.explode(moved)).withColumn("at", F.col("start") + F.col("by")).filter((F.col("at") >= 0) & (F.col("at") + F.col("width") <= own))
-        return df.select(F.col("t").alias(name), "size", "place", F.substring("t", F.col("at") + 1, F.col("width")).alias("part")).distinct()
-
-    on = ["size", "place", "part"]
-    mine = texts(left)
+    named = lambda df: df.select(*within, F.col(text).alias("t"))
     if left is right:
-        pairs = longer(mine, "x").join(shorter(mine, "y"), on).select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).distinct()
+        pairs = both_ways(close_texts(named(left), None, threshold, *within))
     else:
-        theirs = texts(right)
-        pairs = longer(mine, "x").join(shorter(theirs, "y"), on).select("x", "y").union(shorter(mine, "x").join(longer(theirs, "y"), on).select("x", "y")).distinct()
-    pairs = pairs.withColumn("similarity", edit_similarity(F.col("x"), F.col("y"))).filter(F.col("similarity") >= threshold)
-    pairs = both_ways(pairs) if left is right else pairs
-    return left.select(F.col(key).alias("a"), F.col(text).alias("x")).join(pairs, "x").join(right.select(F.col(key).alias("b"), F.col(text).alias("y")), "y").select("a", "b", "similarity")
+        pairs = close_texts(named(left), named(right), threshold, *within)
+    a = left.select(*within, F.col(key).alias("a"), F.col(text).alias("x"))
+    b = right.select(*within, F.col(key).alias("b"), F.col(text).alias("y"))
+    return a.join(pairs, [*within, "x"]).join(b, [*within, "y"]).select("a", "b", "similarity")
 
 
 def best_match(pairs: DataFrame, key: str, score: str, tie: str) -> DataFrame:
@@ -227,7 +201,8 @@ def by_dates(records: DataFrame, master: DataFrame, record_id: str, master_id: s
     ``least`` of several such rows, else NEAR for the only one with the same close and an opening a day before or, failing
     that, after.
 
-    The days of the master are counted before they are joined; names of a day meet only where they are similar.
+    The days of the master are counted before they are joined; names meet only within their days, and there only where
+    they can be similar.
     """
     days = master.groupBy(F.col(opens).alias("o"), F.col(closes).alias("c")).agg(F.count("*").alias("n"), F.min(master_id).alias("match"))
     mine = records.select(F.col(record_id).alias("record"), F.col(opens).alias("day"), F.col(closes).alias("c"), F.col(name).alias("name"))
@@ -237,9 +212,9 @@ def by_dates(records: DataFrame, master: DataFrame, record_id: str, master_id: s
     first = tried.filter("place = 0 OR n = 1").groupBy("record").agg(F.min(F.struct("place", "n", "match", "day", "c", "name")).alias("m")).select("record", "m.*")
     single = first.filter("n = 1").select("record", "match", F.when(F.col("place") == 0, "DATES").otherwise("NEAR").alias("method"))
     several = first.filter("n > 1").select("record", "day", "c", "name")
-    close = edit_pairs(several.select("name").distinct(), master.select(name).distinct().withColumnRenamed(name, "name"), "name", "name", least).filter(F.col("similarity") > least)
-    theirs = master.select(F.col(master_id).alias("match"), F.col(opens).alias("day"), F.col(closes).alias("c"), F.col(name).alias("b"))
-    named = several.join(close, F.col("name") == F.col("a")).join(theirs, ["day", "c", "b"])
+    theirs = master.select(F.col(master_id).alias("match"), F.col(opens).alias("day"), F.col(closes).alias("c"), F.col(name).alias("y"))
+    close = close_texts(several.select("day", "c", F.col("name").alias("t")), theirs.select("day", "c", F.col("y").alias("t")), least, "day", "c").filter(F.col("similarity") > least)
+    named = several.withColumnRenamed("name", "x").join(close, ["day", "c", "x"]).join(theirs, ["day", "c", "y"])
     best = named.groupBy("record").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "match")).alias("m"))
     return single.unionByName(best.select("record", F.col("m.match").alias("match"), F.lit("NAME").alias("method")))
 

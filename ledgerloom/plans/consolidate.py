@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import difference_percent
+from ..functions.dates import day
+from ..functions.money import amount, difference_percent, number, percentage
+from ..functions.text import squeezed
 
 # Fields of a kind, their sources from the best on, and whether the newest value or the same source's
 # refreshed value counts.
@@ -82,6 +84,7 @@ def folded(records: DataFrame) -> DataFrame:
     """(entity, field, value, source, reason): records in the order of their arrival, each against the winner so far.
 
     Order-dependent, as a store is that sees one record at a time.  Records need rank, time_based, refresh and arrival.
+    For short histories: all records of a field meet in one list.  ``folding.folded_in_runs`` gives the same without.
     """
     item = F.struct("arrival", "source", "rank", "value", "scraped_at", "time_based", "refresh")
     lists = records.filter("value is not null").groupBy("entity", "field").agg(F.array_sort(F.collect_list(item)).alias("all"))
@@ -146,6 +149,30 @@ def valid(value: Column, low: Column, high: Column, pattern: Column, nullable: C
     return F.when(value.isNull(), F.coalesce(nullable, F.lit(False))).otherwise(F.coalesce(number >= low, F.lit(True)) & F.coalesce(number <= high, F.lit(True)) & F.coalesce(F.regexp_like(value, pattern), F.lit(True)))
 
 
+#: How a field's values are normalised before they are compared: kind -> column of a column.
+NORMALISERS = {
+    "amount": lambda v: amount(v).cast("string"),
+    "percent": lambda v: percentage(v).cast("string"),
+    "number": lambda v: number(v).cast("string"),
+    "date": lambda v: day(v).cast("string"),
+    "text": lambda v: F.lower(squeezed(v)),
+}
+
+
+def prepared(records: DataFrame, checks: DataFrame) -> DataFrame:
+    """Records with ``plain``, the normalised value, and ``valid``; what ``checks`` doesn't name stays as it is and is valid.
+
+    ``checks``: (field, kind, low, high, pattern, nullable), one row a field, with nulls for what isn't bounded.
+    """
+    own = checks.select("field", "kind", "low", "high", "pattern", "nullable")
+    rows = records.join(own, "field", "left")
+    plain = F.coalesce(*[F.when(F.col("kind") == k, f(F.col("value"))) for k, f in NORMALISERS.items()], F.when(F.col("kind").isNull(), F.col("value")))
+    # An array of one: what is built on the value would otherwise repeat its long expression.
+    rows = rows.withColumn("plain", F.explode(F.array(plain)))
+    ok = F.col("kind").isNull() | valid(F.col("plain"), F.col("low"), F.col("high"), F.col("pattern"), F.col("nullable"))
+    return rows.withColumn("valid", ok).drop("kind", "low", "high", "pattern", "nullable")
+
+
 def keeps_range(old_low: Column, old_high: Column, new_low: Column, new_high: Column) -> Column:
     """Whether a new price band may replace the old one: one price doesn't replace a range."""
     return ~((new_low == new_high) & (old_low < old_high))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions.money import js_round
 from ..operators import summaries
-from ..plans import calendar, consolidate, health, quality, scoring
+from ..plans import calendar, consolidate, folding, health, quality, scoring
 from ..sources.readers import title_and_links
 from . import Tables, query
 from .values import LIFE, life
@@ -43,8 +43,31 @@ FROM (SELECT *, NOT alike AND (r2 < r1 OR (r2 = r1 AND field = 'N' AND t2 > t1))
 FROM f JOIN s ON s.entity = f.entity AND s.field = f.field AND s.k = f.k + 1)))
 SELECT entity, field, max_by(value, k) AS value, max_by(source, k) AS source, max_by(reason, k) AS reason FROM f GROUP BY 1, 2""")
 def resolve_by_arrival(spark, sf_dir):
-    """The order-dependent fold."""
-    return consolidate.folded(records(spark, sf_dir))
+    """The order-dependent fold, in runs that tasks work out by themselves."""
+    return folding.folded_in_runs(records(spark, sf_dir))
+
+
+CHAIN = """(SELECT l_suppkey AS entity, l_returnflag AS field, ['ADMIN', 'NSE', 'BSE', 'NEWS', 'OTHER'][l_orderkey % 5 + 1] AS source, CASE WHEN l_linenumber % 7 = 0 THEN NULL ELSE '₹ ' || (l_extendedprice::DECIMAL(18, 2))::VARCHAR END AS value, l_extendedprice::DECIMAL(18, 2)::DOUBLE AS number, l_shipdate AS scraped_at, l_orderkey * 10 + l_linenumber AS arrival,
+CASE WHEN l_returnflag = 'N' THEN [2, 1, 0, 1048576, 1048576][l_orderkey % 5 + 1] ELSE [0, 1, 2, 3, 1048576][l_orderkey % 5 + 1] END AS rank FROM lineitem)"""
+CHAIN_RULES = {"a": (("A",), ("ADMIN", "NSE", "BSE", "NEWS"), False, False), "r": (("R",), ("ADMIN", "NSE", "BSE", "NEWS"), False, True), "n": (("N",), ("BSE", "NSE", "ADMIN"), True, False)}
+
+
+@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY arrival) AS k FROM {CHAIN} WHERE value IS NOT NULL AND (field = 'A' OR number BETWEEN 2000 AND 60000)),
+f AS (SELECT entity, field, k, value, number, source, rank, scraped_at, 'FIRST_VALUE' AS reason FROM s WHERE k = 1 UNION ALL
+SELECT entity, field, k, CASE WHEN wins THEN v2 ELSE v1 END, CASE WHEN wins THEN n2 ELSE n1 END, CASE WHEN wins THEN s2 ELSE s1 END, CASE WHEN wins THEN r2 ELSE r1 END, CASE WHEN wins THEN t2 ELSE t1 END,
+CASE WHEN alike THEN reason WHEN r1 != r2 THEN 'SOURCE_PRIORITY' WHEN field = 'N' THEN 'TIME_BASED_PRIORITY' || CASE WHEN t2 > t1 THEN '' ELSE '_EXISTING_NEWER' END WHEN field = 'R' AND s1 = s2 AND r2 < 1048576 THEN 'SAME_SOURCE_REFRESH' || CASE WHEN t2 > t1 THEN '' ELSE '_EXISTING_NEWER' END ELSE 'DEFAULT_KEEP_EXISTING' END
+FROM (SELECT *, NOT alike AND (r2 < r1 OR (r2 = r1 AND (field = 'N' OR (field = 'R' AND s1 = s2 AND r2 < 1048576)) AND t2 > t1)) AS wins FROM (SELECT s.entity, s.field, s.k, f.reason, abs(f.number - s.number) <= 0.01 AS alike, f.value AS v1, s.value AS v2, f.number AS n1, s.number AS n2, f.source AS s1, s.source AS s2, f.rank AS r1, s.rank AS r2, f.scraped_at AS t1, s.scraped_at AS t2
+FROM f JOIN s ON s.entity = f.entity AND s.field = f.field AND s.k = f.k + 1)))
+SELECT entity, field, max_by(value, k) AS value, max_by(source, k) AS source, max_by(reason, k) AS reason FROM f GROUP BY 1, 2""")
+def consolidate_chain(spark, sf_dir):
+    """Amounts as texts: normalised, held against bounds, and folded in the order of their arrival by all kinds of rules."""
+    c = F.col
+    source = F.get(F.array(*[F.lit(s) for s in SOURCES]), (c("l_orderkey") % 5).cast("int"))
+    value = F.when(c("l_linenumber") % 7 != 0, F.concat(F.lit("₹ "), c("l_extendedprice").cast("decimal(18,2)").cast("string")))
+    t = Tables(spark, sf_dir).lineitem.select(c("l_suppkey").alias("entity"), c("l_returnflag").alias("field"), source.alias("source"), value.alias("value"), c("l_shipdate").alias("scraped_at"), (c("l_orderkey") * 10 + c("l_linenumber")).alias("arrival"))
+    checks = spark.createDataFrame([("A", "amount", None, None, None, False), ("R", "amount", 2000.0, 60000.0, None, False), ("N", "amount", 2000.0, 60000.0, None, False)], "field string, kind string, low double, high double, pattern string, nullable boolean")
+    good = consolidate.prepared(t, checks).filter("valid")
+    return folding.folded_in_runs(consolidate.with_rules(good, consolidate.rule_table(spark, CHAIN_RULES)))
 
 
 @query("""SELECT l_orderkey, min_by(l_comment, place) FILTER (l_comment IS NOT NULL) AS flag, min_by(q, place) FILTER (q IS NOT NULL) AS quantity FROM (SELECT *, l_linenumber * 100000000 + l_extendedprice AS place, nullif(l_returnflag, 'N') AS l_comment, nullif(l_quantity, round(l_quantity / 5) * 5) AS q FROM lineitem) GROUP BY 1""")
