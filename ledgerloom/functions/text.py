@@ -108,8 +108,11 @@ def token_overlap(a: Column, b: Column, shortest: int = 4) -> Column:
 
 
 def trigrams(text: Column) -> Column:
-    """Distinct three-letter parts of the words of a text, each word padded by two spaces before and one after."""
-    words = F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    """Distinct three-letter parts of the words of a text, each word padded by two spaces before and one after.
+
+    Words are runs of letters, their marks and digits of any script.
+    """
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{M}\p{N}]+"), lambda w: w != "")
 
     def parts(word: Column) -> Column:
         padded = F.concat(F.lit("  "), word, F.lit(" "))

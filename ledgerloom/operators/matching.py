@@ -31,8 +31,9 @@ def similar_pairs(left: DataFrame, right: DataFrame | None, key: str, text: str,
     right_key, right_text = right_key or key, right_text or text
     texts = left.select(F.col(text).alias("t"))
     texts = texts if self_join else texts.union(right.select(F.col(right_text).alias("t")))
-    # A gram's three ASCII letters as one number.
-    code = lambda g: F.conv(F.hex(g), 16, 10).cast("int")
+    # A gram's three characters as one number, 21 bits each.
+    point = lambda g, k: F.ascii(F.substring(g, k, 1)).cast("long")
+    code = lambda g: (point(g, 1) * (1 << 42)) + (point(g, 2) * (1 << 21)) + point(g, 3)
     sets = texts.filter("t is not null").distinct().select("t", F.transform(trigrams(F.col("t")), code).alias("grams"))
     grams = written(sets.filter(F.size("grams") > 0), "grams").select("t", F.explode("grams").alias("gram"))
     frequency = grams.groupBy("gram").agg(F.count("*").alias("n"))

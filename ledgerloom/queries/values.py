@@ -60,7 +60,7 @@ def display_names(spark, sf_dir):
     return t.select("p_partkey", text.display_name(F.col("name")).alias("shown"))
 
 
-GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^a-z0-9]+'), lambda w: w != ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: ('  ' || w || ' ')[i:i + 2]))))"
+GRAMS = "list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower({0}), '[^\\p{{L}}\\p{{M}}\\p{{N}}]+'), lambda w: w != ''), lambda w: list_transform(range(1, length(w) + 2), lambda i: ('  ' || w || ' ')[i:i + 2]))))"
 NAMES = "(SELECT DISTINCT p_name AS n FROM part)"
 
 
@@ -72,6 +72,20 @@ def theta_self_similarity(spark, sf_dir):
     return out.withColumn("similarity", js_round(F.col("similarity"), 4))
 
 
+LATIN, GREEK = "abcdefghijklmnoprstuvw", "αβψδεφγηιξκλμνοπρστθως"
+SCRIPTS = f"(SELECT DISTINCT CASE WHEN p_partkey % 3 = 0 THEN translate(p_name, '{LATIN}', '{GREEK}') WHEN p_partkey % 3 = 1 THEN '株式会社 ' || p_name ELSE p_name END AS n FROM part)"
+
+
+@query(f"""WITH g AS (SELECT n, {GRAMS.format('n')} AS s FROM {SCRIPTS}) SELECT a.n AS a, b.n AS b, floor(len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) * 10000 + 0.5) / 10000 AS similarity
+FROM g a JOIN g b ON a.n < b.n WHERE len(list_intersect(a.s, b.s))::DOUBLE / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) >= 0.5""")
+def similar_in_any_script(spark, sf_dir):
+    """Names of which some are in Greek letters and some begin with Chinese ones."""
+    k, name = F.col("p_partkey") % 3, F.col("p_name")
+    shown = F.when(k == 0, F.translate(name, LATIN, GREEK)).when(k == 1, F.concat(F.lit("株式会社 "), name)).otherwise(name)
+    out = matching.similar_pairs(Tables(spark, sf_dir).part.select(shown.alias("n")).distinct(), None, "n", "n", 0.5)
+    return out.withColumn("similarity", js_round(F.col("similarity"), 4))
+
+
 @query(f"""WITH n AS {NAMES} SELECT a.n AS a, b.n AS b, floor((greatest(length(a.n), length(b.n)) - levenshtein(a.n, b.n))::DOUBLE / greatest(length(a.n), length(b.n)) * 10000 + 0.5) / 10000 AS similarity FROM n a JOIN n b ON a.n != b.n
 WHERE (greatest(length(a.n), length(b.n)) - levenshtein(a.n, b.n))::DOUBLE / greatest(length(a.n), length(b.n)) >= 0.75""")
 def levenshtein_match(spark, sf_dir):

@@ -30,6 +30,37 @@ def test_similar_pairs_are_those_of_all_pairs(spark):
         assert ours == {(r[0], r[1]) for r in every.select("a.id", "b.id").collect()}
 
 
+def test_similar_pairs_in_any_script(spark):
+    names = ["Ελληνική Τράπεζα", "Ελληνικη Τράπεζα", "Εθνική Τράπεζα", "रिलायंस उद्योग", "रिलायंस उद्योग लि", "腾讯控股", "腾讯控股有限", "𝒜𝒷𝒸𝒹", "𝒜𝒷𝒸𝒹 ε", "Ünïted Bänk", "united bank"]
+    df = spark.createDataFrame(list(enumerate(names)), "id int, name string")
+    for threshold in (0.3, 0.7):
+        ours = {(r["a"], r["b"]) for r in matching.similar_pairs(df, None, "id", "name", threshold).collect()}
+        a, b = df.alias("a"), df.alias("b")
+        every = a.join(b, F.col("a.id") < F.col("b.id")).filter(trigram_similarity(F.col("a.name"), F.col("b.name")) >= threshold)
+        assert ours == {(r[0], r[1]) for r in every.select("a.id", "b.id").collect()}
+        assert {(0, 1), (3, 4)} <= ours or threshold > 0.5
+    same = spark.createDataFrame([(1, "Τράπεζα"), (2, "Τράπεζα")], "id int, name string")
+    assert sets(matching.similar_pairs(same, None, "id", "name", 1.0)) == [(1, 2, 1.0)]
+
+
+def test_edit_pairs_within_a_block(spark):
+    left = spark.createDataFrame([(1, "alpha", "x"), (2, "alpha", "y"), (3, "beta", None)], "id int, name string, g string")
+    right = spark.createDataFrame([(1, "alphb", "x"), (2, "beta", "y"), (3, "beta", None)], "id int, name string, g string")
+    assert sets(matching.edit_pairs(left, right, "id", "name", 0.7, "g").select("a", "b")) == [(1, 1)]
+
+
+def test_few_pairs_of_names_meet(spark):
+    from ledgerloom.operators import edits
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(6, 8)))
+    names = sorted({" ".join(word() for _ in range(3)) for _ in range(800)})
+    df = spark.createDataFrame([(n,) for n in names], "t string")
+    for threshold, most in ((0.75, 0.01), (0.6, 0.03)):
+        pairs = edits.met(edits.segments(df, threshold), edits.offers(df, threshold), threshold).filter("x != y")
+        assert pairs.select(F.least("x", "y"), F.greatest("x", "y")).distinct().count() < most * len(names) * (len(names) - 1) / 2
+
+
 def test_tiered_prefers_keys(spark):
     records = spark.createDataFrame([(1, "Acme Ltd"), (2, "Poly-Plast Ltd"), (3, "Zenith Steels"), (4, "Nothing like it")], "id int, name string")
     master = spark.createDataFrame([(10, "ACME Limited"), (20, "Polyplast Limited"), (30, "Zenith Steel")], "mid int, name string")
