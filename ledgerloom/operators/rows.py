@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .segmented import with_next
+
 
 def columns(*names: str | Column) -> list[Column]:
     return [F.col(n) if isinstance(n, str) else n for n in names]
@@ -95,16 +97,19 @@ def flagged(parents: DataFrame, key: str, presence: dict[str, DataFrame]) -> Dat
 
 def with_gaps(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFrame:
     """Rows with the time of the next row of their key: ``next``."""
-    return df.withColumn("next", F.lead(time).over(Window.partitionBy(*keys).orderBy(time, tie)))
+    return with_next(df, keys, [time, tie], time)
 
 
 def trend(df: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """The latest row of each key, with the one before it: ``up``, ``down`` or ``flat``."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    both = df.withColumn("previous", F.lag(value).over(w))
+    """The latest row of each key, with the value of the one before it: ``up``, ``down`` or ``flat``.
+
+    The two latest rows of each key are enough, so that no history is sorted.
+    """
+    newest = [F.col(c).desc() for c in order]
+    w = Window.partitionBy(*keys).orderBy(*newest)
+    both = top_per_key(df, keys, newest, 2).withColumns({"previous": F.lead(value).over(w), "_place": F.row_number().over(w)})
     change = F.col(value) - F.col("previous")
-    both = both.withColumn("trend", F.when(change > 0, "up").when(change < 0, "down").otherwise("flat"))
-    return latest_per_key(both, keys, order)
+    return both.filter("_place = 1").drop("_place").withColumn("trend", F.when(change > 0, "up").when(change < 0, "down").otherwise("flat"))
 
 
 def mean_of_latest(df: DataFrame, keys: list[str], order: list[Column], value: str, n: int = 3) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import js_round
+from .segmented import at_places, with_running
 
 
 def share(part: Column, whole: Column, places: int = 1) -> Column:
@@ -135,17 +136,12 @@ def failure_runs(df: DataFrame, key: str, order: list[str], failed: Column, thre
 
 
 def nearest_ranks(df: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
-    """The value at place floor(n * share), counted from 0, of each group's n values in order; nulls don't count.
-
-    A sort that can spill, so that no group is held as a list.
-    """
-    group = Window.partitionBy(*keys)
-    place, n = F.row_number().over(group.orderBy(name)), F.count("*").over(group)
-    known = df.select(*keys, F.col(value).alias(name)).filter(F.col(name).isNotNull())
-    return known.withColumns({"_place": place, "_n": n}).filter(F.col("_place") == F.floor(F.col("_n") * share) + 1).select(*keys, name)
+    """The value at place floor(n * share), counted from 0, of each group's n values in order; nulls don't count."""
+    return at_places(df, keys, value, {name: F.floor(F.col("_total") * share)})
 
 
 def running_mean(df: DataFrame, key: str, order: list[str], value: str) -> DataFrame:
     """``df`` with the mean of a key's values up to each row, in order, and their number; nulls don't count."""
-    upto = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return df.withColumns({"n": F.count(value).over(upto), "mean": F.avg(value).over(upto)})
+    known = F.when(F.col(value).isNotNull(), 1).otherwise(0).cast("long")
+    out = with_running(df, [key], order, {"n": known, "_sum": F.col(value).cast("double")})
+    return out.withColumn("mean", F.try_divide("_sum", "n")).drop("_sum")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.segmented import with_previous
 from ..operators.summaries import failure_runs
 
 # Minutes after which a source's last success is too old.
@@ -77,10 +78,11 @@ POLL_MINUTES = {"MARKET_HOURS": 30, "AFTER_HOURS": 120, "WEEKEND": 360}
 
 def series_checks(df: DataFrame, key: str, time: str, value: str, as_of: Column, max_gap_minutes: int, max_jump: float) -> DataFrame:
     """What is odd in each key's series: repeated times, gaps, readings from the future, null values, and values that fall
-    or jump from one reading to the next.  One shuffle by the key."""
-    order = Window.partitionBy(key).orderBy(time, F.col(value).asc_nulls_first())
-    minutes = (F.unix_micros(F.col(time).cast("timestamp")) - F.unix_micros(F.lag(time).over(order).cast("timestamp"))) / 60_000_000
-    rows = df.select(key, time, value, minutes.alias("_gap"), (F.col(value) - F.lag(value).over(order)).alias("_step"))
+    or jump from one reading to the next."""
+    rows = with_previous(df.select(key, time, value), [key], [time, value], [time, value])
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    minutes = (micros(F.col(time)) - micros(F.col("_previous")[time])) / 60_000_000
+    rows = rows.select(key, time, value, minutes.alias("_gap"), (F.col(value) - F.col("_previous")[value]).alias("_step"))
     checks = {
         "repeated_times": F.col("_gap") == 0,
         "gaps": F.col("_gap") > max_gap_minutes,

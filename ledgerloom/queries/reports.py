@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.money import js_round
-from ..operators import rows, summaries
+from ..operators import rows, segmented, summaries
 from . import Tables, query
 
 YEARS = (1995, 1996, 1997)
@@ -101,7 +101,7 @@ def zero_filled_classes(spark, sf_dir):
 
 @query("SELECT l_suppkey, median(l_quantity) AS middle FROM lineitem GROUP BY 1")
 def median_by_key(spark, sf_dir):
-    return Tables(spark, sf_dir).lineitem.groupBy("l_suppkey").agg(F.median("l_quantity").alias("middle"))
+    return segmented.medians(Tables(spark, sf_dir).lineitem, ["l_suppkey"], "l_quantity", "middle")
 
 
 @query("SELECT l_suppkey, list_sort(list(l_extendedprice))[floor(count(*) * 0.1)::INT + 1] AS p10 FROM lineitem GROUP BY 1")
