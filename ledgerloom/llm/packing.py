@@ -8,9 +8,12 @@ a queue runs dry, its share goes to the others in proportion; the schedule is th
 shares and a window of its own where queues end.
 
 Steps: tokenise once into a table (ids in 16 bits, with a running count per source within the task's rows); add up the
-counts per task and source with windows over those few sums, per source and per part of the small sources; plan the segments from the totals per queue; cut each
+counts per task and source with windows over those few sums; plan the segments from the totals per queue; cut each
 document at its windows.  Sources with less than one token a window share one queue, so there are never more than
-``width`` queues whatever the number of sources, and what the driver sees is bounded by that.
+``width`` queues whatever the number of sources, and what the driver sees is bounded by that.  In the shared queue the
+documents take turns by the same principle, in closed form as well: each stands where its source has delivered as large a
+part of its tokens as all the others, so that any stretch of the queue holds these sources by their shares, up to a
+document.  Parts of that queue are ranges of these fractions, which are spread evenly whatever the sources' sizes.
 
 Null or empty texts have one token, the end mark 0.  Null sources form a source.  Repeated rows are packed as often as
 they occur.  Other columns are left alone.  Nothing is dropped; only the last windows can be short.
@@ -33,6 +36,8 @@ from .common import for_workers, materialise, small_side
 WIDTH = 1024
 SCALE = 1 << 30
 END = 0
+#: Shares of sources in production: tokens to this power.
+TEMPER = 0.7
 
 
 @dataclass
@@ -138,11 +143,30 @@ def tokenised(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     return rows.mapInArrow(run, "doc_id bigint, source string, task int, ids binary, n bigint, before bigint")
 
 
-def pack(docs: DataFrame, tokenizer_file: str, targets: dict[str, float] | None = None, width: int = WIDTH) -> DataFrame:
+def in_turn(tokens: DataFrame, begins: DataFrame, totals: DataFrame, parts: int) -> DataFrame:
+    """Rows of the sources in ``begins`` with their ``start`` in a queue that serves all these sources by their shares.
+
+    A document stands at the fraction of its source's tokens that a point inside it has; the point is drawn by the source,
+    so that sources of a single document are spread out too.
+    """
+    point = F.pmod(F.xxhash64("source"), F.lit(1 << 20)) / float(1 << 20)
+    own = begins.join(totals, "source").select("source", "task", "begin", "total", point.alias("point"))
+    at = (F.col("begin") + F.col("before") + F.col("n") * F.col("point")) / F.col("total")
+    places = tokens.select("source", "task", "before", "n").join(small_side(own), ["source", "task"])
+    places = materialise(places.select("source", "task", "before", "n", at.alias("at")).withColumn("part", F.floor(F.col("at") * parts)), "turns")
+    ahead = places.groupBy("part").agg(F.sum("n").alias("n")).select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("ahead"))
+    within = F.sum("n").over(Window.partitionBy("part").orderBy("at", "source", "task", "before").rowsBetween(Window.unboundedPreceding, -1))
+    starts = places.withColumn("within", F.coalesce(within, F.lit(0))).join(F.broadcast(ahead), "part")
+    starts = materialise(starts.select("source", "task", "before", (F.col("ahead") + F.col("within")).alias("start")), "starts")
+    return tokens.join(small_side(starts), ["source", "task", "before"]).select("doc_id", "ids", "n", "start")
+
+
+def pack(docs: DataFrame, tokenizer_file: str, targets: dict[str, float] | None = None, width: int = WIDTH, temper: float = 1.0) -> DataFrame:
     """Pieces of all documents with their sequence and offset.
 
-    ``targets``: shares of sources that each window aims at; without it, each source's share of all tokens.  Sources
-    that ``targets`` doesn't name keep their natural share.
+    ``targets``: shares of sources that each window aims at.  Sources that it doesn't name share what is left, their part
+    of all tokens at least, by their tokens to the power of ``temper``: 1 gives natural shares, less lets small sources
+    come earlier.
     """
     tokens = materialise(tokenised(docs, tokenizer_file), "tokens")
     sums = tokens.groupBy("source", "task").agg(F.sum("n").alias("n"))
@@ -154,24 +178,23 @@ def pack(docs: DataFrame, tokenizer_file: str, targets: dict[str, float] | None
     large = {r["source"]: r["total"] for r in totals.filter((F.col("total") * width >= grand) | F.col("source").isin([*named])).collect()}
     names = sorted(large)
     rest = grand - sum(large.values())
-    natural = {s: named.get(s, n / grand) for s, n in large.items()}
+    weight = lambda n: (n / grand) ** temper if n else 0.0
+    open_ = sum(weight(n) for s, n in large.items() if s not in named) + weight(rest)
+    left = max(1.0 - sum(named.get(s, 0.0) for s in large), (grand - sum(n for s, n in large.items() if s in named)) / max(grand, 1))
+    share = lambda n: left * weight(n) / open_ if n else 0.0
     queue_totals = [large[s] for s in names] + [rest]
-    queue_targets = [natural[s] for s in names] + [rest / grand if grand else 0.0]
+    queue_targets = [named[s] if s in named else share(large[s]) for s in names] + [share(rest)]
     segments = plan(queue_totals, queue_targets, width)
     spark = docs.sparkSession
     numbered = spark.createDataFrame(list(zip(names, range(len(names)), strict=True)) or [("", 0)], "source string, queue int")
-    # Start of each task's share of a queue: what the task's source has in tasks before it, and for small sources what
-    # lies before the source: in its part of the sources, and in the parts before that.
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    small = totals.join(F.broadcast(numbered), "source", "left_anti").withColumn("part", F.pmod(F.xxhash64("source"), F.lit(parts)))
-    ahead = small.groupBy("part").agg(F.sum("total").alias("n")).withColumn("ahead", F.sum("n").over(Window.orderBy("part")) - F.col("n"))
-    within = F.sum("total").over(Window.partitionBy("part").orderBy("source")) - F.col("total")
-    small = materialise(small.withColumn("within", within).join(F.broadcast(ahead.drop("n")), "part").select("source", (F.col("ahead") + F.col("within")).alias("ahead")), "sources")
-    sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("task")) - F.col("n"))
-    sums = sums.join(F.broadcast(numbered), "source", "left").join(small_side(small), "source", "left")
-    ordered = sums.select("source", "task", F.coalesce("queue", F.lit(len(names))).alias("queue"), (F.col("before") + F.coalesce("ahead", F.lit(0))).alias("begin"))
-    ordered = materialise(ordered, "starts")
+    # Where each task's share of a source starts: what the source has in tasks before it.
+    sums = sums.withColumn("begin", F.sum("n").over(Window.partitionBy("source").orderBy("task")) - F.col("n")).drop("n")
+    begins = materialise(sums, "begins")
+    ordered = begins.join(F.broadcast(numbered), "source")
     rows = tokens.join(small_side(ordered), ["source", "task"]).select("doc_id", "ids", "n", "queue", (F.col("begin") + F.col("before")).alias("start"))
+    if rest:
+        shared = in_turn(tokens, begins.join(F.broadcast(numbered), "source", "left_anti"), totals, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        rows = rows.unionByName(shared.withColumn("queue", F.lit(len(names))).select(*rows.columns))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -44,12 +44,11 @@ FORMS = {
 #: A text without this has no hit of the kind.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
-#: 64 and 63 characters are the most that a mailbox name and a label of a host can have.
-_NAME = r"[A-Za-z0-9._%+-]{1,64}+"
+_NAME = r"[A-Za-z0-9._%+-]++"
 _DOT = r"[\[({<]\x20?(?:dot|DOT)\x20?[\])}>]"
 #: Token runs that count only in a trusted context.  Digits are taken in any groups; ``plausible`` says what can't be.
 LOOSE = {
-    "email": rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:\x20(?:dot|DOT)\x20{_NAME})*+(?:\x20?[\[({{<]\x20?(?:at|AT)\x20?[\])}}>]\x20?[A-Za-z0-9-]{{1,63}}+(?:\x20?(?:\.|{_DOT})\x20?[A-Za-z0-9-]{{2,63}}+|\x20(?:dot|DOT)\x20[A-Za-z0-9-]{{2,63}}+)++|(?:\x20(?:at|AT)\x20|\x20@\x20)[A-Za-z0-9-]{{1,63}}+(?:(?:\.|\x20(?:dot|DOT)\x20|\x20?{_DOT}\x20?)[A-Za-z0-9-]{{2,63}}+)++)",
+    "email": rf"(?<![A-Za-z0-9._%+-]){_NAME}(?:\x20(?:dot|DOT)\x20{_NAME})*+(?:\x20?[\[({{<]\x20?(?:at|AT)\x20?[\])}}>]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|{_DOT})\x20?[A-Za-z0-9-]{{2,}}+|\x20(?:dot|DOT)\x20[A-Za-z0-9-]{{2,}}+)++|(?:\x20(?:at|AT)\x20|\x20@\x20)[A-Za-z0-9-]++(?:(?:\.|\x20(?:dot|DOT)\x20|\x20?{_DOT}\x20?)[A-Za-z0-9-]{{2,}}+)++)",
     "ip": r"(?<![0-9A-Za-z:.])(?:(?=[:]*[0-9A-Fa-f])(?:[0-9A-Fa-f]{0,4}:){2,8}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:])|[0-9]{1,3}(?:\x20?(?:\.|[\[(](?:\.|dot|DOT)[\])])\x20?[0-9]{1,3}|\x20(?:dot|DOT)\x20[0-9]{1,3}){3}(?![0-9A-Za-z]))",
     "card": r"(?<![0-9A-Za-z])[0-9](?:[\x20._/-]?[0-9]){12,}+(?![A-Za-z])",
     "phone": r"(?<![0-9A-Za-z+])\(?[0-9](?:\)?[\x20./-]?\(?[0-9]){5,}+(?![A-Za-z])",
@@ -59,7 +58,8 @@ LOOSE_NEEDS = {"email": r"(?:at|AT)[\x20\])}>]|\x20@\x20", "ip": "[0-9:]", "card
 
 SUPPORT = 5
 TRUST = 0.8
-#: Code points before and behind a span that make its context.  Of a longer word, the part next to the span counts.
+#: Code points on either side of a span in which its context is looked for first; longer words are looked for in all of
+#: the text.
 REACH = 128
 SPAN = "array<struct<start:int,end:int,value:string>>"
 
@@ -147,8 +147,12 @@ def with_context(kind: str, spans: Column, others: list[Column] | None = None) -
 
     def one(s: Column) -> Column:
         low = F.greatest(s["start"] - REACH, F.lit(0))
-        before = F.lower(F.substring(F.col("whole"), low + 1, s["start"] - low))
-        after = F.lower(F.substring(F.col("whole"), s["end"] + 1, F.lit(REACH)))
+        near, behind = F.substring(F.col("whole"), low + 1, s["start"] - low), F.substring(F.col("whole"), s["end"] + 1, F.lit(REACH))
+        # Whole where a space ends the second word, or the text does.
+        held = (low == 0) | near.rlike(rf"[\x20\x09-\x0D]{word}[\x20\x09-\x0D]+{word}[\x20\x09-\x0D]*$")
+        held_behind = (F.length(behind) < REACH) | behind.rlike(rf"^[\x20\x09-\x0D]*{word}[\x20\x09-\x0D]")
+        before = F.lower(F.when(held, near).otherwise(F.substring(F.col("whole"), F.lit(1), s["start"])))
+        after = F.lower(F.when(held_behind, behind).otherwise(F.substring(F.col("whole"), s["end"] + 1, F.length(F.col("whole")))))
         left = F.regexp_extract(before, rf"({word}[\x20\x09-\x0D]+)?({word})[\x20\x09-\x0D]*$", 0)
         left = F.regexp_replace(F.trim(left), r"[\x20\x09-\x0D]+", " ")
         last = F.regexp_extract(left, rf"({word})$", 1)

@@ -5,7 +5,8 @@ encoded by themselves.  All new words of a batch are laid out in one flat array
 that are neighbours in no piece, as no merge can cross such a place: long words without spaces fall into many segments.
 A round finds the best pair of each segment with a segmented minimum over pair ranks, merges it at all places where that
 gives what merging leftmost first gives, and compacts the arrays; segments without a pair have left the arrays.  A word's
-ids go to a bounded cache, so that a round only sees words that the worker has not met.
+ids go to a cache, bounded by bytes, so that a round only sees words that the worker has not met.  Long words, as texts
+without spaces are, go through the rounds each time; one of over ``CHUNK`` characters goes in parts between cuts.
 
 Decoding reads ids alone.  A word's first id is a piece that begins with a space mark, so that no run of byte ids goes on
 from one word to the next: what a text's ids decode to is what its words' ids decode to, one after the other, and those go
@@ -28,8 +29,12 @@ from pyspark.sql import DataFrame
 from .common import for_workers
 
 SPACE = "▁"
-#: Words that a worker remembers; the cache starts anew beyond it.
-CACHE_WORDS = 500_000
+#: About so many bytes of words and their ids does a worker remember; the cache starts anew beyond it.
+CACHE_BYTES = 200_000_000
+#: Longer words are encoded each time they are met: texts without spaces are words, and don't come again.
+LONG = 64
+#: Texts and words are worked off in groups of about so many characters; each takes some 150 bytes meanwhile.
+CHUNK = 1 << 20
 NONE = np.iinfo(np.int64).max
 
 SCHEMA = "n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -84,6 +89,7 @@ class PieceCodec:
         self.words: dict[str, list[int]] = {}  # word -> its ids
         self.named: dict[str, str] = {}  # word -> its ids in decimal, joined by commas
         self.spoken: dict[str, str] = {}  # word -> what its ids decode to
+        self.held = 0  # bytes of these, about
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -105,17 +111,47 @@ class PieceCodec:
         return found
 
     def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The ids of each word, merged round by round over all of them."""
-        return [self._ids(w, symbols) for w, symbols in zip(words, self._merge_rounds(words), strict=True)] if words else []
+        """The ids of each word, merged round by round over all words of a group."""
+        out: list[list[int]] = []
+        for group in grouped(words):
+            if len(group) == 1 and len(group[0]) > CHUNK:
+                out.append(list(chain.from_iterable(chain.from_iterable(map(self._encode, ([s] for s in self._slices(group[0])))))))
+            else:
+                out += self._encode(group)
+        return out
+
+    def _encode(self, words: list[str]) -> list[list[int]]:
+        return [self._ids(w, symbols) for w, symbols in zip(words, self._merge_rounds(words), strict=True)]
+
+    def _symbols(self, text: str) -> np.ndarray:
+        points = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+        distinct, back = np.unique(points, return_inverse=True)
+        return np.array([self.symbol.get(chr(c), self.other) for c in distinct.tolist()], dtype=np.int64)[back]
+
+    def _joined(self, symbols: np.ndarray) -> np.ndarray:
+        """Which neighbours a merge could join."""
+        key = symbols[:-1] * self.width + symbols[1:]
+        return self.neighbours[np.searchsorted(self.neighbours, key)] == key
+
+    def _slices(self, word: str) -> Iterator[str]:
+        """A long word in parts of about ``CHUNK`` characters, cut where no merge can cross; longer where it can't be cut."""
+        start, end = 0, CHUNK
+        while end < len(word):
+            window = max(start, end - CHUNK)
+            cuts = np.flatnonzero(~self._joined(self._symbols(word[window : end + 1])))
+            if len(cuts):
+                cut = window + int(cuts[-1]) + 1
+                yield word[start:cut]
+                start, end = cut, cut + CHUNK
+            else:
+                end += CHUNK
+        yield word[start:]
 
     def _merge_rounds(self, words: list[str]) -> list[list[int]]:
         lengths = np.array([len(w) for w in words], dtype=np.int64)
-        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32)
-        distinct, back = np.unique(points, return_inverse=True)
-        symbols = np.array([self.symbol.get(chr(c), self.other) for c in distinct.tolist()], dtype=np.int64)[back]
+        symbols = self._symbols("".join(words))
         word_of = np.repeat(np.arange(len(words)), lengths)
-        key = symbols[:-1] * self.width + symbols[1:]
-        joined = (word_of[1:] == word_of[:-1]) & (self.neighbours[np.searchsorted(self.neighbours, key)] == key)
+        joined = (word_of[1:] == word_of[:-1]) & self._joined(symbols)
         word = np.append(0, np.cumsum(~joined))  # from here on a word is a segment that merges can't leave
         starts_of = word_of[np.flatnonzero(np.append(True, ~joined))]  # the word that each segment is of
         done_word, done_symbol, done_at = [], [], []
@@ -227,28 +263,50 @@ class PieceCodec:
 
     def digest(self, texts: list[str]) -> Iterator[tuple[int, str, str]]:
         """Number of ids, digest of the ids and digest of the decoded text, for each text."""
-        named, spoken = self.named.__getitem__, self.spoken.__getitem__
-        for row in self.known(texts):
-            joined, decoded = ",".join(map(named, row)), self._strip("".join(map(spoken, row)))
-            yield joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
+        for group in grouped(texts):
+            for row, (_, named, spoken) in self.known(group):
+                joined, decoded = ",".join(map(named, row)), self._strip("".join(map(spoken, row)))
+                yield joined.count(",") + 1 if joined else 0, hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()
 
-    def known(self, texts: list[str]) -> list[list[str]]:
-        """The words of each text, all of which are in the cache afterwards."""
+    def known(self, texts: list[str]) -> Iterator[tuple[list[str], tuple]]:
+        """The words of each text, and what gives a word's ids, their names and what they decode to."""
         rows = [self.split(t) for t in texts]
-        if len(self.words) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             for cache in (self.words, self.named, self.spoken):
                 cache.clear()
+            self.held = 0
         new = list(set(chain.from_iterable(rows)).difference(self.words))
+        own: tuple[dict, dict, dict] = ({}, {}, {})  # long words, of these texts only
         for w, ids in zip(new, self.encode_words([SPACE + w for w in new]), strict=True):
-            self.words[w] = ids
-            self.named[w] = ",".join([self.name[i] for i in ids])
-            self.spoken[w] = self._text(ids)
-        return rows
+            words, named, spoken = own if len(w) > LONG else (self.words, self.named, self.spoken)
+            words[w], named[w], spoken[w] = ids, ",".join([self.name[i] for i in ids]), self._text(ids)
+            if len(w) <= LONG:
+                self.held += 400 + 6 * len(w) + 45 * len(ids)
+        if own[0]:
+            find = tuple((lambda w, a=a, b=b: a[w] if w in a else b[w]) for a, b in zip(own, (self.words, self.named, self.spoken), strict=True))
+        else:
+            find = (self.words.__getitem__, self.named.__getitem__, self.spoken.__getitem__)
+        return ((row, find) for row in rows)
 
     def encode_texts(self, texts: list[str]) -> Iterator[list[int]]:
         """The ids of each text."""
-        for row in self.known(texts):
-            yield list(chain.from_iterable(map(self.words.__getitem__, row)))
+        for group in grouped(texts):
+            for row, (words, _, _) in self.known(group):
+                yield list(chain.from_iterable(map(words, row)))
+
+
+def grouped(texts: list[str]) -> Iterator[list[str]]:
+    """Neighbouring texts of about ``CHUNK`` characters together, or a single longer one."""
+    held: list[str] = []
+    n = 0
+    for t in texts:
+        if held and n + len(t) > CHUNK:
+            yield held
+            held, n = [], 0
+        held.append(t)
+        n += len(t)
+    if held:
+        yield held
 
 
 _CODECS: dict[str, PieceCodec] = {}

@@ -224,7 +224,9 @@ class File:
     def _take(self, kind: str, at: int) -> int:
         return struct.unpack_from(self.order + kind, self.data, at)[0]
 
-    def directories(self) -> Iterator[dict[int, tuple]]:
+    def directories(self) -> Iterator[dict[int, tuple[str, int, int]]]:
+        """The fields of each directory as (format, number, place): values are read when a page needs them, so that a
+        field that points nowhere spoils its own page only."""
         met, at = set(), self.first
         while at and at not in met:
             met.add(at)
@@ -240,11 +242,9 @@ class File:
                 if form is None:
                     continue
                 place = entry + (12 if self.big else 8)
-                size = struct.calcsize(form) * n
-                if size > (8 if self.big else 4):
+                if struct.calcsize(form) * n > (8 if self.big else 4):
                     place = self._take("Q" if self.big else "I", place)
-                if size <= len(self.data):
-                    fields[tag] = struct.unpack_from(f"{self.order}{n}{form}", self.data, place)
+                fields[tag] = form, n, place
             at += count * step
             yield fields
             at = self._take("Q" if self.big else "I", at)
@@ -262,13 +262,13 @@ class File:
                 return
             page = Page(number)
             try:
-                self._read(page, fields)
+                self._read(page, Fields(self, fields))
             except BROKEN as e:
                 page.pixels, page.error = None, f"{type(e).__name__}: {e}"
             yield page
             number += 1
 
-    def _read(self, page: Page, fields: dict[int, tuple]) -> None:
+    def _read(self, page: Page, fields: Fields) -> None:
         one = lambda tag, default: fields.get(tag, (default,))[0]
         page.width, page.height = fields[256][0], fields[257][0]
         page.samples, page.bits = one(277, 1), one(258, 1)
@@ -314,6 +314,25 @@ class File:
         page.pixels = out.tobytes()
 
 
+class Fields:
+    """A directory's values by tag, read from the file when they are asked for."""
+
+    def __init__(self, file: File, places: dict[int, tuple[str, int, int]]):
+        self.file, self.places = file, places
+
+    def __contains__(self, tag: int) -> bool:
+        return tag in self.places
+
+    def __getitem__(self, tag: int) -> tuple:
+        form, n, place = self.places[tag]
+        if struct.calcsize(form) * n > len(self.file.data):
+            raise ValueError(f"field {tag} is longer than the file")
+        return struct.unpack_from(f"{self.file.order}{n}{form}", self.file.data, place)
+
+    def get(self, tag: int, default: tuple) -> tuple:
+        return self[tag] if tag in self.places else default
+
+
 def pages_of(data: bytes | None) -> Iterator[Page]:
     try:
         file = File(data or b"")

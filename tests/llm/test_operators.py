@@ -168,6 +168,19 @@ def test_pieces_of_random_texts():
     assert list(codec.digest(texts)) == list(piece_rows(texts))
 
 
+def test_pieces_of_long_words(monkeypatch):
+    """Words beyond the cache's and a group's size: they go through the rounds in parts, and the cache stays small."""
+    monkeypatch.setattr(sentencepieces, "CHUNK", 300)
+    monkeypatch.setattr(sentencepieces, "CACHE_BYTES", 20_000)
+    rng = random.Random(3)
+    parts = ["a", "b", "aa", "the", " ", "▁", "é", "日", "本", "0", "🙂", "ing", "東京"]
+    codec = sentencepieces.PieceCodec(PIECES)
+    for _ in range(20):
+        texts = ["".join(rng.choice(parts) for _ in range(rng.choice([0, 5, 100, 900]))) for _ in range(5)] + ["日本語の文章には空白がない" * 100, "a" * 2000, "thequickbrownfox" * 80]
+        assert list(codec.digest(texts)) == list(piece_rows(texts))
+        assert max(map(len, codec.words), default=0) <= sentencepieces.LONG and codec.held < 120_000
+
+
 # 3 packing
 
 
@@ -211,6 +224,29 @@ def test_packing_of_many_small_sources(spark):
     assert sequences <= tokens / 1024 + 4
 
 
+def test_small_sources_take_turns(spark):
+    """Sources under a token a window share a queue, of which any stretch holds them by their shares."""
+    data = [(k, "large words here " * 2500, "large") for k in range(30)] + [(1000 + k, "some small words " * (3 + k % 5), f"host{k % 20}") for k in range(200)]
+    docs = spark.createDataFrame(data, "doc_id bigint, text string, source string").repartition(5)
+    out = packing.pack(docs, BPE).join(docs.select("doc_id", "source"), "doc_id").filter("source != 'large'").orderBy("sequence_id", "offset").select("source", "length").collect()
+    totals: dict = {}
+    for source, n in out:
+        totals[source] = totals.get(source, 0) + n
+    everything, upto, seen = sum(totals.values()), 0, dict.fromkeys(totals, 0)
+    assert len(totals) == 20
+    for source, n in out:
+        upto, seen[source] = upto + n, seen[source] + n
+        assert all(abs(seen[s] - totals[s] * upto / everything) <= 60 for s in totals)  # about two documents
+
+
+def test_tempered_shares(spark):
+    docs = spark.createDataFrame([(k, "word " * 300, "a" if k % 9 else "b") for k in range(270)], "doc_id bigint, text string, source string")
+    out = packing.pack(docs, BPE, temper=0.5).join(docs.select("doc_id", "source"), "doc_id")
+    first = out.filter("sequence_id < 10").groupBy("source").agg(F.sum("length").alias("n")).collect()
+    share = {r["source"]: r["n"] / 10240 for r in first}
+    assert share["b"] == pytest.approx(1 / (1 + 8**0.5), abs=0.01)
+
+
 def test_packing_of_hard_rows(spark, hard):
     rows = rows_of(packing.pack(hard.filter("doc_id IS NOT NULL AND doc_id != 6"), BPE), "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
     t = Tokenizer.from_file(BPE)
@@ -408,11 +444,11 @@ def test_contexts_hold_more_unseen_than_known_identifiers(spark):
     """Many unseen values of any grouping behind 8 known ones; contradicted contexts stay untrusted."""
     luhn = lambda d: d + str(-sum(sum(divmod(int(c) * (2 - i % 2), 10)) for i, c in enumerate(reversed(d))) % 10)
     card = [luhn(f"37828224631{k:03}") for k in range(40)]
-    before = {"phone": "please call me at", "email": "please write mail to", "ip": "the host answers from", "card": "paid by credit card"}
+    before = {"phone": "please call me at", "email": "please write mail to", "ip": "the host answers from", "card": f"paid {'by' * 150} card"}
     known = {"phone": lambda k: f"+1 (20{k}) 555-1000", "email": lambda k: f"u{k}@host.com", "ip": lambda k: f"10.0.0.{k}", "card": lambda k: luhn(f"41111111111111{k}")}
     unseen = {
         "phone": [f"555-01{k:02}" for k in range(20)] + [f"20794609{k:02}" for k in range(20)] + ["(020) 7946 0958"],
-        "email": [f"ann{k} at host dot com" for k in range(20)] + ["ann.lee (at) host [dot] com"],
+        "email": [f"ann{k} at host dot com" for k in range(20)] + ["ann.lee (at) host [dot] com", f"{'n' * 90} at {'h' * 80} dot {'c' * 70}"],
         "ip": [f"2001:db8::{k:x}" for k in range(1, 20)] + ["::1", "fe80:0:0:0:0:0:0:1", "10[.]0[.]0[.]77"],
         "card": [f"{c[:4]}.{c[4:10]}.{c[10:]}" for c in card],
     }
@@ -423,7 +459,7 @@ def test_contexts_hold_more_unseen_than_known_identifiers(spark):
             expected[len(data)] = f"{kind}:{len(words) + 1}:{len(words) + 1 + len(value)}"
             data.append(f"{words} {value} today")
     clean = len(data)
-    data += ["please call me at 2024-01-15 today", "the lot was 1234567 sold", "paid by credit card 3782.822463.10006 today", "the host answers from 10:30:00 today"]
+    data += ["please call me at 2024-01-15 today", "the lot was 1234567 sold", f"paid {'by' * 150} card 3782.822463.10006 today", "the host answers from 10:30:00 today"]
     # As many numbers that fail the checksum as cards: the context says nothing about the others.
     mixed = len(data)
     data += [f"see the entry {luhn(f'41111111111112{k}')} here" for k in range(8)] + [f"see the entry {c[:4]}.{c[4:10]}.{c[10:14]}{(int(c[14]) + 1) % 10} here" for c in card[:8]] + [f"see the entry {c[:4]}.{c[4:10]}.{c[10:]} here" for c in (luhn("55550000111122"),)]
@@ -604,6 +640,25 @@ def test_layouts_have_payloads_of_all_sizes(spark, small):
         assert min(sizes) < 1500 and max(sizes) > 10_000
 
 
+def test_a_field_that_points_nowhere_spoils_its_page_only():
+    rng = np.random.default_rng(1)
+    images = [rng.integers(0, 256, (20, 64), np.uint8) for _ in range(3)]
+    data = bytearray(tiff.write(images, [(tiff.DEFLATE, 1, 0)] * 3))
+    file = tiff.File(bytes(data))
+    places = [d for d in file.directories()]
+    assert len(places) == 3
+    # The second page's strip offsets as 1000 values far past the end.
+    at = struct.unpack_from("<I", data, 4)[0]
+    at = struct.unpack_from("<I", data, at + 2 + 12 * struct.unpack_from("<H", data, at)[0])[0]
+    for k in range(struct.unpack_from("<H", data, at)[0]):
+        entry = at + 2 + 12 * k
+        if struct.unpack_from("<H", data, entry)[0] == 273:
+            struct.pack_into("<II", data, entry + 4, 1000, len(data) + 5)
+    pages = list(tiff.pages_of(bytes(data)))
+    assert [p.error is None for p in pages] == [True, False, True]
+    assert pages[0].pixels == images[0].tobytes() and pages[2].pixels == images[2].tobytes()
+
+
 def test_hostile_tiffs():
     """Zero and odd sizes, claims of more pixels than there is data, strips that inflate to more: an error or the page."""
     image = np.arange(64 * 64, dtype=np.uint8).reshape(64, 64)
