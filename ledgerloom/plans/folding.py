@@ -8,7 +8,8 @@ record is not needed if others of at least its rank and time beat whatever it be
 equivalent to suffice for that.  So a run stays short, whatever its length, and runs are put together in order.
 
 Records are sorted by range over entity, field and arrival.  A hot field lies in many tasks, each of which makes one run of
-its part; a field's runs, one for each task that holds some of it, are then applied one after the other.
+its part; a field's runs, one for each task that holds some of it, are then applied one after the other.  Only a task's
+first and last field can go on in another task, so that the others need no run.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from .consolidate import TOLERANCE
 APART = 2 * TOLERANCE + 1e-6
 
 
-@dataclass(frozen=True, slots=True)
+@dataclass(slots=True)
 class Record:
     """``number`` and ``text``: the value as a number, if it is one, and in small letters; ``rank``: -1 if unlisted."""
 
@@ -128,6 +129,51 @@ def pruned(those: list[Record], before: list[Record]) -> list[Record]:
     return kept
 
 
+def one_by_one(winner: Record, reason: str, records: list[Record]) -> tuple[Record, str]:
+    for x in records:
+        if not x.alike(winner):
+            wins, why = x.judged(winner)
+            winner, reason = (x, why) if wins else (winner, why)
+    return winner, reason
+
+
+#: Records of a field that are held as they are, before a run is made of them.
+HELD = 1000
+
+
+class Part:
+    """What a task has of one field."""
+
+    def __init__(self) -> None:
+        self.first: Record | None = None
+        self.held: list[Record] = []
+        self.run: Run | None = None
+
+    def add(self, x: Record) -> None:
+        if self.first is None:
+            self.first = x
+        elif self.run is not None:
+            self.run.add(x)
+        else:
+            self.held.append(x)
+            if len(self.held) > HELD:
+                self.summed()
+
+    def summed(self) -> Run:
+        if self.run is None:
+            self.run = Run()
+            for x in self.held:
+                self.run.add(x)
+            self.held = []
+        return self.run
+
+    def outcome(self) -> tuple[Record, str]:
+        """What the part gives by itself."""
+        if self.run is not None:
+            return self.run.applied(self.first, "FIRST_VALUE")
+        return one_by_one(self.first, "FIRST_VALUE", self.held)
+
+
 RECORD = "value string, number double, text string, source string, rank int, at bigint, time_based boolean, refresh boolean"
 NAMES = [part.split()[0] for part in RECORD.split(", ")]
 
@@ -158,21 +204,26 @@ def folded_in_runs(records: DataFrame, parts: int | None = None) -> DataFrame:
             for batch in batches:
                 yield from zip(*(batch.column(c).to_pylist() for c in ("entity", "field", *NAMES)), strict=True)
 
+        def rows_of(key: tuple, part: Part, edge: bool) -> tuple:
+            # Fields between a task's first and last lie in it as a whole: their outcome is enough.
+            return (*key, part.first if edge else None, part.summed() if edge else Run(), *part.outcome())
+
         out: list[tuple] = []
-        for (entity, name), those in groupby(stream(), key=lambda r: r[:2]):
-            first, run = None, Run()
+        waiting: tuple | None = None
+        edge = True
+        for key, those in groupby(stream(), key=lambda r: r[:2]):
+            if waiting:
+                out.append(rows_of(*waiting, edge))
+                edge = False
+            part = Part()
             for r in those:
-                x = Record(*r[2:])
-                if first is None:
-                    first = x
-                else:
-                    run.add(x)
-            # What the part gives by itself, for fields that lie in one task, and its run with the first record in it.
-            value, reason = run.applied(first, "FIRST_VALUE")
-            out.append((entity, name, first, run, value, reason))
-            if len(out) == 1000:
+                part.add(Record(*r[2:]))
+            waiting = key, part
+            if len(out) >= 1000:
                 yield packed(out, batch_types)
                 out = []
+        if waiting:
+            out.append(rows_of(*waiting, True))
         if out:
             yield packed(out, batch_types)
 
@@ -219,5 +270,5 @@ def arrow_types(spark, schema: str) -> pa.Schema:
 def packed(rows: list[tuple], types: pa.Schema) -> pa.RecordBatch:
     entities, names, firsts, runs, winners, reasons = zip(*rows, strict=True)
     guards = [[{"those": [plain(g) for g in those], "winner": plain(winner), "reason": why} for those, winner, why in run.guards] for run in runs]
-    columns = [entities, names, [plain(r) for r in firsts], guards, [[plain(x) for x in run.last] for run in runs], [w.value for w in winners], [w.source for w in winners], reasons]
+    columns = [entities, names, [r and plain(r) for r in firsts], guards, [[plain(x) for x in run.last] for run in runs], [w.value for w in winners], [w.source for w in winners], reasons]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.types, strict=True)], schema=types)

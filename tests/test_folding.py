@@ -23,14 +23,6 @@ def made(rng, name, n, values):
     return out
 
 
-def one_by_one(winner, reason, records):
-    for x in records:
-        if not x.alike(winner):
-            wins, why = x.judged(winner)
-            winner, reason = (x, why) if wins else (winner, why)
-    return winner, reason
-
-
 VALUES = ("100", "100.005", "100.01", "100.015", "100.02", "100.03", "250", "abc", "ABC", "xyz")
 
 
@@ -43,7 +35,7 @@ def test_a_run_does_to_any_winner_what_its_records_do(name):
         for x in records:
             run.add(x)
         for winner in made(rng, name, 12, VALUES):
-            assert run.applied(winner, "BEFORE") == one_by_one(winner, "BEFORE", records)
+            assert run.applied(winner, "BEFORE") == folding.one_by_one(winner, "BEFORE", records)
 
 
 @pytest.mark.parametrize("name", FLAGS)
@@ -56,6 +48,19 @@ def test_runs_stay_short(name):
     assert longest <= 40
 
 
+@pytest.mark.parametrize("held", [0, 3, 1000])
+def test_a_part_gives_its_outcome_and_its_run(monkeypatch, held):
+    monkeypatch.setattr(folding, "HELD", held)
+    rng = random.Random(held)
+    for name in FLAGS:
+        records, part = made(rng, name, 30, VALUES), folding.Part()
+        for x in records:
+            part.add(x)
+        assert part.outcome() == folding.one_by_one(records[0], "FIRST_VALUE", records[1:])
+        for winner in made(rng, name, 12, VALUES):
+            assert part.summed().applied(winner, "BEFORE") == folding.one_by_one(winner, "BEFORE", records[1:])
+
+
 def test_hot_field_over_many_tasks(spark):
     """One field has most records; whatever the number of parts, the outcome is that of the fold in one list."""
     rng = random.Random(11)
