@@ -334,3 +334,15 @@ def test_observed(spark, small):
     seen = []
     streams.observed(streams.stream_of(spark, small, "events"), lambda batch, epoch: seen.append(batch.count()))
     assert sum(seen) == spark.read.parquet(f"{small}/events.parquet").count()
+
+
+def test_verdicts_on_duplicates(spark):
+    from ledgerloom.plans import duplicates
+
+    kind = "id int, s string, i string, n string, o string, c string"
+    day = lambda df: df.withColumns({x: F.to_date(x) for x in "oc"})
+    known = day(spark.createDataFrame([(10, "ABC", None, "Alpha Motors", "2024-01-01", "2024-01-05"), (9, "ABC", "INE1", "Gamma Steel Works", "2024-03-01", "2024-05-20"), (8, "", None, "Gamma Steel Works", None, None), (7, None, "", None, "2024-01-01", "2024-01-02")], kind))
+    mine = day(spark.createDataFrame([(1, "ABC", "INE1", "x", None, None), (2, "", "INE1", "x", None, None), (3, None, None, "Alpha Motor", None, None), (4, None, None, "Gamma Stael Warks", "2024-05-20", "2024-06-01"), (5, None, None, "Gamma Staal Warks", "2024-05-19", "2024-06-01"), (6, None, None, "Gamma Staal Warks", "2024-05-21", "2024-06-01"), (7, "", "", "", "2024-01-01", "2024-01-02"), (8, None, None, None, None, None)], kind))
+    out = duplicates.verdicts(mine, known, "id", "s", "i", "n", "o", "c")
+    assert sets(out) == [(1, 9, "SYMBOL"), (2, 9, "ISIN"), (3, 10, "NAME"), (4, 8, "NAME"), (5, 9, "DATE_OVERLAP")]
+    assert duplicates.verdicts(mine.limit(0), known, "id", "s", "i", "n", "o", "c").count() == 0
