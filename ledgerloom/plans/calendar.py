@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rows import latest_per_key
+
 # Kinds of events in the order in which a day shows them.
 KINDS = ("CLOSING_TODAY", "OPENING_TODAY", "OPEN_FOR_APPLICATION", "LISTING", "ALLOTMENT", "BASIS_OF_ALLOTMENT", "REFUND", "CREDIT_OF_SHARES", "HOLIDAY")
 POINTS = {"allotment_date": "ALLOTMENT", "basis_date": "BASIS_OF_ALLOTMENT", "refund_date": "REFUND", "credit_date": "CREDIT_OF_SHARES", "listing_date": "LISTING"}
@@ -77,3 +79,17 @@ def interleaved(offerings: DataFrame, columns: dict[str, str], key: str = "id")
     """(key, kind, date) of the dates that are known, one row each."""
     pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), F.col(c).alias("date")) for c, kind in columns.items()])
     return offerings.select(key, F.explode(pairs).alias("e")).select(key, "e.kind", "e.date").filter("date is not null")
+
+
+def view(offerings: DataFrame, financials: DataFrame, readings: DataFrame, listings: DataFrame, details: DataFrame, key: str, time: list[str], dates: list[str], keys: DataFrame | None = None) -> DataFrame:
+    """What calendars read, one row an offering: its figures, the latest of its readings, its listing and its details.
+
+    Offerings without any of ``dates`` are left out.  All tables have ``key`` and otherwise distinct columns; all but
+    readings have one row a key.  With ``keys``, only their rows are made, and only those are read before the joins.
+    """
+    if keys is not None:
+        offerings, financials, readings, listings, details = (t.join(keys, key, "left_semi") for t in (offerings, financials, readings, listings, details))
+    out = offerings
+    for t in (financials, latest_per_key(readings, [key], time), listings, details):
+        out = out.join(t, key, "left")
+    return out.filter(F.coalesce(*[F.col(d).cast("string") for d in dates]).isNotNull())

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..plans import duplicates, quality, scoring
+from ..plans import calendar, duplicates, quality, scoring
+from ..sources import buckets
+from ..sources.shared import shared_folder
 from . import Tables, query
 from .domain import points
 
@@ -252,3 +254,53 @@ def duplicate_chain(spark, sf_dir):
     first = F.lit("2024-01-01").cast("date")
     rows = rows.withColumns({"o": F.date_add(first, F.col("since").cast("int")), "c": F.date_add(first, (F.col("since") + 3 + F.col("p_size") % 20).cast("int"))})
     return duplicates.verdicts(rows.filter("id % 2 = 0"), rows.filter("id % 2 = 1"), "id", "symbol", "isin", "name", "o", "c")
+
+
+#: The calendar's tables after a change: some customers left, some prices are new, some readings came late.
+NOW = {
+    "offerings": "SELECT c_custkey AS k, c_name AS name, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE c_acctbal END AS opened FROM customer WHERE c_custkey % 50 != 7",
+    "financials": "SELECT c_custkey AS k, c_acctbal * CASE WHEN c_custkey % 20 = 3 THEN 2 ELSE 1 END AS revenue FROM customer WHERE c_custkey % 3 != 0",
+    "readings": "SELECT o_custkey AS k, o_orderdate AS seen, o_orderkey AS reading, o_totalprice AS total FROM orders WHERE o_orderkey % 10 != 9 OR o_custkey % 25 = 1",
+    "listings": "SELECT c_custkey AS k, c_nationkey AS listed FROM customer WHERE c_custkey % 5 = 2",
+    "details": "SELECT c_custkey AS k, CASE WHEN c_custkey % 8 = 0 THEN c_mktsegment END AS basis FROM customer WHERE c_custkey % 2 = 0",
+}
+
+
+@query(f"""WITH r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY seen DESC, reading DESC) AS place FROM ({NOW['readings']})) WHERE place = 1)
+SELECT k, name, opened, revenue, reading, total, listed, basis FROM ({NOW['offerings']}) LEFT JOIN ({NOW['financials']}) USING (k) LEFT JOIN r USING (k) LEFT JOIN ({NOW['listings']}) USING (k) LEFT JOIN ({NOW['details']}) USING (k) WHERE opened IS NOT NULL OR basis IS NOT NULL""")
+def calendar_view_refreshed(spark, sf_dir):
+    """The precomputed calendar after a change, refreshed by the keys that the change touched."""
+    t, k = Tables(spark, sf_dir), F.col("k")
+    c = t.customer.withColumnRenamed("c_custkey", "k")
+    readings = t.orders.select(F.col("o_custkey").alias("k"), F.col("o_orderdate").alias("seen"), F.col("o_orderkey").alias("reading"), F.col("o_totalprice").alias("total"))
+    opened = F.when(k % 4 != 0, F.col("c_acctbal")).alias("opened")
+    early = F.col("reading") % 10 != 9
+    before = {
+        "offerings": c.select("k", F.col("c_name").alias("name"), opened),
+        "financials": c.filter(k % 3 != 0).select("k", F.col("c_acctbal").alias("revenue")),
+        "readings": readings.filter(early),
+        "listings": c.filter(k % 5 == 2).select("k", F.col("c_nationkey").alias("listed")),
+        "details": c.filter(k % 2 == 0).select("k", F.when(k % 8 == 0, F.col("c_mktsegment")).alias("basis")),
+    }
+    now = before | {
+        "offerings": before["offerings"].filter(k % 50 != 7),
+        "financials": before["financials"].withColumn("revenue", F.col("revenue") * F.when(k % 20 == 3, 2).otherwise(1)),
+        "readings": readings.filter(early | (k % 25 == 1)),
+    }
+    build = lambda tables: lambda keys=None: calendar.view(*tables.values(), "k", ["seen", "reading"], ["opened", "basis"], keys).drop("seen")
+    path, n = shared_folder(spark, "calendar"), 16
+    made = buckets.stored(build(before)(), path, ["k"], n)
+    affected = c.filter((k % 50 == 7) | ((k % 20 == 3) & (k % 3 != 0))).select("k").union(readings.filter(~early & (k % 25 == 1)).select("k"))
+    buckets.refresh(made, path, "k", n, affected, build(now))
+    return buckets.rows_of(buckets.opened(spark, path, buckets.rows_of(made)))
+
+
+@query("""SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN o_totalprice * 2 ELSE o_totalprice END AS v FROM orders WHERE o_orderkey % 97 != 5""")
+def upsert_in_buckets(spark, sf_dir):
+    """An upsert and a removal that rewrite only the buckets of their keys."""
+    t, path, n = Tables(spark, sf_dir).orders, shared_folder(spark, "orders"), 16
+    made = buckets.stored(t.filter("o_orderstatus != 'P'").select("o_orderkey", F.col("o_totalprice").alias("v")), path, ["o_orderkey"], n)
+    delta = t.filter("o_orderstatus = 'P'").select("o_orderkey", (F.col("o_totalprice") * 2).alias("v"))
+    buckets.upsert(made, path, delta, ["o_orderkey"], ["v"], n)
+    buckets.remove(buckets.opened(spark, path, delta), path, t.filter("o_orderkey % 97 = 5").select("o_orderkey"), ["o_orderkey"], n)
+    return buckets.rows_of(buckets.opened(spark, path, delta))
