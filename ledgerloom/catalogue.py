@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .queries import QUERIES, SQL, details, domain, offerings, parsers, reads, reports, streams, values  # noqa: F401  importing registers
+from .queries import QUERIES, SQL, details, domain, offerings, parsers, reads, reports, stores, streams, values  # noqa: F401  importing registers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -58,6 +58,16 @@ def legal_key(name: Column) -> Column:
     return squeezed(text)
 
 
+# Words that names in listing reports are compared without.
+LISTING_WORDS = ("limited", "ltd", "private", "pvt", "public", "company", "co", "corporation", "corp", "the")
+
+
+def listing_key(name: Column) -> Column:
+    """Name in a listing report: no legal words wherever they stand, only letters and digits."""
+    low = F.regexp_replace(F.lower(F.coalesce(name, F.lit(""))), "&", " and ")
+    return squeezed(F.regexp_replace(F.regexp_replace(low, rf"\b({'|'.join(LISTING_WORDS)})\b", " "), "[^a-z0-9]+", " "))
+
+
 def bare_key(name: Column) -> Column:
     """Only letters and digits, in lower case: groups that differ in punctuation alone."""
     return F.regexp_replace(F.lower(name), "[^a-z0-9]", "")

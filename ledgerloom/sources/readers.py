@@ -71,11 +71,48 @@ def paragraph_after(page: Column, heading: str) -> Column:
     return F.nullif(plain(F.regexp_extract(page, rf"(?is){heading}.*?<p[^>]*>(.*?)</p>", 1)), F.lit(""))
 
 
+#: A comment, a tag with its quoted attributes (which may hold ``>``), a run of text, or a bracket that begins neither.
+#: Each alternative ends at the next ``<`` at the latest, or takes a comment that isn't closed to the end.
+TOKEN = r"""<!--[^-]*+(?:-(?!->)[^-]*+)*+(?:-->|$)|<[A-Za-z/!][^<>"']*+(?:(?:"[^<"]*+"|'[^<']*+')[^<>"']*+)*+>|[^<]++|<"""
+
+
+def tokens(page: Column) -> Column:
+    """The tags, comments and texts of a page, in order."""
+    return F.regexp_extract_all(page, F.lit(TOKEN), F.lit(0))
+
+
 def table_rows(page: Column, heading: str) -> Column:
-    """The rows of the table after a heading, each as a list of its cells."""
-    block = F.regexp_extract(page, rf"(?is){heading}.*?<table[^>]*>(.*?)</table>", 1)
-    rows = F.regexp_extract_all(block, F.lit("(?is)<tr[^>]*>(.*?)</tr>"), F.lit(1))
-    return F.transform(rows, lambda r: F.transform(F.regexp_extract_all(r, F.lit("(?is)<t[dh][^>]*>(.*?)</t[dh]>"), F.lit(1)), plain))
+    """The rows of the first table after a heading, each as a list of its cells.
+
+    One pass over the page's tokens with a stack's depth: a table inside a cell is part of the cell's text.  End tags of
+    cells and rows may be missing, as may that of the table.
+    """
+    none = F.array().cast("array<string>")
+    begin = F.struct(F.lit(0).alias("phase"), F.lit(0).alias("depth"), F.array().cast("array<array<string>>").alias("rows"), none.alias("row"), F.lit(None).cast("string").alias("cell"))
+
+    def closed(a: Column) -> Column:
+        return F.when(a["cell"].isNotNull(), F.concat(a["row"], F.array(plain(a["cell"])))).otherwise(a["row"])
+
+    def finished(a: Column) -> Column:
+        return F.when(F.size(closed(a)) > 0, F.concat(a["rows"], F.array(closed(a)))).otherwise(a["rows"])
+
+    def step(a: Column, x: Column) -> Column:
+        tag = F.lower(F.regexp_extract(x, "^<(/?[A-Za-z0-9]+)", 1))
+        text = ~x.startswith("<") | (x == "<")
+        phase, depth = a["phase"], a["depth"]
+        opens = (phase == 1) & (tag == "table")
+        inner = (phase == 2) & (depth == 1)
+        ends_row, ends_cell = inner & tag.isin("tr", "/tr", "/table"), inner & tag.isin("td", "th", "/td", "/th", "tr", "/tr", "/table")
+        more = F.when(text, F.concat(a["cell"], x)).otherwise(F.concat(a["cell"], F.lit(" ")))
+        return F.struct(
+            F.when((phase == 0) & text & x.rlike(rf"(?i){heading}"), 1).when(opens, 2).when(inner & (tag == "/table"), 3).otherwise(phase).alias("phase"),
+            F.when(opens, 1).when((phase == 2) & (tag == "table"), depth + 1).when((phase == 2) & (tag == "/table"), depth - 1).otherwise(depth).alias("depth"),
+            F.when(ends_row, finished(a)).otherwise(a["rows"]).alias("rows"),
+            F.when(ends_row, none).when(ends_cell, closed(a)).otherwise(a["row"]).alias("row"),
+            F.when(inner & tag.isin("td", "th"), "").when(~ends_cell, more).alias("cell"),
+        )
+
+    return F.when(page.rlike(rf"(?i){heading}"), F.aggregate(tokens(page), begin, step, finished)).otherwise(begin["rows"])
 
 
 def detail_fields(pages: DataFrame, html: str = "html") -> DataFrame:
@@ -105,13 +142,22 @@ def title_and_links(pages: DataFrame, html: str = "html") -> DataFrame:
 ANNOUNCEMENT = r"(?i)\b(ipo|public offer|listing|allotment|subscription|price band|drhp|red herring)\b"
 
 
+FEED = "channel STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, description: STRING, pubDate: STRING>>>"
+
+
 def feed_items(df: DataFrame, column: str = "xml") -> DataFrame:
-    """Items of RSS feeds: title, link, description and published (text)."""
-    items = F.regexp_extract_all(F.col(column), F.lit("(?is)<item[^>]*>(.*?)</item>"), F.lit(1))
+    """Items of RSS feeds: title, link, description and published (text).
+
+    Well-formed feeds are parsed as XML; of others, what stands between the tags is taken.
+    """
+    parsed = F.from_xml(F.col(column), FEED, {"mode": "PERMISSIVE"})
+    broken = F.regexp_extract_all(F.col(column), F.lit("(?is)<item[^>]*>(.*?)</item>"), F.lit(1))
+    inside = lambda item, name: F.regexp_replace(F.regexp_extract(item, rf"(?is)<{name}[^>]*>(.*?)</{name}>", 1), r"<!\[CDATA\[|\]\]>", "")
+    names = {"title": "title", "link": "link", "description": "description", "pubDate": "published"}
+    as_text = F.transform(broken, lambda x: F.struct(*[inside(x, n).alias(n) for n in names]))
     rest = [c for c in df.columns if c != column]
-    item = F.col("item")
-    field = lambda name: F.nullif(plain(F.regexp_replace(F.regexp_extract(item, rf"(?is)<{name}[^>]*>(.*?)</{name}>", 1), r"<!\[CDATA\[|\]\]>", "")), F.lit(""))
-    return df.select(*rest, F.explode(items).alias("item")).select(*rest, field("title").alias("title"), field("link").alias("link"), field("description").alias("description"), field("pubDate").alias("published"))
+    rows = df.withColumn("_feed", parsed).select(*rest, F.explode(F.coalesce("_feed.channel.item", as_text)).alias("item"))
+    return rows.select(*rest, *[F.nullif(plain(F.coalesce(F.col("item")[n], F.lit(""))), F.lit("")).alias(shown) for n, shown in names.items()])
 
 
 def announcements(items: DataFrame) -> DataFrame:

@@ -346,3 +346,33 @@ def test_verdicts_on_duplicates(spark):
     out = duplicates.verdicts(mine, known, "id", "s", "i", "n", "o", "c")
     assert sets(out) == [(1, 9, "SYMBOL"), (2, 9, "ISIN"), (3, 10, "NAME"), (4, 8, "NAME"), (5, 9, "DATE_OVERLAP")]
     assert duplicates.verdicts(mine.limit(0), known, "id", "s", "i", "n", "o", "c").count() == 0
+
+
+def test_tables_nested_broken_and_quoted(spark):
+    pages = [
+        (1, "<p>Peer companies</p><table><tr><td>a<table><tr><td>x</td></tr></table>b</td><td title='1>0'>c &amp; d</td></tr></table><table><tr><td>z</td></tr></table>"),
+        (2, "<table><tr><td>before</table>PEER<TABLE><TR><TH>h<TD>i<TR><TD>j"),
+        (3, "Peer <!-- <table><tr><td>no</td></tr></table> --> <table><tr></tr><tr><td></td></tr></table>"),
+        (4, "no heading <table><tr><td>a</td></tr></table>"),
+        (5, "Peer <table <tr><td a='x>1 < 2</td></tr></table>"),
+        (6, None),
+        (7, "Peer" + "<!-- " * 20_000),
+        (8, "Peer<table>" + "<tr><td title=\"" * 20_000),
+    ]
+    df = spark.createDataFrame(pages, "id int, html string")
+    out = {r["id"]: r["t"] for r in df.select("id", readers.table_rows(F.col("html"), "Peer").alias("t")).collect()}
+    assert out[1] == [["a x b", "c & d"]] and out[2] == [["h", "i"], ["j"]] and out[3] == [[""]]
+    assert out[4] == [] and out[6] in (None, []) and out[7] == [] and len(out[8]) <= 20_000
+
+
+def test_feeds_of_all_kinds(spark):
+    feeds = [
+        (1, "<rss><channel><item><title>One</title><link>l?a=1&amp;b=2</link></item></channel></rss>"),
+        (2, "<rss><channel><item><title><![CDATA[IPO & <b>x</b>]]></title></item><item><description>d</description><pubDate>Mon</pubDate></item></channel></rss>"),
+        (3, "<rss><channel><item><title>cut & bare</title></item><item><title>lost"),
+        (4, "<rss><channel></channel></rss>"),
+        (5, ""),
+        (6, None),
+    ]
+    out = sets(readers.feed_items(spark.createDataFrame(feeds, "id int, xml string")))
+    assert out == [(1, "One", "l?a=1&b=2", None, None), (2, "IPO & x", None, None, None), (2, None, None, "d", "Mon"), (3, "cut & bare", None, None, None)]
