@@ -118,3 +118,37 @@ def medians(df: DataFrame, keys: list[str], value: str, name: str, parts: int |
     total = F.col("_total")
     found = at_places(df, keys, value, {"_low": F.floor((total - 1) / 2), "_high": F.floor(total / 2)}, parts)
     return found.select(*keys, ((F.col("_low") + F.col("_high")) / 2).alias(name))
+
+
+def page_starts(df: DataFrame, order: list[str], size: int, parts: int | None = None) -> DataFrame:
+    """page (from 1) and the values of ``order`` in its first row: an index by which pages are read without those before.
+
+    Rows are numbered in parts by range, so that they aren't sorted in one task.  ``order`` must end with a unique column;
+    rows with a null in it are on no page.
+    """
+    known = df.select(*order).dropna()
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = with_running(known, [], order, {"_place": F.lit(1).cast("long")}, n)
+    return rows.filter((F.col("_place") - 1) % size == 0).select(((F.col("_place") - 1) / size + 1).cast("long").alias("page"), *order)
+
+
+def page_from(df: DataFrame, starts: DataFrame, order: list[str], number: int, size: int) -> DataFrame:
+    """Page ``number`` of ``df``: the rows from its start on and before the next page's start.
+
+    Both bounds on the first column of ``order`` reach the scan, so that a table which is sorted or partitioned by it is read
+    at the page alone, whatever its number.
+    """
+    found = {r["page"]: r for r in starts.filter(F.col("page").isin(number, number + 1)).collect()}
+    if number not in found:
+        return df.limit(0)
+
+    def from_on(start) -> Column:
+        after = F.lit(True)
+        for c in reversed(order):
+            after = (F.col(c) > start[c]) | ((F.col(c) == start[c]) & after)
+        return (F.col(order[0]) >= start[order[0]]) & after
+
+    rows = df.filter(from_on(found[number]))
+    if number + 1 in found:
+        rows = rows.filter((F.col(order[0]) <= found[number + 1][order[0]]) & ~from_on(found[number + 1]))
+    return rows.dropna(subset=order).orderBy(*order).limit(size)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.shared import ship, written
-from .consolidate import TOLERANCE
+from .consolidate import TOLERANCE, severity
 
 #: No two numbers so far apart are equivalent to a third one.
 APART = 2 * TOLERANCE + 1e-6
@@ -182,6 +182,21 @@ def plain(r: Record) -> dict:
     return {n: getattr(r, n) for n in NAMES}
 
 
+ORDER = ["entity", "field", "arrival", "source", "value"]
+
+
+def comparable(records: DataFrame) -> DataFrame:
+    """What the fold needs of records; those without a value don't take part."""
+    compared = F.col("plain") if "plain" in records.columns else F.col("value")
+    known = records.filter(F.col("value").isNotNull() & compared.isNotNull())
+    return known.select("entity", "field", "arrival", "value", compared.try_cast("double").alias("number"), F.lower(F.trim(compared)).alias("text"), "source", "rank", F.unix_micros(F.col("scraped_at").cast("timestamp")).alias("at"), "time_based", "refresh")
+
+
+def dealt(records: DataFrame, parts: int | None = None) -> DataFrame:
+    by = comparable(records)
+    return by.repartitionByRange(parts, *ORDER) if parts else by.repartitionByRange(*ORDER)
+
+
 def folded_in_runs(records: DataFrame, parts: int | None = None) -> DataFrame:
     """(entity, field, value, source, reason): records in the order of their arrival, each against the winner so far.
 
@@ -189,72 +204,118 @@ def folded_in_runs(records: DataFrame, parts: int | None = None) -> DataFrame:
     them, and may have ``plain``, the normalised value that is compared.  Null values don't take part; arrivals of a field
     must differ, or equal ones are taken in the order of source and value.
     """
-    spark = records.sparkSession
+    found = outcomes(dealt(records, parts).sortWithinPartitions(*ORDER).withColumn("task", F.spark_partition_id()))
+    single, several = found
+    return single.unionByName(several.filter("is_last").select(*single.columns))
+
+
+def outcomes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What fields come to: those that lie in one task, and a row for each task of the others.
+
+    ``rows``: sorted by task and ``ORDER``, with ``task``.  The rows of several tasks have the winner and reason before
+    them (``entry``, null for the first) and after them, and whether they are the field's last.
+    """
+    spark = rows.sparkSession
     ship(spark)
-    compared = F.col("plain") if "plain" in records.columns else F.col("value")
-    rows = records.filter(F.col("value").isNotNull() & compared.isNotNull()).select(
-        F.col("entity"), F.col("field"), F.col("arrival"), "value", compared.try_cast("double").alias("number"), F.lower(F.trim(compared)).alias("text"), "source", "rank", F.unix_micros(F.col("scraped_at").cast("timestamp")).alias("at"), "time_based", "refresh"
-    )
-    order = ["entity", "field", "arrival", "source", "value"]
-    rows = (rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)).sortWithinPartitions(*order)
     key = f"entity {rows.schema['entity'].dataType.simpleString()}, field {rows.schema['field'].dataType.simpleString()}"
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream() -> Iterator[tuple]:
             for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("entity", "field", *NAMES)), strict=True)
+                yield from zip(*(batch.column(c).to_pylist() for c in ("task", "entity", "field", *NAMES)), strict=True)
 
-        def rows_of(key: tuple, part: Part, edge: bool) -> tuple:
+        def row_of(key: tuple, part: Part, edge: bool) -> tuple:
             # Fields between a task's first and last lie in it as a whole: their outcome is enough.
             return (*key, part.first if edge else None, part.summed() if edge else Run(), *part.outcome())
 
         out: list[tuple] = []
         waiting: tuple | None = None
-        edge = True
-        for key, those in groupby(stream(), key=lambda r: r[:2]):
+        task, edge = None, True
+        for key, those in groupby(stream(), key=lambda r: r[:3]):
             if waiting:
-                out.append(rows_of(*waiting, edge))
-                edge = False
-            part = Part()
+                last = key[0] != task
+                out.append(row_of(*waiting, edge or last))
+                edge = last
+            task, part = key[0], Part()
             for r in those:
-                part.add(Record(*r[2:]))
+                part.add(Record(*r[3:]))
             waiting = key, part
             if len(out) >= 1000:
                 yield packed(out, batch_types)
                 out = []
         if waiting:
-            out.append(rows_of(*waiting, True))
+            out.append(row_of(*waiting, True))
         if out:
             yield packed(out, batch_types)
 
-    schema = f"{key}, first struct<{struct_type(RECORD)}>, guards array<struct<those:array<struct<{struct_type(RECORD)}>>,winner:struct<{struct_type(RECORD)}>,reason:string>>, last array<struct<{struct_type(RECORD)}>>, value string, source string, reason string"
+    record = f"struct<{struct_type(RECORD)}>"
+    schema = f"task int, {key}, first {record}, guards array<struct<those:array<{record}>,winner:{record},reason:string>>, last array<{record}>, value string, source string, reason string"
     batch_types = arrow_types(spark, schema)
-    made = written(rows.mapInArrow(summaries, schema).withColumn("task", F.spark_partition_id()), "runs")
+    made = written(rows.mapInArrow(summaries, schema), "runs")
     counted = made.groupBy("entity", "field").agg(F.count("*").alias("n"), F.first("value").alias("value"), F.first("source").alias("source"), F.first("reason").alias("reason"))
     single = counted.filter("n = 1").drop("n")
-    several = made.join(counted.filter("n > 1").select("entity", "field"), ["entity", "field"])
+    several = made.join(counted.filter("n > 1").select(F.col("entity").alias("_e"), F.col("field").alias("_f")), F.col("entity").eqNullSafe(F.col("_e")) & F.col("field").eqNullSafe(F.col("_f"))).drop("_e", "_f")
+    after = f"{key}, task int, entry {record}, entry_reason string, value string, source string, reason string, is_last boolean"
+    after_types = arrow_types(spark, after)
 
     def in_order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            results = []
-            for those in batch.column("those").to_pylist():
+            out: list[tuple] = []
+            for entity, name, those in zip(*(batch.column(c).to_pylist() for c in ("entity", "field", "those")), strict=True):
                 winner, reason = None, "FIRST_VALUE"
-                for part in those:
-                    first = Record(**part["first"])
+                for k, part in enumerate(those):
+                    entry, first = (winner, reason), Record(**part["first"])
                     if winner is None:
                         winner = first
-                    elif not first.alike(winner):
-                        wins, why = first.judged(winner)
-                        winner, reason = (first, why) if wins else (winner, why)
+                    else:
+                        winner, reason = one_by_one(winner, reason, [first])
                     run = Run([([Record(**g) for g in x["those"]], Record(**x["winner"]), x["reason"]) for x in part["guards"]], [Record(**x) for x in part["last"]])
                     winner, reason = run.applied(winner, reason)
-                results.append((winner.value, winner.source, reason))
-            columns = [pa.array(c, pa.string()) for c in (zip(*results, strict=True) if results else ((), (), ()))]
-            yield pa.RecordBatch.from_arrays([batch.column("entity"), batch.column("field"), *columns], names=["entity", "field", "value", "source", "reason"])
+                    out.append((entity, name, part["task"], entry[0] and plain(entry[0]), entry[1], winner.value, winner.source, reason, k == len(those) - 1))
+            columns = list(zip(*out, strict=True)) or [()] * len(after_types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, after_types.types, strict=True)], schema=after_types)
 
     parts_of = several.groupBy("entity", "field").agg(F.array_sort(F.collect_list(F.struct("task", "first", "guards", "last"))).alias("those"))
-    merged = parts_of.mapInArrow(in_order, f"{key}, value string, source string, reason string")
-    return single.unionByName(merged)
+    return single, parts_of.mapInArrow(in_order, after)
+
+
+def conflict_log(records: DataFrame, parts: int | None = None) -> DataFrame:
+    """(entity, field, arrival, existing_source, existing_value, source, value, chosen_source, reason, severity): a row for
+    each record that meets a winner that it isn't equivalent to, in the fold of ``folded_in_runs``.
+
+    Runs give the winner before each task's part of a field; with it each task goes through its records once more.  Only
+    fields that lie in several tasks have such entries, at most two a task, which is why they are broadcast.
+    """
+    spark = records.sparkSession
+    rows = written(dealt(records, parts).withColumn("task", F.spark_partition_id()), "dealt")
+    in_tasks = lambda df: df.repartition(F.col("task")).sortWithinPartitions("task", *ORDER)
+    entries = outcomes(in_tasks(rows))[1].filter("entry IS NOT NULL").select(F.col("entity").alias("_e"), F.col("field").alias("_f"), F.col("task").alias("_t"), "entry")
+    entries = written(entries, "entries")
+    same = F.col("entity").eqNullSafe(F.col("_e")) & F.col("field").eqNullSafe(F.col("_f")) & (F.col("task") == F.col("_t"))
+    both = in_tasks(rows.join(F.broadcast(entries), same, "left").drop("_e", "_f", "_t"))
+    key = f"entity {rows.schema['entity'].dataType.simpleString()}, field {rows.schema['field'].dataType.simpleString()}, arrival {rows.schema['arrival'].dataType.simpleString()}"
+    schema = f"{key}, existing_source string, existing_value string, source string, value string, chosen_source string, reason string, existing_text string, text string"
+    types = arrow_types(spark, schema)
+
+    def log(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, winner = None, None
+        for batch in batches:
+            out: list[tuple] = []
+            for task, entity, name, arrival, entry, *rest in zip(*(batch.column(c).to_pylist() for c in ("task", "entity", "field", "arrival", "entry", *NAMES)), strict=True):
+                if of != (task, entity, name):
+                    of, winner = (task, entity, name), entry and Record(**entry)
+                x = Record(*rest)
+                if winner is None:
+                    winner = x
+                elif not x.alike(winner):
+                    wins, why = x.judged(winner)
+                    out.append((entity, name, arrival, winner.source, winner.value, x.source, x.value, x.source if wins else winner.source, why, winner.text, x.text))
+                    winner = x if wins else winner
+            columns = list(zip(*out, strict=True)) or [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.types, strict=True)], schema=types)
+
+    found = both.mapInArrow(log, schema)
+    return found.withColumn("severity", severity(F.col("field"), F.col("existing_text"), F.col("text"))).drop("existing_text", "text")
 
 
 def struct_type(fields: str) -> str:
@@ -268,7 +329,7 @@ def arrow_types(spark, schema: str) -> pa.Schema:
 
 
 def packed(rows: list[tuple], types: pa.Schema) -> pa.RecordBatch:
-    entities, names, firsts, runs, winners, reasons = zip(*rows, strict=True)
+    tasks, entities, names, firsts, runs, winners, reasons = zip(*rows, strict=True)
     guards = [[{"those": [plain(g) for g in those], "winner": plain(winner), "reason": why} for those, winner, why in run.guards] for run in runs]
-    columns = [entities, names, [r and plain(r) for r in firsts], guards, [[plain(x) for x in run.last] for run in runs], [w.value for w in winners], [w.source for w in winners], reasons]
+    columns = [tasks, entities, names, [r and plain(r) for r in firsts], guards, [[plain(x) for x in run.last] for run in runs], [w.value for w in winners], [w.source for w in winners], reasons]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types.types, strict=True)], schema=types)

@@ -76,13 +76,14 @@ def out_of_window(ts: Column, opens: Column, closes: Column, as_of: Column) -> C
 POLL_MINUTES = {"MARKET_HOURS": 30, "AFTER_HOURS": 120, "WEEKEND": 360}
 
 
-def series_checks(df: DataFrame, key: str, time: str, value: str, as_of: Column, max_gap_minutes: int, max_jump: float) -> DataFrame:
+def series_checks(df: DataFrame, key: str, time: str, value: str, as_of: Column, max_gap_minutes: int, max_jump: float, window: tuple[str, str] | None = None) -> DataFrame:
     """What is odd in each key's series: repeated times, gaps, readings from the future, null values, and values that fall
-    or jump from one reading to the next."""
-    rows = with_previous(df.select(key, time, value), [key], [time, value], [time, value])
+    or jump from one reading to the next; with ``window``, columns with a key's opening and close, also readings before the
+    opening or over a day after the close."""
+    rows = with_previous(df.select(key, time, value, *(window or ())), [key], [time, value], [time, value])
     micros = lambda c: F.unix_micros(c.cast("timestamp"))
     minutes = (micros(F.col(time)) - micros(F.col("_previous")[time])) / 60_000_000
-    rows = rows.select(key, time, value, minutes.alias("_gap"), (F.col(value) - F.col("_previous")[value]).alias("_step"))
+    rows = rows.select(key, time, value, *(window or ()), minutes.alias("_gap"), (F.col(value) - F.col("_previous")[value]).alias("_step"))
     checks = {
         "repeated_times": F.col("_gap") == 0,
         "gaps": F.col("_gap") > max_gap_minutes,
@@ -91,4 +92,22 @@ def series_checks(df: DataFrame, key: str, time: str, value: str, as_of: Column,
         "falls": F.col("_step") < 0,
         "jumps": F.abs("_step") > max_jump,
     }
+    if window:
+        opens, closes = map(F.col, window)
+        checks |= {"before_open": F.to_date(time) < opens, "after_close": F.to_date(time) > F.date_add(closes, 1)}
     return rows.groupBy(key).agg(F.count("*").alias("readings"), *[F.count_if(c).alias(n) for n, c in checks.items()])
+
+
+def series_summary(series: dict[str, tuple[DataFrame, str, str]], as_of: Column) -> DataFrame:
+    """For each (readings, key, time): keys, records, mean_records a key, repeated_times, future, and whether it is clean.
+
+    Readings are counted by key and time first, so that nothing is sorted and no key meets in one task before it is small.
+    """
+    out = None
+    for name, (df, key, time) in series.items():
+        times = df.groupBy(F.col(key).alias("k"), F.col(time).alias("t")).agg(F.count("*").alias("n"))
+        keys = times.groupBy("k").agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 1).alias("repeated"), F.sum(F.when(F.col("t") > as_of, F.col("n")).otherwise(0)).alias("future"))
+        total = keys.agg(F.count("*").alias("keys"), F.coalesce(F.sum("n"), F.lit(0)).alias("records"), F.avg("n").alias("mean_records"), F.coalesce(F.sum("repeated"), F.lit(0)).alias("repeated_times"), F.coalesce(F.sum("future"), F.lit(0)).alias("future"))
+        one = total.select(F.lit(name).alias("series"), "*", ((F.col("repeated_times") == 0) & (F.col("future") == 0)).alias("clean"))
+        out = one if out is None else out.unionByName(one)
+    return out

@@ -70,6 +70,16 @@ def consolidate_chain(spark, sf_dir):
     return folding.folded_in_runs(consolidate.with_rules(good, consolidate.rule_table(spark, CHAIN_RULES)))
 
 
+@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY arrival) AS k FROM {RECORDS}),
+f AS (SELECT entity, field, k, value, source, rank, scraped_at FROM s WHERE k = 1 UNION ALL SELECT entity, field, k, CASE WHEN wins THEN v2 ELSE v1 END, CASE WHEN wins THEN s2 ELSE s1 END, CASE WHEN wins THEN r2 ELSE r1 END, CASE WHEN wins THEN t2 ELSE t1 END
+FROM (SELECT s.entity, s.field, s.k, abs(f.value::DOUBLE - s.value::DOUBLE) > 0.01 AND (s.rank < f.rank OR (s.rank = f.rank AND s.field = 'N' AND s.scraped_at > f.scraped_at)) AS wins, f.value AS v1, s.value AS v2, f.source AS s1, s.source AS s2, f.rank AS r1, s.rank AS r2, f.scraped_at AS t1, s.scraped_at AS t2 FROM f JOIN s ON s.entity = f.entity AND s.field = f.field AND s.k = f.k + 1)),
+m AS (SELECT f.entity, f.field, s.arrival, f.source AS existing_source, s.source, f.rank AS r1, s.rank AS r2, f.scraped_at AS t1, s.scraped_at AS t2, abs((f.value::DOUBLE - s.value::DOUBLE) / f.value::DOUBLE) * 100 AS d FROM f JOIN s ON s.entity = f.entity AND s.field = f.field AND s.k = f.k + 1 WHERE abs(f.value::DOUBLE - s.value::DOUBLE) > 0.01)
+SELECT entity, field, arrival, existing_source, source, CASE WHEN r1 != r2 THEN 'SOURCE_PRIORITY' WHEN field != 'N' THEN 'DEFAULT_KEEP_EXISTING' WHEN t2 > t1 THEN 'TIME_BASED_PRIORITY' ELSE 'TIME_BASED_PRIORITY_EXISTING_NEWER' END AS reason, CASE WHEN d > 20 THEN 'CRITICAL' WHEN d > 5 THEN 'WARNING' ELSE 'INFO' END AS severity FROM m""")
+def conflict_log(spark, sf_dir):
+    """Every conflict that the fold by arrival meets, with why it was settled so."""
+    return folding.conflict_log(records(spark, sf_dir)).select("entity", "field", "arrival", "existing_source", "source", "reason", "severity")
+
+
 @query("""SELECT l_orderkey, min_by(l_comment, place) FILTER (l_comment IS NOT NULL) AS flag, min_by(q, place) FILTER (q IS NOT NULL) AS quantity FROM (SELECT *, l_linenumber * 100000000 + l_extendedprice AS place, nullif(l_returnflag, 'N') AS l_comment, nullif(l_quantity, round(l_quantity / 5) * 5) AS q FROM lineitem) GROUP BY 1""")
 def coalesce_by_rank(spark, sf_dir):
     t = Tables(spark, sf_dir).lineitem.withColumns({"flag": F.nullif("l_returnflag", F.lit("N")), "quantity": F.nullif("l_quantity", F.round(F.col("l_quantity") / 5) * 5), "place": F.col("l_linenumber") * 100000000 + F.col("l_extendedprice")})
@@ -245,6 +255,25 @@ def series_checks(spark, sf_dir):
     return health.series_checks(t, "event_type", "ts", "v", F.lit("2024-01-20").cast("timestamp_ntz"), 30, 50.0)
 
 
+@query("""SELECT user_id, count(*) AS readings, count(*) FILTER (gap = 0) AS repeated_times, count(*) FILTER (gap > 600) AS gaps, count(*) FILTER (ts > TIMESTAMP '2024-01-20') AS future, count(*) FILTER (value IS NULL) AS missing, count(*) FILTER (step < 0) AS falls, count(*) FILTER (abs(step) > 50) AS jumps, count(*) FILTER (ts::DATE < o) AS before_open, count(*) FILTER (ts::DATE > o + 11) AS after_close
+FROM (SELECT user_id, ts, value, DATE '2024-01-02' + (user_id % 5)::INT AS o, epoch_us(ts - lag(ts) OVER w) / 60000000.0 AS gap, value - lag(value) OVER w AS step FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, value)) GROUP BY 1""")
+def series_in_window(spark, sf_dir):
+    """The checks of a series and the bounds of its offering in one pass."""
+    opens = F.date_add(F.lit("2024-01-02").cast("date"), (F.col("user_id") % 5).cast("int"))
+    t = Tables(spark, sf_dir).events.withColumns({"o": opens, "c": F.date_add(opens, 10)})
+    return health.series_checks(t, "user_id", "ts", "value", F.lit("2024-01-20").cast("timestamp_ntz"), 600, 50.0, ("o", "c"))
+
+
+SUMMARY = "SELECT '{0}' AS series, count(*) AS keys, sum(n)::BIGINT AS records, floor(avg(n) * 100 + 0.5) / 100 AS mean_records, sum(r)::BIGINT AS repeated_times, sum(f)::BIGINT AS future, sum(r) = 0 AND sum(f) = 0 AS clean FROM (SELECT k, sum(n) AS n, count(*) FILTER (n > 1) AS r, coalesce(sum(n) FILTER (t > TIMESTAMP '2024-01-20'), 0) AS f FROM (SELECT {2} AS k, {3} AS t, count(*) AS n FROM {1} GROUP BY 1, 2) GROUP BY 1)"
+
+
+@query(f"{SUMMARY.format('events', 'events', 'user_id', 'ts')} UNION ALL {SUMMARY.format('shipments', 'lineitem', 'l_orderkey', 'l_shipdate')} UNION ALL {SUMMARY.format('orders', 'orders', 'o_orderkey', 'o_orderdate')}")
+def series_report(spark, sf_dir):
+    t = Tables(spark, sf_dir)
+    out = health.series_summary({"events": (t.events, "user_id", "ts"), "shipments": (t.lineitem, "l_orderkey", "l_shipdate"), "orders": (t.orders, "o_orderkey", "o_orderdate")}, F.lit("2024-01-20").cast("timestamp_ntz"))
+    return out.withColumn("mean_records", js_round(F.col("mean_records"), 2))
+
+
 @query("""SELECT event_id, count(value) OVER w AS n, round(sum(value) OVER w, 2) AS total FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
 def running_mean(spark, sf_dir):
     return summaries.running_mean(Tables(spark, sf_dir).events, "user_id", ["ts", "event_id"], "value").select("event_id", "n", F.round(F.col("mean") * F.col("n"), 2).alias("total"))

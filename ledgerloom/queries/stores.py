@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import money, text
-from ..operators import rows
+from ..operators import rows, segmented
 from ..plans import scoring
 from ..sources import readers, writers
 from ..sources.shared import shared_folder
@@ -123,3 +123,11 @@ def recommendations_by_sector(spark, sf_dir):
     items = t.part.select("p_partkey", F.get(kinds, (F.col("p_partkey") % 5).cast("int")).alias("sector"), F.col("p_retailprice").alias("score"))
     items = rows.top_per_key(items, ["sector"], [F.desc("score"), F.col("p_partkey")], 2)
     return scoring.recommended(users, items, "user_id", "p_partkey", "sector", "score", 6, per_sector=2).select("user_id", "p_partkey", "rank")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice, o_orderkey LIMIT 40 OFFSET 640")
+def keyset_page(spark, sf_dir):
+    """The seventeenth page by its start: what comes before is neither sorted nor skipped."""
+    t = Tables(spark, sf_dir).orders.select("o_orderkey", "o_totalprice")
+    starts = segmented.page_starts(t, ["o_totalprice", "o_orderkey"], 40)
+    return segmented.page_from(t, starts, ["o_totalprice", "o_orderkey"], 17, 40)

@@ -72,7 +72,21 @@ def test_hot_field_over_many_tasks(spark):
     df = spark.createDataFrame(data, "entity int, field string, source string, value string, scraped_at timestamp, arrival int")
     records = consolidate.with_rules(df, consolidate.rule_table(spark, RULES))
     want = {tuple(r) for r in consolidate.folded(records).select("entity", "field", "value", "source", "reason").collect()}
+    log: list = []
+    state: dict = {}
+    listed = consolidate.with_rules(df, consolidate.rule_table(spark, RULES)).filter("value IS NOT NULL").orderBy("arrival").collect()
+    for r in listed:
+        number = None if r["value"].strip().isalpha() else float(r["value"])
+        x = folding.Record(r["value"], number, r["value"].strip().lower(), r["source"], r["rank"], r["scraped_at"] and int(r["scraped_at"].timestamp()), r["time_based"], r["refresh"])
+        old = state.setdefault((r["entity"], r["field"]), x)
+        if not x.alike(old):
+            wins, why = x.judged(old)
+            log.append((r["arrival"], old.source, old.value, x.source, x.value, x.source if wins else old.source, why))
+            state[r["entity"], r["field"]] = x if wins else old
     for parts in (1, 25):
+        found = folding.conflict_log(records, parts)
+        columns = ("arrival", "existing_source", "existing_value", "source", "value", "chosen_source", "reason")
+        assert sorted(map(tuple, found.select(*columns).collect())) == sorted(log)
         out = folding.folded_in_runs(records, parts).select("entity", "field", "value", "source", "reason")
         assert {tuple(r) for r in out.collect()} == want
     assert folding.folded_in_runs(records.limit(0)).count() == 0

@@ -72,3 +72,23 @@ def test_no_part_is_much_larger_than_the_others(hot):
     """One key has four fifths of the rows, and each part about the same number."""
     counts = [r["count"] for r in segmented.ranged(hot, ["key"], ["t", "id"], 12).groupBy("_part").count().collect()]
     assert len(counts) == 12 and max(counts) < 3 * statistics.median(counts)
+
+
+def test_pages_by_their_starts(spark, hot, tmp_path):
+    starts = segmented.page_starts(hot, ["t", "id"], 70, 9)
+    every = [r["id"] for r in hot.orderBy("t", "id").collect()]
+    assert starts.count() == -(-len(every) // 70)
+    for number in (1, 2, 40, 86):
+        page = segmented.page_from(hot, starts, ["t", "id"], number, 70)
+        assert [r["id"] for r in page.collect()] == every[(number - 1) * 70 : number * 70]
+    assert segmented.page_from(hot, starts, ["t", "id"], 87, 70).count() == 0
+    # Of a table in files by range, a page reads the files that it touches.
+    hot.repartitionByRange(20, "t").write.parquet(str(tmp_path / "sorted"))
+    page = segmented.page_from(spark.read.parquet(str(tmp_path / "sorted")), starts, ["t", "id"], 40, 70)
+    spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    plan = page._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "GreaterThanOrEqual(t," in plan and "LessThanOrEqual(t," in plan
+    nulls = spark.createDataFrame([(1, None), (None, 2), (3, 1)], "id int, t int")
+    assert segmented.page_starts(nulls, ["t", "id"], 10, 3).count() == 1
+    assert [r["id"] for r in segmented.page_from(nulls, segmented.page_starts(nulls, ["t", "id"], 10, 3), ["t", "id"], 1, 10).collect()] == [3]
