@@ -22,8 +22,10 @@ they occur.  Other columns are left alone.  Nothing is dropped; only the last wi
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -92,11 +94,25 @@ def plan(totals: list[int], targets: list[float], width: int = WIDTH) -> list[Se
     return segments
 
 
-def place(segments: list[Segment], queue: int, start: int, length: int, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Where tokens [start, start + length) of a queue go: begin of each piece from start, its window, its offset there."""
+def served(segments: list[Segment], queue: int, width: int = WIDTH) -> tuple[list[int], list[int]]:
+    """Of each segment, the tokens of a queue before it and in it."""
+    last = segments[-1]
+    end = np.array([last.count])
+    given = [s.given[queue] for s in segments]
+    total = given[-1] + int((last.upto(end, queue, width) - last.upto(end, queue - 1, width))[0])
+    return given, [b - a for a, b in zip(given, [*given[1:], total], strict=True)]
+
+
+def place(segments: list[Segment], queue: int, start: int, length: int, width: int = WIDTH, spans: tuple[list[int], list[int]] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where tokens [start, start + length) of a queue go: begin of each piece from start, its window, its offset there.
+
+    ``spans``: what ``served`` gives for the queue, where many documents are placed.
+    """
     begins, windows, offsets = [], [], []
-    for s in segments:
-        whole = int((s.upto(np.array([s.count]), queue, width) - s.upto(np.array([s.count]), queue - 1, width))[0])
+    given, wholes = spans or served(segments, queue, width)
+    # Sources of other sizes than their shares run dry at different times: only the segments in question are looked at.
+    for k in range(max(bisect_right(given, start) - 1, 0), bisect_left(given, start + length)):
+        s, whole = segments[k], wholes[k]
         low, high = max(start - s.given[queue], 0), min(start + length - s.given[queue], whole)
         if low >= high:
             continue
@@ -197,10 +213,11 @@ def pack(docs: DataFrame, tokenizer_file: str, targets: dict[str, float] | None
         rows = rows.unionByName(shared.withColumn("queue", F.lit(len(names))).select(*rows.columns))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        spans = lru_cache(None)(lambda queue: served(segments, queue, width))
         for batch in batches:
             which, starts, lengths, sums_, windows, offsets = [], [], [], [], [], []
             for k, (ids, n, queue, start) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("ids", "n", "queue", "start")), strict=True)):
-                begin, window, offset = place(segments, queue, start, n, width)
+                begin, window, offset = place(segments, queue, start, n, width, spans(queue))
                 wide = memoryview(np.frombuffer(ids, "<u2").astype("<u4")).cast("B")
                 edges = (np.append(begin, n) * 4).tolist()
                 which.append(np.full(len(begin), k))
