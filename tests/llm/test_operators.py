@@ -168,6 +168,14 @@ def test_pieces_of_random_texts():
     assert list(codec.digest(texts)) == list(piece_rows(texts))
 
 
+def test_ids_for_training(spark, hard):
+    import sentencepiece
+
+    model = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    got = sorted(((r["doc_id"], r["ids"]) for r in sentencepieces.token_ids(hard, PIECES).collect()), key=repr)
+    assert got == sorted(((r[0], model.encode(r[1] or "")) for r in HARD), key=repr)
+
+
 def test_pieces_of_long_words(monkeypatch):
     """Words beyond the cache's and a group's size: they go through the rounds in parts, and the cache stays small."""
     monkeypatch.setattr(sentencepieces, "CHUNK", 300)
