@@ -376,3 +376,17 @@ def test_feeds_of_all_kinds(spark):
     ]
     out = sets(readers.feed_items(spark.createDataFrame(feeds, "id int, xml string")))
     assert out == [(1, "One", "l?a=1&b=2", None, None), (2, "IPO & x", None, None, None), (2, None, None, "d", "Mon"), (3, "cut & bare", None, None, None)]
+
+
+def test_binary_files(spark, tmp_path):
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.4 a")
+    (tmp_path / "b.txt").write_bytes(b"no")
+    out = readers.binary_files(spark, str(tmp_path)).select(F.regexp_extract("path", "([^/]*)$", 1), F.col("content").cast("string"), "length")
+    assert sets(out) == [("a.pdf", "%PDF-1.4 a", 10)]
+
+
+def test_parents_with_their_latest_child(spark):
+    parents = spark.createDataFrame([(1,), (2,), (None,)], "id int")
+    children = spark.createDataFrame([(1, 5, "a"), (1, 7, "b"), (1, 7, "a"), (9, 1, "x"), (None, 3, "n")], "parent int, t int, v string")
+    out = rows.with_latest_child(parents, children, "id", "parent", ["t", "v"])
+    assert sets(out.select("id", "v")) == sorted([(1, "b"), (2, None), (None, None)], key=repr)
