@@ -52,7 +52,7 @@ CASE WHEN l_returnflag = 'N' THEN [2, 1, 0, 1048576, 1048576][l_orderkey % 5 + 1
 CHAIN_RULES = {"a": (("A",), ("ADMIN", "NSE", "BSE", "NEWS"), False, False), "r": (("R",), ("ADMIN", "NSE", "BSE", "NEWS"), False, True), "n": (("N",), ("BSE", "NSE", "ADMIN"), True, False)}
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY arrival) AS k FROM {CHAIN} WHERE value IS NOT NULL AND (field = 'A' OR number BETWEEN 2000 AND 60000)),
+@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY arrival, source, value) AS k FROM {CHAIN} WHERE value IS NOT NULL AND (field = 'A' OR number BETWEEN 2000 AND 60000)),
 f AS (SELECT entity, field, k, value, number, source, rank, scraped_at, 'FIRST_VALUE' AS reason FROM s WHERE k = 1 UNION ALL
 SELECT entity, field, k, CASE WHEN wins THEN v2 ELSE v1 END, CASE WHEN wins THEN n2 ELSE n1 END, CASE WHEN wins THEN s2 ELSE s1 END, CASE WHEN wins THEN r2 ELSE r1 END, CASE WHEN wins THEN t2 ELSE t1 END,
 CASE WHEN alike THEN reason WHEN r1 != r2 THEN 'SOURCE_PRIORITY' WHEN field = 'N' THEN 'TIME_BASED_PRIORITY' || CASE WHEN t2 > t1 THEN '' ELSE '_EXISTING_NEWER' END WHEN field = 'R' AND s1 = s2 AND r2 < 1048576 THEN 'SAME_SOURCE_REFRESH' || CASE WHEN t2 > t1 THEN '' ELSE '_EXISTING_NEWER' END ELSE 'DEFAULT_KEEP_EXISTING' END
@@ -70,7 +70,7 @@ def consolidate_chain(spark, sf_dir):
     return folding.folded_in_runs(consolidate.with_rules(good, consolidate.rule_table(spark, CHAIN_RULES)))
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY arrival) AS k FROM {RECORDS}),
+@query(f"""WITH RECURSIVE s AS (SELECT *, row_number() OVER (PARTITION BY entity, field ORDER BY arrival, source, value) AS k FROM {RECORDS}),
 f AS (SELECT entity, field, k, value, source, rank, scraped_at FROM s WHERE k = 1 UNION ALL SELECT entity, field, k, CASE WHEN wins THEN v2 ELSE v1 END, CASE WHEN wins THEN s2 ELSE s1 END, CASE WHEN wins THEN r2 ELSE r1 END, CASE WHEN wins THEN t2 ELSE t1 END
 FROM (SELECT s.entity, s.field, s.k, abs(f.value::DOUBLE - s.value::DOUBLE) > 0.01 AND (s.rank < f.rank OR (s.rank = f.rank AND s.field = 'N' AND s.scraped_at > f.scraped_at)) AS wins, f.value AS v1, s.value AS v2, f.source AS s1, s.source AS s2, f.rank AS r1, s.rank AS r2, f.scraped_at AS t1, s.scraped_at AS t2 FROM f JOIN s ON s.entity = f.entity AND s.field = f.field AND s.k = f.k + 1)),
 m AS (SELECT f.entity, f.field, s.arrival, f.source AS existing_source, s.source, f.rank AS r1, s.rank AS r2, f.scraped_at AS t1, s.scraped_at AS t2, abs((f.value::DOUBLE - s.value::DOUBLE) / f.value::DOUBLE) * 100 AS d FROM f JOIN s ON s.entity = f.entity AND s.field = f.field AND s.k = f.k + 1 WHERE abs(f.value::DOUBLE - s.value::DOUBLE) > 0.01)
