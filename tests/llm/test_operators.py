@@ -401,6 +401,37 @@ def test_url_scores_are_the_models_likelihoods(spark):
         assert got[text] / urls.SCALE == pytest.approx(total / (len(text) + 1), abs=1e-4)
 
 
+def test_url_models_count_every_labelled_url(spark):
+    # Both kinds share no letter, so that no accepted URL is scored as rejected and leaves the training set.
+    name = lambda i, letters: "".join(letters[i // 12**k % 12] for k in range(4))
+    data = [(i, f"x://{name(i, 'abcdefghijkl')}/", False) for i in range(12**4)] + [(12**4 + i, f"x://{name(i, 'abcdefghijkl')}{'ghijkl'[i % 6]}/", False) for i in range(5000)] + [(-1 - i, f"x://{name(7 * i, 'mnopqrstuvwx')}/", True) for i in range(300)]
+    pages = spark.createDataFrame(data, "page_id bigint, url string, rejected boolean")
+    got = dict(rows_of(urls.judged(pages, labels=pages.select("url", "rejected")).filter("page_id % 97 = 0"), "page_id", "score"))
+    shapes = pages.select(F.col("page_id").alias("id"), F.expr("substring(url, 5)").alias("shape"), "rejected")
+    want = rows_of(urls.scored(shapes.filter("id % 97 = 0"), urls.fitted(shapes)), "id", "score")
+    assert len(want) > 250 and {i: x / urls.SCALE for i, x in want} == pytest.approx(got, abs=1e-12)
+
+
+def test_url_hosts_alternate_between_folds(spark):
+    rows = [(i, f"h{i % 4000}/{i}", f"h{i % 4000}", None if i % 7 == 6 else i % 4000 % 3 == 0) for i in range(9000)]
+    shapes = spark.createDataFrame(rows, "id bigint, shape string, host string, rejected boolean")
+    got = rows_of(urls.folded(shapes), "id", "host", "rejected", "fold")
+    assert sorted(r[:3] for r in got) == [(i, h, r) for i, _, h, r in rows if r is not None]
+    folds = dict((h, f) for _, h, _, f in got)
+    assert len({(h, f) for _, h, _, f in got}) == len(folds)
+    for bad in (False, True):
+        hosts = [h for _, h in sorted(rows_of(shapes.filter(F.col("rejected") == bad).select(F.xxhash64("host").alias("hash"), "host").distinct(), "hash", "host"))]
+        assert len(hosts) > 1000 and [folds[h] for h in hosts] == [(k + 1) % 2 for k in range(len(hosts))]
+
+
+def test_url_substrings(spark):
+    texts = ["", "a", "ab\n\u00e9\U0001f600\U0001f600z", "x" * 200_000 + "\U0001f600"]
+    got = dict(rows_of(spark.createDataFrame(list(enumerate(texts)), "id int, shape string").select("id", urls.substrings(F.col("shape"), 4).alias("grams")), "id", "grams"))
+    for i, text in enumerate(texts):
+        marked = "\x02" + text + "\x03"
+        assert got[i] == [marked[at : at + k] for k in range(1, 5) for at in range(len(marked) - k + 1)]
+
+
 def test_urls_of_hard_rows(spark):
     data = [(1, None, "x"), (2, "", "x"), (3, "no scheme", "x"), (4, "http://", "x"), (5, "HTTP://EXAMPLE.Org/es/1", "x"), (5, "HTTP://EXAMPLE.Org/es/1", "x"), (None, "http://a.com/fr/", "x"), (7, "http://b.net/" + "y" * 5000, "x"), (8, "http://notorg/", "x"), (9, "http://x.org?q", "x")]
     pages = spark.createDataFrame(data, "page_id bigint, url string, host string")
