@@ -24,6 +24,8 @@ from ..sources.shared import written
 
 #: Segments of at least so many characters are looked for whole.
 WHOLE = 4
+#: Texts of at most so many characters that allow one edit are met by what is left of them without one character.
+SPELT = 40
 
 
 def allowed(size: Column, threshold: float) -> Column:
@@ -34,7 +36,7 @@ def allowed(size: Column, threshold: float) -> Column:
 def layout(size: Column, threshold: float) -> Column:
     """Of a longer text: ``slack``, the edits that a segment may have (0 or 1), and the number of ``parts``."""
     most = allowed(size, threshold)
-    exact = (most == 0) | (F.floor(size / (most + 1)) >= WHOLE)
+    exact = (most == 0) | ((F.floor(size / (most + 1)) >= WHOLE) & ~((most == 1) & (size <= SPELT)))
     return F.struct(F.when(exact, 0).otherwise(1).alias("slack"), F.when(exact, most + 1).otherwise(F.floor(most / 2).cast("int") + 1).alias("parts"))
 
 
@@ -111,7 +113,7 @@ def met(longer: DataFrame, shorter: DataFrame, threshold: float, *within: str, e
     # Where segment and part are equal, they meet without their first character only.
     missing = lambda side: F.substring(F.col(f"{side}.t"), F.col(f"{side}.start") + F.col(f"{side}.at"), F.lit(1))
     once = (F.col("a.at") <= 1) | (missing("a") != missing("b"))
-    joined = a.join(b, on).filter(fits & once)
+    joined = a.join(b.hint("merge"), on).filter(fits & once)
     return joined.select(*[F.col(f"a.{c}").alias(c) for c in within], F.col("a.t").alias("x"), F.col("b.t").alias("y"), most.alias("most"))
 
 
@@ -121,8 +123,14 @@ def close_texts(left: DataFrame, right: DataFrame | None, threshold: float, *wit
     x is of ``left``, y of ``right`` with the same values of ``within``; without ``right`` both are of ``left`` and x <= y.
     Null and empty texts have no pairs but that of two empty ones.
     """
-    mine = written(left.select(*within, "t").filter("t is not null").distinct(), "texts")
-    theirs = mine if right is None else written(right.select(*within, "t").filter("t is not null").distinct(), "texts")
+
+    def texts(df: DataFrame) -> DataFrame:
+        # The files are few and small, what is made of their rows is not.
+        made = written(df.select(*within, "t").filter("t is not null").distinct(), "texts")
+        return made.repartition(2 * made.sparkSession.sparkContext.defaultParallelism)
+
+    mine = texts(left)
+    theirs = mine if right is None else texts(right)
     pairs = met(segments(mine, threshold, *within), offers(theirs, threshold, *within), threshold, *within)
     if right is not None:
         other = met(segments(theirs, threshold, *within), offers(mine, threshold, *within), threshold, *within, equal=False)
