@@ -82,8 +82,9 @@ def conflict_log(spark, sf_dir):
 
 @query("""SELECT l_orderkey, min_by(l_comment, place) FILTER (l_comment IS NOT NULL) AS flag, min_by(q, place) FILTER (q IS NOT NULL) AS quantity FROM (SELECT *, l_linenumber * 100000000 + l_extendedprice AS place, nullif(l_returnflag, 'N') AS l_comment, nullif(l_quantity, round(l_quantity / 5) * 5) AS q FROM lineitem) GROUP BY 1""")
 def coalesce_by_rank(spark, sf_dir):
-    t = Tables(spark, sf_dir).lineitem.withColumns({"flag": F.nullif("l_returnflag", F.lit("N")), "quantity": F.nullif("l_quantity", F.round(F.col("l_quantity") / 5) * 5), "place": F.col("l_linenumber") * 100000000 + F.col("l_extendedprice")})
-    return consolidate.merged(t, ["l_orderkey"], "place", ["flag", "quantity"])
+    """Each field from the best line that has it; of lines in the same place, from the one that the table holds first."""
+    t = Tables(spark, sf_dir).lineitem.withColumns({"file": F.col("_metadata.file_path"), "row": F.col("_metadata.row_index"), "flag": F.nullif("l_returnflag", F.lit("N")), "quantity": F.nullif("l_quantity", F.round(F.col("l_quantity") / 5) * 5), "place": F.col("l_linenumber") * 100000000 + F.col("l_extendedprice")})
+    return consolidate.merged(t, ["l_orderkey"], "place", ["flag", "quantity"], tie=["file", "row"])
 
 
 @query("""SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 45) AND NOT (l_returnflag = 'R' AND l_partkey IN (SELECT p_partkey FROM part WHERE p_size < 10))""")
