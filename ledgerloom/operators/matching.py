@@ -220,21 +220,37 @@ def by_dates(records: DataFrame, master: DataFrame, record_id: str, master_id: s
     return single.unionByName(best.select("record", F.col("m.match").alias("match"), F.lit("NAME").alias("method")))
 
 
+#: Keys of rows with the same name and times that are held in one list.
+CHUNK = 1000
+
+
 def overlapping_similar(df: DataFrame, key: str, name: str, start: str, end: str, above: float = 0.8, bucket_days: int = 32) -> DataFrame:
     """(a, b) of rows with edit similarity of their names above a bound and overlapping days, a < b.
 
-    Distinct names are compared; rows meet on the similar name and the buckets of days that they touch.
+    Distinct names are compared, then distinct names with their times: of two that overlap the later begins in a bucket of
+    days that the earlier touches.  Rows of the same name and times lie in lists of about ``CHUNK`` keys, so that only lists
+    meet; these pairs are dealt over all tasks before they become pairs of rows, of which there are many.
     """
-    names = df.select(F.col(name).alias("n")).distinct()
-    close = edit_pairs(names, names, "n", "n", above).filter(F.col("similarity") > above).select(F.col("a").alias(name), F.col("b").alias("_like"))
-    # Similarity goes both ways, so each row stands under all names like its own and meets the rows of that name.
+    spark, parts = df.sparkSession, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = df.select(F.col(name).alias("t")).distinct()
+    close = both_ways(close_texts(names, None, above).filter(F.col("similarity") > above)).select("x", "y").hint("merge")
+    rows = df.select(F.col(key).alias("k"), F.col(name).alias("n"), F.col(start).alias("s"), F.col(end).alias("e")).filter("n IS NOT NULL AND s IS NOT NULL AND e IS NOT NULL")
+    often = rows.groupBy("n", "s", "e").agg(F.ceil(F.count("*") / CHUNK).alias("lists"))
+    dealt = rows.join(often.hint("merge"), ["n", "s", "e"]).withColumn("list", F.pmod(F.xxhash64("k"), F.col("lists")))
+    lists = dealt.groupBy("n", "s", "e", "list").agg(F.collect_list("k").alias("ks")).drop("list")
+    lists = written(lists.withColumn("id", F.monotonically_increasing_id()), "lists").repartition(2 * spark.sparkContext.defaultParallelism)
     bucket = lambda c: F.floor(F.datediff(c, F.lit("1970-01-01").cast("date")) / bucket_days)
-    rows = df.select(key, name, start, end).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end)))))
-    a, b = rows.join(close, name).alias("a"), rows.alias("b")
-    same = (F.col("a._bucket") == F.col("b._bucket")) & (F.col("a._like") == F.col(f"b.{name}"))
-    meets = (F.col(f"a.{start}") <= F.col(f"b.{end}")) & (F.col(f"b.{start}") <= F.col(f"a.{end}"))
-    once = bucket(F.greatest(F.col(f"a.{start}"), F.col(f"b.{start}"))) == F.col("a._bucket")
-    return a.join(b, same & (F.col(f"a.{key}") < F.col(f"b.{key}"))).filter(meets & once).select(F.col(f"a.{key}").alias("a"), F.col(f"b.{key}").alias("b"))
+    later = lists.join(close, F.col("n") == F.col("x")).select("id", "s", "e", "ks", F.col("y").alias("like"), bucket(F.col("s")).alias("bucket"))
+    # Times that end before they begin hold no beginning of another.
+    earlier = lists.filter("s <= e").withColumn("bucket", F.explode(F.sequence(bucket(F.col("s")), bucket(F.col("e")))))
+    a, b = later.alias("a"), earlier.alias("b").hint("merge")
+    meets = (F.col("b.s") <= F.col("a.s")) & (F.col("a.s") <= F.col("b.e")) & (F.col("b.s") <= F.col("a.e"))
+    once = (F.col("b.s") < F.col("a.s")) | (F.col("b.id") <= F.col("a.id"))
+    met = a.join(b, (F.col("a.like") == F.col("b.n")) & (F.col("a.bucket") == F.col("b.bucket"))).filter(meets & once)
+    met = met.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), F.col("a.ks").alias("p"), F.col("b.ks").alias("q")).repartition(parts, "i", "j")
+    pairs = met.withColumn("p", F.explode("p")).withColumn("q", F.explode("q"))
+    # Two lists meet once, in either order; a list meets itself both ways.
+    return pairs.filter(F.when(F.col("i") == F.col("j"), F.col("p") < F.col("q")).otherwise(F.col("p") != F.col("q"))).select(F.least("p", "q").alias("a"), F.greatest("p", "q").alias("b"))
 
 
 def classified(incoming: DataFrame, existing: DataFrame, key: str, state: str) -> DataFrame:

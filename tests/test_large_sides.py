@@ -7,7 +7,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerloom.operators import edits
+from ledgerloom.operators import edits, matching
 from ledgerloom.plans import duplicates
 
 
@@ -71,3 +71,20 @@ def test_duplicates_by_days_are_those_of_all_pairs(spark):
     assert {v for _, _, v in expected} == {"NAME", "DATE_OVERLAP"}
     assert sets(out) == sorted(expected, key=repr)
     assert "Broadcast" not in plan(out)
+
+
+def test_overlaps_are_those_of_all_pairs_and_come_from_lists(spark, monkeypatch):
+    monkeypatch.setattr(matching, "CHUNK", 3, raising=False)
+    rng, start = random.Random(11), datetime.date(2023, 12, 1)
+    rows = []
+    for k in range(160):
+        o = start + datetime.timedelta(rng.choice([0, 5, 31, 40, 64]))
+        # Some times end before they begin.
+        rows.append((k, rng.choice(["blue ring", "blue rings", "red bolt", None]), o, o + datetime.timedelta(rng.choice([-3, 0, 1, 33, 70]))))
+    out = matching.overlapping_similar(spark.createDataFrame(rows, "id int, name string, o date, c date"), "id", "name", "o", "c")
+    named = [r for r in rows if r[1]]
+    expected = [(x[0], y[0]) for x in named for y in named if x[0] < y[0] and likeness(x[1], y[1]) > 0.8 and x[2] <= y[3] and y[2] <= x[3]]
+    assert sorted(map(tuple, out.collect())) == expected
+    # Pairs of rows are made after lists have met and are dealt, not by a join.
+    shown = plan(out)
+    assert "Broadcast" not in shown and shown.index("Generate explode(q") < shown.index("SortMergeJoin")
