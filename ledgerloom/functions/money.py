@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 # Unit of an amount and its factor; the first that fits counts.
 UNITS = ((r"([\d,.]+)\s*cr(?:ore)?s?", 1e7), (r"([\d,.]+)\s*lakh?s?", 1e5), (r"([\d,.]+)\s*b(?:illion|n)\b", 1e9), (r"([\d,.]+)\s*m(?:illion|n)\b", 1e6), (r"([\d,.]+)\s*thousand", 1e3), (r"([\d,.]+)\s*b\b", 1e9), (r"([\d,.]+)\s*m\b", 1e6), (r"([\d,.]+)\s*k\b", 1e3))
+#: A letter that each of them has: without one no unit has to be tried.
+UNIT = "[bcklmt]"
 
 CRORE, SMALL = 1e7, 10_000
 RETAIL_CEILING, SMALL_NII_CEILING = 200_000, 1_000_000
@@ -32,16 +34,20 @@ def number(text: Column) -> Column:
 
 def amount(text: Column, large: bool = False) -> Column:
     """A currency amount in single units.  ``large``: small bare numbers mean crores, as sizes and revenues do."""
-    low = F.lower(F.trim(text))
-    out = None
-    for pattern, factor in UNITS:
-        fits = low.rlike(pattern)
-        value = number_in(low, pattern) * factor
-        out = F.when(fits, value) if out is None else out.when(fits, value)
-    plain = number_in(low)
-    if large:
-        plain = F.when((plain > 0) & (plain < SMALL), plain * CRORE).otherwise(plain)
-    return out.otherwise(plain)
+
+    def read(low: Column) -> Column:
+        out = None
+        for pattern, factor in UNITS:
+            fits = low.rlike(pattern)
+            value = number_in(low, pattern) * factor
+            out = F.when(fits, value) if out is None else out.when(fits, value)
+        plain = number_in(low)
+        if large:
+            plain = F.when((plain > 0) & (plain < SMALL), plain * CRORE).otherwise(plain)
+        return F.when(low.rlike(UNIT), out.otherwise(plain)).otherwise(plain)
+
+    # By transform: the text is put in small letters once, and the generated code doesn't hold all patterns.
+    return F.get(F.transform(F.array(F.lower(F.trim(text))), read), F.lit(0))
 
 
 def simple_amount(text: Column) -> Column:

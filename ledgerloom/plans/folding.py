@@ -9,15 +9,16 @@ equivalent to suffice for that.  So a run stays short, whatever its length, and
 
 Records are sorted by range over entity, field and arrival.  A hot field lies in many tasks, each of which makes one run of
 its part; a field's runs, one for each task that holds some of it, are then applied one after the other.  Only a task's
-first and last field can go on in another task, so that the others need no run.
+first and last field can go on in another task, so that the others need no run: they are folded over a batch's columns, and
+no record is made but those that win.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,8 +80,37 @@ class Run:
     guards: list[tuple[list[Record], Record, str | None]] = field(default_factory=list)
     last: list[Record] = field(default_factory=list)
 
+    def idle(self, x: Record) -> bool:
+        """Whether a record changes no guard and adds none, as nearly all records of a long run."""
+        for _, winner, reason in self.guards:
+            if not x.alike(winner):
+                wins, why = x.judged(winner)
+                if wins or why != reason:
+                    return False
+        if x.rank == -1 and not x.time_based:
+            return True
+        better: list[Record] = []
+        for those, _, _ in self.guards:
+            for a in those:
+                if a.outdoes(x):
+                    if (a.number, a.text) == (x.number, x.text) or any(a.separate(b) for b in better):
+                        return True
+                    better.append(a)
+        return False
+
     def add(self, x: Record) -> None:
         """The run with one record more."""
+        if not self.idle(x):
+            self.guarded(x)
+        last = [x]
+        for y in self.last:
+            if any(a.separate(b) for k, a in enumerate(last) for b in last[:k]):
+                break
+            if (y.number, y.text) not in {(z.number, z.text) for z in last}:
+                last.append(y)
+        self.last = last
+
+    def guarded(self, x: Record) -> None:
         guards: list[tuple[list[Record], Record, str | None]] = []
         for those, winner, reason in self.guards:
             if not x.alike(winner):
@@ -96,13 +126,6 @@ class Run:
             if kept := pruned([x], before):
                 guards.append((kept, x, None))
         self.guards = guards
-        last = [x]
-        for y in self.last:
-            if any(a.separate(b) for k, a in enumerate(last) for b in last[:k]):
-                break
-            if (y.number, y.text) not in {(z.number, z.text) for z in last}:
-                last.append(y)
-        self.last = last
 
     def applied(self, old: Record, reason: str) -> tuple[Record, str]:
         """What becomes of a winner and the reason it is kept for."""
@@ -137,6 +160,54 @@ def one_by_one(winner: Record, reason: str, records: list[Record]) -> tuple[Reco
     return winner, reason
 
 
+class Columns:
+    """Records as columns, of which values and texts are read only where they are needed."""
+
+    __slots__ = ("value", "number", "text", "source", "rank", "at", "time_based", "refresh")
+
+    def __init__(self, batch: pa.RecordBatch) -> None:
+        plain = lambda c: c.to_numpy(zero_copy_only=False).tolist() if c.null_count == 0 else c.to_pylist()
+        self.value, self.text = batch.column("value"), batch.column("text")
+        for name in ("number", "rank", "at", "time_based", "refresh"):
+            setattr(self, name, plain(batch.column(name)))
+        coded = batch.column("source").dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        self.source = [None if k is None else names[k] for k in plain(coded.indices)]
+
+    def record(self, i: int) -> Record:
+        return Record(self.value[i].as_py(), self.number[i], self.text[i].as_py(), self.source[i], self.rank[i], self.at[i], self.time_based[i], self.refresh[i])
+
+    def folded(self, winner: Record, reason: str, start: int, end: int) -> tuple[Record, str]:
+        """What ``one_by_one`` gives for the records from ``start`` to before ``end``."""
+        number, rank, at, source, time_based, refresh = self.number, self.rank, self.at, self.source, self.time_based, self.refresh
+        own, best, since, by, said = winner.number, winner.rank, winner.at, winner.source, winner.text
+        won = -1
+        for i in range(start, end):
+            x = number[i]
+            if x is None or own is None:
+                if self.text[i].as_py() == said:
+                    continue
+            elif abs(x - own) <= TOLERANCE:
+                continue
+            r = rank[i]
+            if r != best:
+                reason = "SOURCE_PRIORITY"
+                if r == -1 or (best != -1 and r > best):
+                    continue
+            else:
+                newer = at[i] is None or since is None or at[i] > since
+                if time_based[i]:
+                    reason = "TIME_BASED_PRIORITY" if newer else "TIME_BASED_PRIORITY_EXISTING_NEWER"
+                elif r != -1 and refresh[i] and source[i] == by:
+                    reason = "SAME_SOURCE_REFRESH" if newer else "SAME_SOURCE_REFRESH_EXISTING_NEWER"
+                else:
+                    newer, reason = False, "DEFAULT_KEEP_EXISTING"
+                if not newer:
+                    continue
+            won, own, best, since, by, said = i, x, r, at[i], source[i], self.text[i].as_py()
+        return (winner if won < 0 else self.record(won)), reason
+
+
 #: Records of a field that are held as they are, before a run is made of them.
 HELD = 1000
 
@@ -194,6 +265,9 @@ def comparable(records: DataFrame) -> DataFrame:
 
 def dealt(records: DataFrame, parts: int | None = None) -> DataFrame:
     by = comparable(records)
+    if "plain" in records.columns:
+        # Dealing by range goes through all rows twice, which normalising is too dear for.
+        by = written(by, "plain")
     return by.repartitionByRange(parts, *ORDER) if parts else by.repartitionByRange(*ORDER)
 
 
@@ -220,26 +294,29 @@ def outcomes(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     key = f"entity {rows.schema['entity'].dataType.simpleString()}, field {rows.schema['field'].dataType.simpleString()}"
 
     def summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stream() -> Iterator[tuple]:
-            for batch in batches:
-                yield from zip(*(batch.column(c).to_pylist() for c in ("task", "entity", "field", *NAMES)), strict=True)
+        out: list[tuple] = []
+        # The field whose records the next batch may go on with, and whether it is the task's first.
+        waiting: tuple[tuple, Part] | None = None
+        edge = True
 
-        def row_of(key: tuple, part: Part, edge: bool) -> tuple:
-            # Fields between a task's first and last lie in it as a whole: their outcome is enough.
-            return (*key, part.first if edge else None, part.summed() if edge else Run(), *part.outcome())
+        def row_of(key: tuple, part: Part, run: bool) -> tuple:
+            return (*key, part.first if run else None, part.summed() if run else Run(), *part.outcome())
 
-        out: list[tuple] = []
-        waiting: tuple | None = None
-        task, edge = None, True
-        for key, those in groupby(stream(), key=lambda r: r[:3]):
-            if waiting:
-                last = key[0] != task
-                out.append(row_of(*waiting, edge or last))
-                edge = last
-            task, part = key[0], Part()
-            for r in those:
-                part.add(Record(*r[3:]))
-            waiting = key, part
+        for batch in batches:
+            rows, starts = Columns(batch), fields_of(batch)
+            keys = [tuple(batch.column(c)[i].as_py() for c in ("task", "entity", "field")) for i in starts]
+            for k, (key, start, end) in enumerate(zip(keys, starts, [*starts[1:], batch.num_rows], strict=True)):
+                if waiting and waiting[0] != key:
+                    last = key[0] != waiting[0][0]
+                    out.append(row_of(*waiting, edge or last))
+                    waiting, edge = None, last
+                if waiting is None and not edge and k + 1 < len(keys) and keys[k + 1][0] == key[0]:
+                    # Fields between a task's first and last lie in it as a whole: their outcome is enough.
+                    out.append((*key, None, Run(), *rows.folded(rows.record(start), "FIRST_VALUE", start + 1, end)))
+                    continue
+                waiting = waiting or (key, Part())
+                for i in range(start, end):
+                    waiting[1].add(rows.record(i))
             if len(out) >= 1000:
                 yield packed(out, batch_types)
                 out = []
@@ -318,6 +395,15 @@ def conflict_log(records: DataFrame, parts: int | None = None) -> DataFrame:
     return found.withColumn("severity", severity(F.col("field"), F.col("existing_text"), F.col("text"))).drop("existing_text", "text")
 
 
+def fields_of(batch: pa.RecordBatch) -> list[int]:
+    """Where the fields of a sorted batch begin."""
+    if not batch.num_rows:
+        return []
+    codes = [batch.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False) for c in ("task", "entity", "field")]
+    changed = np.logical_or.reduce([c[1:] != c[:-1] for c in codes])
+    return [0, *(np.flatnonzero(changed) + 1).tolist()]
+
+
 def struct_type(fields: str) -> str:
     return ",".join(part.replace(" ", ":", 1) for part in fields.split(", "))
 

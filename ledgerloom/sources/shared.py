@@ -7,7 +7,11 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A side of a join is broadcast only after its bytes were added up and are at most this many.
+BROADCAST_BYTES = 24_000_000
 
 
 def shared_folder(spark: SparkSession, label: str) -> str:
@@ -28,6 +32,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About what the rows of ``df`` take in memory, as an aggregate."""
+    return F.coalesce(F.sum(16 + F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))
+
+
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once a context, so that their Python workers can import it."""
     context = spark.sparkContext

@@ -5,10 +5,13 @@ from __future__ import annotations
 import datetime
 import random
 
-from pyspark.sql import functions as F
+import pyarrow as pa
 
+from ledgerloom.functions.money import amount
 from ledgerloom.operators import edits, matching
-from ledgerloom.plans import duplicates
+from ledgerloom.plans import consolidate, duplicates, folding
+
+from .test_folding import FLAGS, VALUES, made
 
 
 def sets(df):
@@ -88,3 +91,34 @@ def test_overlaps_are_those_of_all_pairs_and_come_from_lists(spark, monkeypatch)
     # Pairs of rows are made after lists have met and are dealt, not by a join.
     shown = plan(out)
     assert "Broadcast" not in shown and shown.index("Generate explode(q") < shown.index("SortMergeJoin")
+
+
+def test_records_are_not_dealt_by_their_few_fields(spark):
+    records = spark.range(1000).selectExpr("id AS entity", "concat('f', id % 2) AS field", "'NSE' AS source", "concat('₹ ', id) AS value")
+    checks = spark.createDataFrame([("f0", "amount", 10.0, None, None, False)], "field string, kind string, low double, high double, pattern string, nullable boolean")
+    good = consolidate.prepared(records, checks).filter("valid")
+    ruled = consolidate.with_rules(good, consolidate.rule_table(spark, {"a": (("f0", "f1"), ("ADMIN", "NSE"), False, False)}))
+    assert "SortMergeJoin" not in plan(ruled)
+    # Values of the field that no check names stay as they are.
+    assert {(r["plain"], r["rank"]) for r in ruled.collect()} == {(f"{k}.0", 1) for k in range(10, 1000, 2)} | {(f"₹ {k}", 1) for k in range(1, 1000, 2)}
+    # The parser takes no part in generated code, of which it would make methods too long for the JVM to compile.
+    assert plan(good).count("Generate explode(transform") == 1
+
+
+def test_amounts_with_and_without_units(spark):
+    texts = {"₹ 1,234.50": 1234.5, " 12 Crores": 1.2e8, "2.5 lakhs": 2.5e5, "3 BN": 3e9, "4 m": 4e6, "5k": 5e3, "7 thousand": 7e3, "back 8 times": 8.0, "Rs -9.5": -9.5, "none": None, "": None, None: None}
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", amount("t").alias("x"), amount("t", large=True).alias("y"))
+    found = {r["t"]: (r["x"], r["y"]) for r in df.collect()}
+    assert {t: x for t, (x, _) in found.items()} == texts
+    assert found["back 8 times"][1] == 8e7 and found["5k"][1] == 5e3
+
+
+def test_columns_fold_as_one_record_at_a_time():
+    rng = random.Random(2)
+    for name in FLAGS:
+        for _ in range(200):
+            records = made(rng, name, rng.randint(1, 40), rng.choice([VALUES, VALUES[:7], VALUES[7:]]))
+            batch = pa.RecordBatch.from_pylist([folding.plain(r) for r in records], pa.schema({"value": pa.string(), "number": pa.float64(), "text": pa.string(), "source": pa.string(), "rank": pa.int32(), "at": pa.int64(), "time_based": pa.bool_(), "refresh": pa.bool_()}))
+            rows = folding.Columns(batch)
+            assert [rows.record(i) for i in range(len(records))] == records
+            assert rows.folded(rows.record(0), "FIRST_VALUE", 1, len(records)) == folding.one_by_one(records[0], "FIRST_VALUE", records[1:])
